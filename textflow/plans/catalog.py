@@ -29,3 +29,71 @@ def q_incident_features(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("incident_id", "offender", "location_code", "ordinal_date", "hour",
                      "entry_location", "entry_point", "day_of_week", "grid_key",
                      "method_of_entry", "messy", "signature", "property_secure")
+
+
+# ---- linkage ------------------------------------------------------------------
+
+def _reports(spark, sf, blank="keep"):
+    from textflow.plans.linkage import prepared_reports
+    return prepared_reports(FX.incidents(spark, sf), blank=blank)
+
+
+@register("primary_offender")
+def q_primary_offender(spark, sf):
+    """K1 (with J3 counts, A3 arg-max): primary offender per narrative."""
+    from textflow.plans.incidents import incident_features as feats
+    from textflow.operators.linkage import primary_offender
+    f = feats(FX.incidents(spark, sf)).withColumn("original_offender", F.col("offender"))
+    return primary_offender(f).select("incident_id", "original_offender", "offender")
+
+
+@register("primary_offender_merged")
+def q_primary_offender_merged(spark, sf):
+    """K1 with blank narratives merged into one fingerprint (reference rule)."""
+    from textflow.plans.incidents import incident_features as feats
+    from textflow.operators.linkage import primary_offender
+    f = feats(FX.incidents(spark, sf)).withColumn("original_offender", F.col("offender"))
+    return primary_offender(f, blank="merge").select("incident_id", "original_offender", "offender")
+
+
+@register("link_stats")
+def q_link_stats(spark, sf):
+    """A5: groups, linked pairs, reports, draws per report, balance."""
+    from textflow.operators.linkage import link_stats
+    s = link_stats(_reports(spark, sf), "offender", 1)
+    return s.withColumn("balance", F.round("balance", 6))
+
+
+@register("positive_pairs")
+def q_positive_pairs(spark, sf):
+    """K2 (J4): all pairs inside each offender group, weight 1/n."""
+    from textflow.operators.linkage import positive_pairs
+    p = positive_pairs(_reports(spark, sf), "offender", "incident_id")
+    return p.withColumn("weight", F.round("weight", 6))
+
+
+@register("negative_pairs")
+def q_negative_pairs(spark, sf):
+    """K3 (J5): K distinct other groups per report, one report from each."""
+    from textflow.operators.linkage import negative_pairs
+    return negative_pairs(_reports(spark, sf), "offender", "incident_id", ratio=1, seed=0)
+
+
+def _pair_features(spark, sf):
+    from textflow.plans.linkage import linkage_pairs
+    return linkage_pairs(_reports(spark, sf))
+
+
+@register("pair_features")
+def q_pair_features(spark, sf):
+    """K4 with D1-D7: distances and tf-idf cosines of every labelled pair."""
+    p = _pair_features(spark, sf)
+    return p.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in p.dtypes])
+
+
+@register("linkage_dataset")
+def q_linkage_dataset(spark, sf):
+    """K5/K6 (R7, R8, F8, F9): the scaled training set, one column per slot."""
+    from textflow.plans.linkage import flat_scaled, linkage_dataset
+    scaled, _, names = linkage_dataset(FX.incidents(spark, sf))
+    return flat_scaled(scaled, names)

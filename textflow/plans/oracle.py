@@ -60,3 +60,151 @@ SQL["incident_features"] = INCIDENT_CTES + """
 SELECT incident_id, offender, location_code, ordinal_date, hour, entry_location, entry_point,
        day_of_week, grid_key, method_of_entry, messy, signature, property_secure
 FROM features"""
+
+
+# ---- linkage -------------------------------------------------------------------
+
+from textflow.plans.stopwords import ENGLISH as _STOP  # noqa: E402
+
+STOP_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in _STOP) + "]"
+_PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+
+K1_CTES = """,
+counts AS (SELECT offender, count(*) AS cnt FROM features GROUP BY offender),
+cand AS (SELECT DISTINCT narrative, offender FROM features WHERE narrative <> ''),
+best AS (SELECT c.narrative, first(c.offender ORDER BY k.cnt DESC, c.offender) AS primary_off
+         FROM cand c JOIN counts k USING (offender) GROUP BY c.narrative),
+reports AS (SELECT f.* REPLACE (coalesce(b.primary_off, f.offender) AS offender),
+                   f.offender AS original_offender
+            FROM features f LEFT JOIN best b USING (narrative)),
+sizes AS (SELECT offender, count(*) AS n FROM reports GROUP BY offender),
+stats AS (SELECT count(*) AS groups, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS linked,
+                 CAST(sum(n) AS BIGINT) AS reports FROM sizes),
+stats2 AS (SELECT *, CAST(ceil(linked / groups) * 1 AS BIGINT) AS to_select FROM stats)
+"""
+
+LINK_CTES = INCIDENT_CTES.rstrip() + K1_CTES
+
+SQL["primary_offender"] = LINK_CTES + "SELECT incident_id, original_offender, offender FROM reports"
+
+SQL["primary_offender_merged"] = (
+    LINK_CTES.replace("FROM features WHERE narrative <> ''", "FROM features")
+    + "SELECT incident_id, original_offender, offender FROM reports")
+
+SQL["link_stats"] = LINK_CTES + """
+SELECT groups, linked, reports, to_select,
+       round(to_select * reports / (linked + to_select * reports), 6) AS balance FROM stats2"""
+
+POS_CTE = """,
+pos AS (SELECT a.incident_id AS l, b.incident_id AS r, 1.0 / s.n AS weight, 1 AS class
+        FROM reports a JOIN reports b ON a.offender = b.offender AND a.incident_id < b.incident_id
+        JOIN sizes s ON s.offender = a.offender)
+"""
+
+NEG_CTE = """,
+grp AS (SELECT offender, n, CAST(row_number() OVER (ORDER BY gkey) - 1 AS BIGINT) AS gid
+        FROM (SELECT offender, min(incident_id) AS gkey, count(*) AS n FROM reports GROUP BY offender)),
+rep AS (SELECT r.incident_id AS id, g.gid,
+               CAST(row_number() OVER (PARTITION BY r.offender ORDER BY r.incident_id) - 1 AS BIGINT) AS rk
+        FROM reports r JOIN grp g USING (offender)),
+st AS (SELECT groups AS G, to_select AS K,
+              CASE WHEN (groups - 1) % 7919 <> 0 THEN 7919 WHEN (groups - 1) % 7927 <> 0 THEN 7927
+                   WHEN (groups - 1) % 7933 <> 0 THEN 7933 WHEN (groups - 1) % 7937 <> 0 THEN 7937
+                   ELSE 7949 END AS stride FROM stats2),
+draws AS (SELECT l, gid, h, j, (gid + 1 + (h * 40503 + j * stride) % (G - 1)) % G AS tg FROM (
+            SELECT rep.id AS l, rep.gid, ((rep.id + 0) % 1000003 + 1000003) % 1000003 AS h,
+                   unnest(range(0, st.K)) AS j, st.G, st.stride
+            FROM rep, st)),
+neg AS (SELECT d.l, t.id AS r, 1.0 AS weight, 0 AS class
+        FROM draws d JOIN grp gt ON gt.gid = d.tg
+        JOIN rep t ON t.gid = d.tg AND t.rk = (d.h * 69069 + d.j * 40503) % gt.n)
+"""
+
+SQL["positive_pairs"] = LINK_CTES + POS_CTE + "SELECT l, r, round(weight, 6) AS weight, class FROM pos"
+SQL["negative_pairs"] = LINK_CTES + NEG_CTE + "SELECT l, r, weight, class FROM neg"
+
+TERMS_CTE = f""",
+toks AS (SELECT incident_id, list_filter(list_filter(regexp_split_to_array(
+           regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+             translate(lower(method_of_entry), '{_PUNCT}', ''),
+             '\\b(can)(not)\\b', '\\1 \\2', 'g'), '\\b(gim)(me)\\b', '\\1 \\2', 'g'),
+             '\\b(gon)(na)\\b', '\\1 \\2', 'g'), '\\b(got)(ta)\\b', '\\1 \\2', 'g'),
+             '\\b(lem)(me)\\b', '\\1 \\2', 'g'), '\\b(wan)(na)\\b', '\\1 \\2', 'g'),
+           '\\s+'), lambda t: t <> ''), lambda t: NOT list_contains({STOP_LIST}, t)) AS tokens
+         FROM reports),
+grams AS (SELECT incident_id, tokens,
+                 list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]) AS bigrams
+          FROM toks),
+ndocs AS (SELECT count(*) AS n FROM reports),
+tf1 AS (SELECT incident_id, term, count(*) AS tf FROM (SELECT incident_id, unnest(tokens) AS term FROM grams) GROUP BY ALL),
+tf2 AS (SELECT incident_id, term, count(*) AS tf FROM (SELECT incident_id, unnest(bigrams) AS term FROM grams) GROUP BY ALL),
+w1 AS (SELECT t.incident_id, t.term, t.tf * ln((ndocs.n + 1.0) / (d.df + 1.0)) AS w
+       FROM tf1 t JOIN (SELECT term, count(*) AS df FROM tf1 GROUP BY term) d USING (term), ndocs),
+w2 AS (SELECT t.incident_id, t.term, t.tf * ln((ndocs.n + 1.0) / (d.df + 1.0)) AS w
+       FROM tf2 t JOIN (SELECT term, count(*) AS df FROM tf2 GROUP BY term) d USING (term), ndocs),
+n1 AS (SELECT incident_id, sqrt(sum(w * w)) AS norm FROM w1 GROUP BY incident_id),
+n2 AS (SELECT incident_id, sqrt(sum(w * w)) AS norm FROM w2 GROUP BY incident_id)
+"""
+
+
+def _cos(pairs: str, w: str, nrm: str, name: str) -> str:
+    return f"""(SELECT p.l, p.r,
+      CASE WHEN nl.norm IS NULL OR nr.norm IS NULL OR nl.norm * nr.norm = 0 THEN NULL
+           ELSE coalesce(d.dot, 0.0) / (nl.norm * nr.norm) END AS {name}
+    FROM (SELECT DISTINCT l, r FROM {pairs}) p
+    LEFT JOIN {nrm} nl ON nl.incident_id = p.l LEFT JOIN {nrm} nr ON nr.incident_id = p.r
+    LEFT JOIN (SELECT p.l, p.r, sum(a.w * b.w) AS dot FROM (SELECT DISTINCT l, r FROM {pairs}) p
+               JOIN {w} a ON a.incident_id = p.l JOIN {w} b ON b.incident_id = p.r AND b.term = a.term
+               GROUP BY p.l, p.r) d ON d.l = p.l AND d.r = p.r)"""
+
+
+def _nominal(a: str, b: str) -> str:
+    return (f"CASE WHEN {a} IS NULL OR {b} IS NULL OR CAST({a} AS VARCHAR) = 'UNKNOWN' "
+            f"OR CAST({b} AS VARCHAR) = 'UNKNOWN' THEN NULL WHEN CAST({a} AS VARCHAR) = CAST({b} AS VARCHAR) "
+            f"THEN 1 ELSE 0 END")
+
+
+PF_CTE = f""",
+pairs AS (SELECT * FROM pos UNION ALL SELECT * FROM neg),
+pf0 AS (SELECT p.l, p.r,
+   {_nominal('a.location_code', 'b.location_code')} AS location_code,
+   CAST(abs(a.ordinal_date - b.ordinal_date) AS INTEGER) AS ordinal_date,
+   CAST(least(abs(a.hour - b.hour), 24 - abs(a.hour - b.hour)) AS INTEGER) AS hour,
+   {_nominal('a.entry_location', 'b.entry_location')} AS entry_location,
+   {_nominal('a.entry_point', 'b.entry_point')} AS entry_point,
+   CAST(least(abs(a.day_of_week - b.day_of_week), 7 - abs(a.day_of_week - b.day_of_week)) AS INTEGER) AS day_of_week,
+   CAST(trunc(sqrt((a.easting - b.easting) * (a.easting - b.easting)
+                   + (a.northing - b.northing) * (a.northing - b.northing))) AS INTEGER) AS grid_distance,
+   {_nominal('a.messy', 'b.messy')} AS messy,
+   {_nominal('a.property_secure', 'b.property_secure')} AS property_secure,
+   p.weight, p.class
+  FROM pairs p JOIN reports a ON a.incident_id = p.l JOIN reports b ON b.incident_id = p.r),
+pf AS (SELECT pf0.*, c1.cosine_tfidf, c2.cosine_tfidf2 FROM pf0
+  LEFT JOIN {_cos('pairs', 'w1', 'n1', 'cosine_tfidf')} c1 ON c1.l = pf0.l AND c1.r = pf0.r
+  LEFT JOIN {_cos('pairs', 'w2', 'n2', 'cosine_tfidf2')} c2 ON c2.l = pf0.l AND c2.r = pf0.r)
+"""
+
+PAIR_CTES = LINK_CTES + POS_CTE + NEG_CTE + TERMS_CTE + PF_CTE
+
+SQL["pair_features"] = PAIR_CTES + """
+SELECT l, r, location_code, ordinal_date, hour, entry_location, entry_point, day_of_week,
+       grid_distance, messy, property_secure, round(weight, 6) AS weight, class,
+       round(cosine_tfidf, 6) AS cosine_tfidf, round(cosine_tfidf2, 6) AS cosine_tfidf2
+FROM pf"""
+
+_INTS = ["location_code", "ordinal_date", "hour", "entry_location", "entry_point", "day_of_week",
+         "grid_distance", "messy", "property_secure"]
+_DBLS = ["cosine_tfidf", "cosine_tfidf2"]
+
+_fill = ", ".join(f"coalesce({c}, (SELECT CAST(round_even(avg({c}), 0) AS INTEGER) FROM pf)) AS {c}"
+                  for c in _INTS)
+_imp = ", ".join(f"coalesce(CASE WHEN isnan({c}) THEN NULL ELSE {c} END, "
+                 f"(SELECT avg({c}) FROM pf WHERE NOT isnan({c}))) AS {c}" for c in _DBLS)
+_mm = ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _INTS + _DBLS)
+_scaled = ", ".join(f"round(CASE WHEN mx_{c} = mn_{c} THEN 0.5 ELSE ({c} - mn_{c}) / (mx_{c} - mn_{c}) END, 6) AS s_{c}"
+                    for c in _INTS + _DBLS)
+
+SQL["linkage_dataset"] = PAIR_CTES + f""",
+filled AS (SELECT l, r, weight, class, {_fill}, {_imp} FROM pf),
+mm AS (SELECT {_mm} FROM filled)
+SELECT l, r, round(weight, 6) AS weight, class, {_scaled} FROM filled, mm"""
