@@ -74,7 +74,7 @@ counts AS (SELECT offender, count(*) AS cnt FROM features GROUP BY offender),
 cand AS (SELECT DISTINCT narrative, offender FROM features WHERE narrative <> ''),
 best AS (SELECT c.narrative, first(c.offender ORDER BY k.cnt DESC, c.offender) AS primary_off
          FROM cand c JOIN counts k USING (offender) GROUP BY c.narrative),
-reports AS (SELECT f.* REPLACE (coalesce(b.primary_off, f.offender) AS offender),
+reports AS MATERIALIZED (SELECT f.* REPLACE (coalesce(b.primary_off, f.offender) AS offender),
                    f.offender AS original_offender
             FROM features f LEFT JOIN best b USING (narrative)),
 sizes AS (SELECT offender, count(*) AS n FROM reports GROUP BY offender),
@@ -138,9 +138,9 @@ grams AS (SELECT incident_id, tokens,
 ndocs AS (SELECT count(*) AS n FROM reports),
 tf1 AS (SELECT incident_id, term, count(*) AS tf FROM (SELECT incident_id, unnest(tokens) AS term FROM grams) GROUP BY ALL),
 tf2 AS (SELECT incident_id, term, count(*) AS tf FROM (SELECT incident_id, unnest(bigrams) AS term FROM grams) GROUP BY ALL),
-w1 AS (SELECT t.incident_id, t.term, t.tf * ln((ndocs.n + 1.0) / (d.df + 1.0)) AS w
+w1 AS MATERIALIZED (SELECT t.incident_id, t.term, t.tf * ln((ndocs.n + 1.0) / (d.df + 1.0)) AS w
        FROM tf1 t JOIN (SELECT term, count(*) AS df FROM tf1 GROUP BY term) d USING (term), ndocs),
-w2 AS (SELECT t.incident_id, t.term, t.tf * ln((ndocs.n + 1.0) / (d.df + 1.0)) AS w
+w2 AS MATERIALIZED (SELECT t.incident_id, t.term, t.tf * ln((ndocs.n + 1.0) / (d.df + 1.0)) AS w
        FROM tf2 t JOIN (SELECT term, count(*) AS df FROM tf2 GROUP BY term) d USING (term), ndocs),
 n1 AS (SELECT incident_id, sqrt(sum(w * w)) AS norm FROM w1 GROUP BY incident_id),
 n2 AS (SELECT incident_id, sqrt(sum(w * w)) AS norm FROM w2 GROUP BY incident_id)
@@ -148,14 +148,15 @@ n2 AS (SELECT incident_id, sqrt(sum(w * w)) AS norm FROM w2 GROUP BY incident_id
 
 
 def _cos(pairs: str, w: str, nrm: str, name: str) -> str:
+    # pair -> left terms first, then the right side on (id, term): never a term-only join
     return f"""(SELECT p.l, p.r,
       CASE WHEN nl.norm IS NULL OR nr.norm IS NULL OR nl.norm * nr.norm = 0 THEN NULL
            ELSE coalesce(d.dot, 0.0) / (nl.norm * nr.norm) END AS {name}
     FROM (SELECT DISTINCT l, r FROM {pairs}) p
     LEFT JOIN {nrm} nl ON nl.incident_id = p.l LEFT JOIN {nrm} nr ON nr.incident_id = p.r
-    LEFT JOIN (SELECT p.l, p.r, sum(a.w * b.w) AS dot FROM (SELECT DISTINCT l, r FROM {pairs}) p
-               JOIN {w} a ON a.incident_id = p.l JOIN {w} b ON b.incident_id = p.r AND b.term = a.term
-               GROUP BY p.l, p.r) d ON d.l = p.l AND d.r = p.r)"""
+    LEFT JOIN (SELECT pa.l, pa.r, sum(pa.w * b.w) AS dot FROM {pairs}_{w} pa
+               JOIN {w} b ON b.incident_id = pa.r AND b.term = pa.term
+               GROUP BY pa.l, pa.r) d ON d.l = p.l AND d.r = p.r)"""
 
 
 def _nominal(a: str, b: str) -> str:
@@ -165,7 +166,11 @@ def _nominal(a: str, b: str) -> str:
 
 
 PF_CTE = f""",
-pairs AS (SELECT * FROM pos UNION ALL SELECT * FROM neg),
+pairs AS MATERIALIZED (SELECT * FROM pos UNION ALL SELECT * FROM neg),
+pairs_w1 AS MATERIALIZED (SELECT p.l, p.r, a.term, a.w FROM (SELECT DISTINCT l, r FROM pairs) p
+                          JOIN w1 a ON a.incident_id = p.l),
+pairs_w2 AS MATERIALIZED (SELECT p.l, p.r, a.term, a.w FROM (SELECT DISTINCT l, r FROM pairs) p
+                          JOIN w2 a ON a.incident_id = p.l),
 pf0 AS (SELECT p.l, p.r,
    {_nominal('a.location_code', 'b.location_code')} AS location_code,
    CAST(abs(a.ordinal_date - b.ordinal_date) AS INTEGER) AS ordinal_date,
