@@ -148,3 +148,25 @@ def impute_mean(df: DataFrame, cols, suffix: str = "_imputed", drop: bool = True
     out = model.transform(df)
     return out.drop(*cols) if drop else out
 
+
+
+def count_vector_terms(df: DataFrame, id_col: str, tokens: str, min_df: float = 1.0,
+                       vocab_size: int = 1 << 18, binary: bool = True) -> DataFrame:
+    """F2 in long form: (id, term, tf) over the vocabulary CountVectorizer
+    would learn (terms in >= min_df documents -- a fraction if < 1 -- the
+    ``vocab_size`` most frequent), computed as joins instead of a driver-side
+    vocabulary.  Ties at the vocabulary cut go to the smaller term."""
+    tf = term_frequencies(df, id_col, tokens)
+    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_tot"))
+    if min_df < 1.0:
+        threshold = F.lit(min_df * df.count())
+    else:
+        threshold = F.lit(min_df)
+    stats = stats.where(F.col("_df") >= threshold)
+    n_terms = stats.count()
+    if n_terms > vocab_size:
+        stats = stats.orderBy(F.desc("_tot"), "term").limit(vocab_size)
+    out = tf.join(stats.select("term"), "term", "left_semi")
+    if binary:
+        out = out.withColumn("tf", F.lit(1.0))
+    return out.select(id_col, "term", "tf")

@@ -97,3 +97,267 @@ def q_linkage_dataset(spark, sf):
     from textflow.plans.linkage import flat_scaled, linkage_dataset
     scaled, _, names = linkage_dataset(FX.incidents(spark, sf))
     return flat_scaled(scaled, names)
+
+
+# ---- text on whole documents -------------------------------------------------------
+
+def _docs(spark, sf):
+    return FX.load(spark, sf, "documents").select("doc_id", "text")
+
+
+@register("tokenize")
+def q_tokenize(spark, sf):
+    """Tokenizer, long form (doc_id, pos, token)."""
+    from textflow.operators.text import long_tokens, tokenize
+    return long_tokens(tokenize(_docs(spark, sf), "text", "tokens"), "doc_id", "tokens")
+
+
+@register("tokenize_regex")
+def q_tokenize_regex(spark, sf):
+    """RegexTokenizer on \\s+, long form."""
+    from textflow.operators.text import long_tokens, tokenize_regex
+    return long_tokens(tokenize_regex(_docs(spark, sf), "text", "tokens"), "doc_id", "tokens")
+
+
+@register("normalize_tokens")
+def q_normalize_tokens(spark, sf):
+    """T3 without stemming: lower, delete punctuation, split words."""
+    from textflow.operators.text import long_tokens, normalize_tokens
+    return long_tokens(normalize_tokens(_docs(spark, sf), "text", "tokens"), "doc_id", "tokens")
+
+
+@register("remove_stopwords")
+def q_remove_stopwords(spark, sf):
+    """T5 after T2."""
+    from textflow.operators.text import long_tokens, remove_stopwords, tokenize_regex
+    x = remove_stopwords(tokenize_regex(_docs(spark, sf), "text", "raw"), "raw", "tokens")
+    return long_tokens(x, "doc_id", "tokens")
+
+
+@register("ngrams")
+def q_ngrams(spark, sf):
+    """2-grams of the T2 tokens, long form (doc_id, pos, ngram)."""
+    from textflow.operators.text import long_tokens, ngrams, tokenize_regex
+    x = ngrams(tokenize_regex(_docs(spark, sf), "text", "raw"), "raw", "grams", 2)
+    return long_tokens(x, "doc_id", "grams", token="ngram")
+
+
+@register("sentences")
+def q_sentences(spark, sf):
+    """T7 ('.' rule): long form (doc_id, pos, sentence)."""
+    from textflow.operators.text import long_tokens, sentences
+    return long_tokens(sentences(_docs(spark, sf), "text", "s"), "doc_id", "s", token="sentence")
+
+
+@register("count_vector_terms")
+def q_count_vector_terms(spark, sf):
+    """F2 in long form: binary counts over the learned vocabulary."""
+    from textflow.operators.features import count_vector_terms
+    from textflow.operators.text import tokenize_regex
+    x = tokenize_regex(_docs(spark, sf), "text", "tokens")
+    return count_vector_terms(x, "doc_id", "tokens", min_df=1, vocab_size=1 << 18, binary=True)
+
+
+@register("tf_idf_terms")
+def q_tf_idf_terms(spark, sf):
+    """F3 in long form: exact tf, df, idf, tf-idf per (doc, term)."""
+    from textflow.operators.features import tf_idf_terms
+    from textflow.operators.text import tokenize_regex
+    x = tokenize_regex(_docs(spark, sf), "text", "tokens")
+    t = tf_idf_terms(x, "doc_id", "tokens")
+    return t.select("doc_id", "term", "tf", "df", F.round("idf", 6).alias("idf"),
+                    F.round("tfidf", 6).alias("tfidf"))
+
+
+# ---- feature vectors ---------------------------------------------------------------
+
+@register("index_labels")
+def q_index_labels(spark, sf):
+    """StringIndexer by descending frequency, ties alphabetical."""
+    from textflow.operators.features import index_labels
+    df, _ = index_labels(FX.load(spark, sf, "customer"), "c_mktsegment", "segment_index")
+    return df.select("c_custkey", "c_mktsegment", "segment_index")
+
+
+@register("one_hot")
+def q_one_hot(spark, sf):
+    """one-hot (last category dropped) of the order-priority index."""
+    from pyspark.ml.functions import vector_to_array
+    from textflow.operators.features import index_labels, one_hot
+    df, _ = index_labels(FX.load(spark, sf, "orders"), "o_orderpriority", "p_index")
+    df, _ = one_hot(df, "p_index", "p_vec")
+    arr = vector_to_array("p_vec")
+    pos = F.array_position(arr, 1.0)
+    return df.select("o_orderkey", "o_orderpriority",
+                     F.when(pos > 0, pos - 1).cast("int").alias("hot"),
+                     F.size(arr).alias("width"))
+
+
+_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("assemble_minmax")
+def q_assemble_minmax(spark, sf):
+    """F8 + F9: VectorAssembler then MinMaxScaler, one column per slot."""
+    from pyspark.ml.functions import vector_to_array
+    from textflow.operators.features import assemble, scale_minmax
+    li = FX.load(spark, sf, "lineitem")
+    df, _ = scale_minmax(assemble(li, _NUMS, "raw"), "raw", "scaled")
+    arr = vector_to_array("scaled")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey",
+                     *[F.round(arr[i], 6).alias(f"s_{c}") for i, c in enumerate(_NUMS)])
+
+
+@register("standardize")
+def q_standardize(spark, sf):
+    """StandardScaler (unit sample deviation, no centring)."""
+    from pyspark.ml.functions import vector_to_array
+    from textflow.operators.features import assemble, standardize
+    li = FX.load(spark, sf, "lineitem")
+    df, _ = standardize(assemble(li, _NUMS, "raw"), "raw", "std")
+    arr = vector_to_array("std")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey",
+                     *[F.round(arr[i], 6).alias(f"z_{c}") for i, c in enumerate(_NUMS)])
+
+
+# ---- relational ------------------------------------------------------------------
+
+@register("select_rename_drop")
+def q_select_rename_drop(spark, sf):
+    """R1-R3."""
+    from textflow.operators.relational import drop_cols, rename, select_cols
+    o = FX.load(spark, sf, "orders")
+    x = select_cols(o, "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return drop_cols(rename(x, o_custkey="customer"), "o_orderstatus")
+
+
+@register("fill_nulls")
+def q_fill_nulls(spark, sf):
+    """Per-column fill values."""
+    from textflow.operators.relational import fill_nulls
+    return fill_nulls(FX.gaps(spark, sf), {"o_totalprice": 0.0, "priority": "UNKNOWN"})
+
+
+@register("drop_nulls")
+def q_drop_nulls(spark, sf):
+    """R6."""
+    from textflow.operators.relational import drop_nulls
+    return drop_nulls(FX.gaps(spark, sf), ["o_totalprice", "priority"])
+
+
+@register("fill_int_mean")
+def q_fill_int_mean(spark, sf):
+    """Int column filled with its half-even rounded mean."""
+    from textflow.operators.features import fill_int_mean
+    return fill_int_mean(FX.gaps(spark, sf), ["price_k"]).select("o_orderkey", "price_k")
+
+
+@register("impute_mean")
+def q_impute_mean(spark, sf):
+    """Imputer (mean) on a double column."""
+    from textflow.operators.features import impute_mean
+    x = impute_mean(FX.gaps(spark, sf), ["o_totalprice"])
+    return x.select("o_orderkey", F.round("o_totalprice_imputed", 6).alias("o_totalprice_imputed"))
+
+
+@register("split_by_key")
+def q_split_by_key(spark, sf):
+    """R9 (replayable form): train/test label from the key."""
+    from textflow.operators.relational import split_by_key
+    return split_by_key(FX.load(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+@register("join_on")
+def q_join_on(spark, sf):
+    """Orders with their customer, on a shared id column."""
+    from textflow.operators.relational import join_on
+    c = FX.load(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    o = FX.load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return join_on(o, c.select("o_custkey", "c_name", "c_mktsegment"), "o_custkey")
+
+
+@register("join_branches")
+def q_join_branches(spark, sf):
+    """Three feature branches of the documents joined on doc_id."""
+    from textflow.operators.relational import join_branches
+    from textflow.operators.text import ngrams, tokenize_regex
+    d = _docs(spark, sf)
+    toks = tokenize_regex(d, "text", "tokens")
+    b1 = toks.select("doc_id", F.size("tokens").alias("n_tokens"))
+    b2 = ngrams(toks, "tokens", "grams", 2).select("doc_id", F.size("grams").alias("n_bigrams"))
+    b3 = d.select("doc_id", F.length("text").alias("n_chars"))
+    return join_branches(b1, b2, b3, id_col="doc_id")
+
+
+@register("attach_count")
+def q_attach_count(spark, sf):
+    """Lines per order looked up onto every line."""
+    from textflow.operators.linkage import attach_count
+    li = FX.load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return attach_count(li, "l_orderkey", "n_lines")
+
+
+@register("count_by")
+def q_count_by(spark, sf):
+    """A1: orders per customer."""
+    from textflow.operators.linkage import count_by
+    return count_by(FX.load(spark, sf, "orders"), "o_custkey", "n_orders")
+
+
+@register("primary_by")
+def q_primary_by(spark, sf):
+    """A3: per customer, the priority of the most expensive order."""
+    from textflow.operators.linkage import primary_by
+    return primary_by(FX.load(spark, sf, "orders"), "o_custkey", "o_orderpriority", "o_totalprice")
+
+
+@register("means")
+def q_means(spark, sf):
+    """A4: means of many columns in one pass."""
+    from textflow.operators.relational import means
+    m = means(FX.load(spark, sf, "lineitem"), _NUMS)
+    return m.select(*[F.round(c, 6).alias(c) for c in _NUMS])
+
+
+@register("sql_source")
+def q_sql_source(spark, sf):
+    """S3: SQL text over frames passed by name."""
+    from textflow.sources.files import sql_source
+    return sql_source(spark, """
+        SELECT o.o_orderstatus, count(*) AS n_lines,
+               round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
+        FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey
+        GROUP BY o.o_orderstatus""",
+        lineitem=FX.load(spark, sf, "lineitem"), orders=FX.load(spark, sf, "orders"))
+
+
+@register("table_source")
+def q_table_source(spark, sf):
+    """A catalog view read back by name."""
+    from textflow.sources.files import table_source
+    FX.load(spark, sf, "nation").createOrReplaceTempView("tf_nation")
+    FX.load(spark, sf, "region").createOrReplaceTempView("tf_region")
+    n, r = table_source(spark, "tf_nation"), table_source(spark, "tf_region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
+
+
+@register("profile")
+def q_profile(spark, sf):
+    """Row count, column count, name/type pairs of lineitem."""
+    from textflow.sources.profile import profile
+    return profile(FX.load(spark, sf, "lineitem"))
+
+
+@register("column_roles")
+def q_column_roles(spark, sf):
+    """Column roles of nation and part."""
+    from textflow.sources.profile import column_roles
+    return column_roles(FX.load(spark, sf, "nation")).unionByName(
+        column_roles(FX.load(spark, sf, "part")))
+
+
+@register("preview")
+def q_preview(spark, sf):
+    """First 100 embeddings by id, vectors cut to 10 values."""
+    from textflow.sources.profile import preview
+    return preview(FX.load(spark, sf, "embeddings"), 100, 10, order_by="vec_id")

@@ -213,3 +213,121 @@ SQL["linkage_dataset"] = PAIR_CTES + f""",
 filled AS (SELECT l, r, weight, class, {_fill}, {_imp} FROM pf),
 mm AS (SELECT {_mm} FROM filled)
 SELECT l, r, round(weight, 6) AS weight, class, {_scaled} FROM filled, mm"""
+
+
+# ---- text on whole documents ------------------------------------------------------
+
+def _long(list_expr: str, name: str = "token", src: str = "documents", id_col: str = "doc_id") -> str:
+    return f"""SELECT {id_col}, CAST(i - 1 AS INTEGER) AS pos, toks[i] AS {name}
+FROM (SELECT {id_col}, toks, unnest(range(1, len(toks) + 1)) AS i
+      FROM (SELECT {id_col}, {list_expr} AS toks FROM {src}))"""
+
+
+T2_LIST = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
+T3_LIST = f"""list_filter(regexp_split_to_array(
+           regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+             translate(lower(text), '{_PUNCT}', ''),
+             '\\b(can)(not)\\b', '\\1 \\2', 'g'), '\\b(gim)(me)\\b', '\\1 \\2', 'g'),
+             '\\b(gon)(na)\\b', '\\1 \\2', 'g'), '\\b(got)(ta)\\b', '\\1 \\2', 'g'),
+             '\\b(lem)(me)\\b', '\\1 \\2', 'g'), '\\b(wan)(na)\\b', '\\1 \\2', 'g'),
+           '\\s+'), lambda t: t <> '')"""
+T5_LIST = f"list_filter({T2_LIST}, lambda t: NOT list_contains({STOP_LIST}, t))"
+BIGRAMS = "list_transform(range(1, len(t2)), lambda i: t2[i] || ' ' || t2[i + 1])"
+
+SQL["tokenize"] = _long("regexp_split_to_array(lower(text), '\\s')")
+SQL["tokenize_regex"] = _long(T2_LIST)
+SQL["normalize_tokens"] = _long(T3_LIST)
+SQL["remove_stopwords"] = _long(T5_LIST)
+SQL["ngrams"] = _long(BIGRAMS, "ngram", src=f"(SELECT doc_id, {T2_LIST} AS t2 FROM documents)")
+SQL["sentences"] = _long("string_split(text, '.')", "sentence")
+
+DOC_TF = f"""WITH tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf
+  FROM (SELECT doc_id, unnest({T2_LIST}) AS term FROM documents) GROUP BY doc_id, term)
+"""
+SQL["count_vector_terms"] = DOC_TF + "SELECT doc_id, term, 1.0 AS tf FROM tf"
+SQL["tf_idf_terms"] = DOC_TF + """,
+d AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT doc_id, term, tf, df, round(ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)), 6) AS idf,
+       round(tf * ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)), 6) AS tfidf
+FROM tf JOIN d USING (term)"""
+
+# ---- feature vectors --------------------------------------------------------------
+
+SQL["index_labels"] = """
+SELECT c_custkey, c_mktsegment, CAST(r.idx AS DOUBLE) AS segment_index FROM customer
+JOIN (SELECT c_mktsegment, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1 AS idx
+      FROM customer GROUP BY c_mktsegment) r USING (c_mktsegment)"""
+
+SQL["one_hot"] = """
+WITH r AS (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS idx,
+                  count(*) OVER () AS k FROM orders GROUP BY o_orderpriority)
+SELECT o_orderkey, o_orderpriority, CAST(CASE WHEN idx < k - 1 THEN idx END AS INTEGER) AS hot,
+       CAST(k - 1 AS INTEGER) AS width
+FROM orders JOIN r USING (o_orderpriority)"""
+
+_N = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SQL["assemble_minmax"] = "WITH m AS (SELECT " + ", ".join(
+    f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _N) + " FROM lineitem)\nSELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(
+    f"round(CASE WHEN mx_{c} = mn_{c} THEN 0.5 ELSE ({c} - mn_{c}) / (mx_{c} - mn_{c}) END, 6) AS s_{c}" for c in _N) + " FROM lineitem, m"
+SQL["standardize"] = "WITH m AS (SELECT " + ", ".join(
+    f"stddev_samp({c}) AS sd_{c}" for c in _N) + " FROM lineitem)\nSELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(
+    f"round(CASE WHEN sd_{c} = 0 THEN 0.0 ELSE {c} / sd_{c} END, 6) AS z_{c}" for c in _N) + " FROM lineitem, m"
+
+# ---- relational -----------------------------------------------------------------
+
+GAPS = with_ctes(FX.GAPS_DUCK)
+SQL["select_rename_drop"] = "SELECT o_orderkey, o_custkey AS customer, o_totalprice FROM orders"
+SQL["fill_nulls"] = GAPS + """SELECT o_orderkey, o_custkey, o_orderpriority, coalesce(o_totalprice, 0.0) AS o_totalprice,
+  price_k, coalesce(priority, 'UNKNOWN') AS priority FROM gaps"""
+SQL["drop_nulls"] = GAPS + "SELECT * FROM gaps WHERE o_totalprice IS NOT NULL AND priority IS NOT NULL"
+SQL["fill_int_mean"] = GAPS + """SELECT o_orderkey,
+  coalesce(price_k, (SELECT CAST(round_even(avg(price_k), 0) AS INTEGER) FROM gaps)) AS price_k FROM gaps"""
+SQL["impute_mean"] = GAPS + """SELECT o_orderkey,
+  round(coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM gaps)), 6) AS o_totalprice_imputed FROM gaps"""
+SQL["split_by_key"] = """SELECT o_orderkey, o_custkey,
+  CASE WHEN ((o_orderkey % 1000003) * 40503 + 12345) % 100 < 90 THEN 'train' ELSE 'test' END AS split FROM orders"""
+SQL["join_on"] = """SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_mktsegment
+  FROM orders JOIN customer ON c_custkey = o_custkey"""
+SQL["join_branches"] = f"""SELECT doc_id, CAST(len(t2) AS INTEGER) AS n_tokens,
+  CAST(greatest(len(t2) - 1, 0) AS INTEGER) AS n_bigrams, CAST(length(text) AS INTEGER) AS n_chars
+  FROM (SELECT doc_id, text, {T2_LIST} AS t2 FROM documents)"""
+SQL["attach_count"] = """SELECT l_orderkey, l_linenumber, l_partkey,
+  count(*) OVER (PARTITION BY l_orderkey) AS n_lines FROM lineitem"""
+SQL["count_by"] = "SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey"
+SQL["primary_by"] = """SELECT o_custkey, first(o_orderpriority ORDER BY o_totalprice DESC, o_orderpriority)
+  AS o_orderpriority FROM orders GROUP BY o_custkey"""
+SQL["means"] = "SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _N) + " FROM lineitem"
+SQL["sql_source"] = """SELECT o.o_orderstatus, count(*) AS n_lines,
+  round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderstatus"""
+SQL["table_source"] = """SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"""
+SQL["profile"] = """SELECT column_name AS "column",
+  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+       WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type,
+  CAST(ordinal_position - 1 AS INTEGER) AS position, (SELECT count(*) FROM lineitem) AS n_rows,
+  CAST(count(*) OVER () AS INTEGER) AS n_cols
+FROM information_schema.columns WHERE table_name = 'lineitem'"""
+
+
+def _role(table: str, col: str, kind: str) -> str:
+    if kind == "meta":
+        return f"SELECT '{col}' AS \"column\", 'meta' AS role, CAST(NULL AS VARCHAR) AS \"values\""
+    if kind == "float":
+        return f"SELECT '{col}' AS \"column\", 'continuous' AS role, CAST(NULL AS VARCHAR) AS \"values\""
+    d, m = f"count(DISTINCT {col})", f"max({col})"
+    return (f"SELECT '{col}' AS \"column\", CASE WHEN {d} >= 13 OR {m} > {d} THEN 'continuous' ELSE 'discrete' END AS role, "
+            f"CASE WHEN {d} >= 13 OR {m} > {d} THEN NULL ELSE array_to_string(list_sort(list_distinct(list({col}))), ',') END "
+            f"AS \"values\" FROM {table}")
+
+
+SQL["column_roles"] = "\nUNION ALL ".join([
+    _role("nation", "n_nationkey", "int"), _role("nation", "n_name", "meta"),
+    _role("nation", "n_regionkey", "int"), _role("part", "p_partkey", "int"),
+    _role("part", "p_name", "meta"), _role("part", "p_brand", "meta"), _role("part", "p_type", "meta"),
+    _role("part", "p_size", "int"), _role("part", "p_retailprice", "float")])
+
+SQL["preview"] = """SELECT CAST(vec_id AS VARCHAR) AS vec_id,
+  '[' || array_to_string(list_transform(embedding[1:10], lambda x: printf('%.4f', CAST(x AS DOUBLE))), ', ')
+      || CASE WHEN len(embedding) > 10 THEN ', ...' ELSE '' END || ']' AS embedding,
+  CAST(label AS VARCHAR) AS label
+FROM embeddings ORDER BY embeddings.vec_id LIMIT 100"""
