@@ -53,10 +53,19 @@ def tf_idf_terms(df: DataFrame, id_col: str, tokens: str, min_doc_freq: int = 0)
             .withColumn("tfidf", F.col("tf") * F.col("idf")))
 
 
-def term_vectors(weights: DataFrame, id_col: str, weight: str = "tfidf") -> DataFrame:
-    """Long (id, term, weight) -> one row per id: terms map and L2 norm."""
+def term_vectors(weights: DataFrame, id_col: str, weight: str = "tfidf",
+                 hashed: bool = True) -> DataFrame:
+    """Long (id, term, weight) -> one row per id: a terms map and its L2 norm.
+
+    With ``hashed`` the map keys are 64-bit xxhash64 values of the terms
+    instead of the strings: a smaller shuffle payload, and a collision
+    (chance about V^2 / 2^65 for V distinct terms) is far rarer than in the
+    2^18-bucket hashed vectors the cosine features were defined on.
+    """
+    key = F.xxhash64("term") if hashed else F.col("term")
     return weights.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("term", weight))).alias("terms"),
+        F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col(weight).alias("v"))))
+        .alias("terms"),
         F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"))
 
 

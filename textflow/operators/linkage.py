@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from textflow.functions import distance as D
-from textflow.operators.partitioned import blocked_pairs, position_index
+from textflow.operators.partitioned import blocked_pairs, checked_broadcast, position_index
+
+# Report-side tables up to this many rows are broadcast to the pair joins
+# (each row: a few ints and two short term maps); larger ones are shuffled.
+SIDE_BROADCAST_ROWS = 500_000
 
 # Strides for the negative draw: primes; the first one that does not divide
 # G - 1 is used, which makes the K draws of one report distinct groups.
@@ -168,16 +172,30 @@ def _distance(kind, lcols, rcols):
 
 
 def pair_features(pairs: DataFrame, reports: DataFrame, id_col: str = "incident_id",
-                  specs=DISTANCES) -> DataFrame:
-    """K4: join both reports of each pair and compute one distance per feature."""
+                  specs=DISTANCES, vectors: dict | None = None) -> DataFrame:
+    """K4: join both reports of each pair once and compute every distance.
+
+    ``vectors``: optional {name: (id, terms, norm) frame}; each adds a cosine
+    column ``name``.  All report-side data is first gathered into one side
+    table, so the pairs are joined (and shuffled) exactly twice, once per side.
+    """
+    vectors = vectors or {}
     need = sorted({c for _, _, cs in specs for c in cs})
-    left = reports.select(F.col(id_col).alias("l"), *[F.col(c).alias(f"l_{c}") for c in need])
-    right = reports.select(F.col(id_col).alias("r"), *[F.col(c).alias(f"r_{c}") for c in need])
+    side = reports.select(id_col, *need)
+    for i, (name, vec) in enumerate(vectors.items()):
+        side = side.join(vec.select(id_col, F.col("terms").alias(f"_t{i}"),
+                                    F.col("norm").alias(f"_n{i}")), id_col, "left")
+    side_cols = [c for c in side.columns if c != id_col]
+    side = checked_broadcast(side, SIDE_BROADCAST_ROWS)
+    left = side.select(F.col(id_col).alias("l"), *[F.col(c).alias(f"l_{c}") for c in side_cols])
+    right = side.select(F.col(id_col).alias("r"), *[F.col(c).alias(f"r_{c}") for c in side_cols])
     x = pairs.join(left, "l").join(right, "r")
     feats = [_distance(kind, [f"l_{c}" for c in cs], [f"r_{c}" for c in cs]).alias(name)
              for name, kind, cs in specs]
     rest = [c for c in pairs.columns if c not in ("l", "r")]
-    return x.select("l", "r", *feats, *rest)
+    cos = [D.cosine(f"l__t{i}", f"l__n{i}", f"r__t{i}", f"r__n{i}").alias(name)
+           for i, name in enumerate(vectors)]
+    return x.select("l", "r", *feats, *rest, *cos)
 
 
 def pair_cosine(pairs: DataFrame, vectors: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -191,11 +209,7 @@ def pair_cosine(pairs: DataFrame, vectors: DataFrame, id_col: str, name: str) ->
     rv = vectors.select(F.col(id_col).alias("r"), F.col("terms").alias("_rt"),
                         F.col("norm").alias("_rn"))
     x = pairs.join(lv, "l", "left").join(rv, "r", "left")
-    dot = F.aggregate(F.map_entries("_lt"), F.lit(0.0),
-                      lambda acc, e: acc + e["value"] * F.coalesce(F.element_at("_rt", e["key"]),
-                                                                   F.lit(0.0)))
-    cos = F.try_divide(dot, F.col("_ln") * F.col("_rn"))
-    return x.withColumn(name, cos).drop("_lt", "_ln", "_rt", "_rn")
+    return x.withColumn(name, D.cosine("_lt", "_ln", "_rt", "_rn")).drop("_lt", "_ln", "_rt", "_rn")
 
 
 def pair_overlap(pairs: DataFrame, terms: DataFrame, id_col: str, term: str = "term",

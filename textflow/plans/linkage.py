@@ -40,13 +40,11 @@ def linkage_pairs(reports: DataFrame, ratio: int = 1, seed: int = 0,
     pos = K.positive_pairs(reports, "offender", ID)
     neg = K.negative_pairs(reports, "offender", ID, ratio=ratio, seed=seed, stats=stats)
     pairs = pos.unionByName(neg)
-    out = K.pair_features(pairs, reports, ID)
     terms = method_terms(reports, stem=stem)
     uni = term_vectors(tf_idf_terms(terms, ID, "tokens"), ID)
     bi = term_vectors(tf_idf_terms(terms, ID, "bigrams"), ID)
-    out = K.pair_cosine(out, uni, ID, "cosine_tfidf")
-    out = K.pair_cosine(out, bi, ID, "cosine_tfidf2")
-    return out
+    return K.pair_features(pairs, reports, ID,
+                           vectors={"cosine_tfidf": uni, "cosine_tfidf2": bi})
 
 
 def linkage_dataset(raw: DataFrame, ratio: int = 1, blank: str = "keep", seed: int = 0,
