@@ -361,3 +361,179 @@ def q_preview(spark, sf):
     """First 100 embeddings by id, vectors cut to 10 values."""
     from textflow.sources.profile import preview
     return preview(FX.load(spark, sf, "embeddings"), 100, 10, order_by="vec_id")
+
+
+# ---- learning and evaluation ------------------------------------------------------
+
+def _labelled(spark, sf):
+    d = FX.load(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    lab = FX.load(spark, sf, "labels")
+    return d.join(lab, "doc_id").withColumn(
+        "n_lines", F.size(F.split(F.col("text"), "\n", -1)).cast("double")) \
+        .withColumn("score", F.col("n_chars").cast("double"))
+
+
+def _one(spark, value, name):
+    return spark.createDataFrame([(float(value),)], f"{name} double").select(F.round(name, 6).alias(name))
+
+
+@register("auc")
+def q_auc(spark, sf):
+    """Exact area under ROC of document length for the quality label."""
+    from textflow.operators.evaluate import auc
+    return _one(spark, auc(_labelled(spark, sf), "quality", "score"), "auc")
+
+
+@register("roc_points")
+def q_roc_points(spark, sf):
+    """ROC points per distinct score."""
+    from textflow.operators.evaluate import roc_points
+    r = roc_points(_labelled(spark, sf), "quality", "score")
+    return r.select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
+@register("f_by_threshold")
+def q_f_by_threshold(spark, sf):
+    """Precision, recall, F1 per threshold."""
+    from textflow.operators.evaluate import f_by_threshold
+    r = f_by_threshold(_labelled(spark, sf), "quality", "score")
+    return r.select("threshold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+
+
+@register("compare_auc")
+def q_compare_auc(spark, sf):
+    """Two scores compared by AUC."""
+    from textflow.operators.evaluate import compare
+    d = _labelled(spark, sf)
+    c = compare(spark, {"length": (d, "score"), "lines": (d, "n_lines")}, label="quality")
+    return c.select("name", F.round("auc", 6).alias("auc"))
+
+
+@register("measures")
+def q_measures(spark, sf):
+    """E5: regression RMSE / MAE and multiclass accuracy on given predictions."""
+    from textflow.operators.evaluate import measure
+    li = FX.load(spark, sf, "lineitem").join(FX.load(spark, sf, "part"),
+                                             F.col("l_partkey") == F.col("p_partkey"))
+    reg = li.select(F.col("l_extendedprice").alias("label"),
+                    (F.col("l_quantity") * F.col("p_retailprice")).alias("prediction"))
+    lab = FX.load(spark, sf, "labels").select(F.col("quality").cast("double").alias("label"),
+                                              F.col("toxic").cast("double").alias("prediction"))
+    rows = [("rmse", measure(reg, "regression", "rmse")), ("mae", measure(reg, "regression", "mae")),
+            ("accuracy", measure(lab, "multiclass", "accuracy"))]
+    return spark.createDataFrame(rows, "metric string, value double") \
+        .select("metric", F.round("value", 6).alias("value"))
+
+
+@register("linear_regression")
+def q_linear_regression(spark, sf):
+    """M1: extended price on quantity (normal equations, exact)."""
+    from textflow.operators.features import assemble
+    from textflow.operators.learn import linear
+    li = assemble(FX.load(spark, sf, "lineitem"), ["l_quantity"], "features")
+    _, model = linear(li, label="l_extendedprice")
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))],
+                                 "coefficient double, intercept double") \
+        .select(F.round("coefficient", 4).alias("coefficient"), F.round("intercept", 4).alias("intercept"))
+
+
+def _nb_input(spark, sf):
+    from textflow.operators.features import count_vectors
+    from textflow.operators.text import tokenize_regex
+    d = tokenize_regex(_labelled(spark, sf), "text", "tokens")
+    d, cv = count_vectors(d, "tokens", "features", binary=False)
+    return d.withColumn("label", F.col("quality").cast("double")), cv
+
+
+@register("naive_bayes")
+def q_naive_bayes(spark, sf):
+    """M4: class log-priors (term null) and term log-probabilities per class."""
+    from textflow.operators.learn import naive_bayes
+    d, cv = _nb_input(spark, sf)
+    _, model = naive_bayes(d)
+    vocab = spark.createDataFrame(list(enumerate(cv.vocabulary)), "idx int, term string")
+    theta = model.theta.toArray()
+    labels = [float(x) for x in range(model.numClasses)]
+    th = spark.createDataFrame(
+        [(int(labels[c]), j, float(theta[c][j])) for c in range(len(labels)) for j in range(theta.shape[1])],
+        "label int, idx int, log_prob double")
+    pi = spark.createDataFrame([(int(labels[c]), None, float(model.pi[c])) for c in range(len(labels))],
+                               "label int, term string, log_prob double")
+    out = th.join(vocab, "idx").select("label", "term", "log_prob").unionByName(pi)
+    return out.select("label", "term", F.round("log_prob", 6).alias("log_prob"))
+
+
+@register("logistic_regression")
+def q_logistic_regression(spark, sf):
+    """M2 + M5: hashed tf-idf of labelled documents -> quality; applied to all documents."""
+    from pyspark.ml.functions import vector_to_array
+    from textflow.operators.features import hashing_tf, idf
+    from textflow.operators.learn import apply_model, logistic
+    from textflow.operators.text import tokenize_regex
+    d = tokenize_regex(_labelled(spark, sf), "text", "tokens")
+    d, idf_model = idf(hashing_tf(d, "tokens", "tf"), "tf", "features")
+    d = d.withColumn("class", F.col("quality").cast("double")).withColumn("weight", F.lit(1.0))
+    _, model = logistic(d, regParam=0.01)
+    docs = tokenize_regex(FX.load(spark, sf, "documents").select("doc_id", "text"), "text", "tokens")
+    docs = idf_model.transform(hashing_tf(docs, "tokens", "tf"))
+    p = apply_model(model, docs)
+    return p.select("doc_id", "prediction", F.round(vector_to_array("probability")[1], 6).alias("p1"))
+
+
+@register("decision_tree")
+def q_decision_tree(spark, sf):
+    """M3: decision tree on the embedding vectors -> label."""
+    from pyspark.ml.functions import array_to_vector
+    from textflow.operators.learn import tree
+    e = FX.load(spark, sf, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+        F.col("label").cast("double").alias("label"))
+    p, _ = tree(e)
+    return p.select("vec_id", "label", "prediction")
+
+
+@register("kmeans")
+def q_kmeans(spark, sf):
+    """M7: a stage found by name (KMeans) on the embeddings; E5 silhouette."""
+    from pyspark.ml.functions import array_to_vector
+    from textflow.operators.evaluate import measure
+    from textflow.operators.learn import fit_apply, stage
+    e = FX.load(spark, sf, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    p, _ = fit_apply(stage("KMeans", k=4, seed=1), e)
+    sil = measure(p, "clustering", "silhouette")
+    return p.select("vec_id", "prediction", F.lit(round(sil, 6)).alias("silhouette"))
+
+
+@register("cross_validation")
+def q_cross_validation(spark, sf):
+    """M8: 3-fold search over the regularization of the quality model."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from textflow.operators.features import hashing_tf
+    from textflow.operators.learn import search
+    from textflow.operators.text import tokenize_regex
+    d = hashing_tf(tokenize_regex(_labelled(spark, sf), "text", "tokens"), "tokens", "features",
+                   num_features=1 << 12)
+    d = d.withColumn("label", F.col("quality").cast("double"))
+    cv = search(LogisticRegression(maxIter=20), {"regParam": [0.01, 0.1]},
+                BinaryClassificationEvaluator(), d, folds=3)
+    rows = [(float(p), float(m)) for p, m in zip([0.01, 0.1], cv.avgMetrics)]
+    return spark.createDataFrame(rows, "reg_param double, avg_auc double")
+
+
+@register("linkage_model")
+def q_linkage_model(spark, sf):
+    """M2 + M5 + E1 + E4 on the flagship: split the pairs, learn 'same
+    offender', AUC on train and test."""
+    from textflow.operators.evaluate import compare
+    from textflow.operators.learn import apply_model, logistic
+    from textflow.operators.relational import split
+    from textflow.plans.linkage import linkage_dataset
+    scaled, _, _ = linkage_dataset(FX.incidents(spark, sf))
+    data = scaled.select(F.col("feature_vec").alias("features"), "weight",
+                         F.col("class").cast("double").alias("class"))
+    train, test = split(data, (0.9, 0.1), seed=12345)
+    train_p, model = logistic(train)
+    test_p = apply_model(model, test)
+    return compare(spark, {"train": (train_p, "rawPrediction"), "test": (test_p, "rawPrediction")})

@@ -331,3 +331,57 @@ SQL["preview"] = """SELECT CAST(vec_id AS VARCHAR) AS vec_id,
       || CASE WHEN len(embedding) > 10 THEN ', ...' ELSE '' END || ']' AS embedding,
   CAST(label AS VARCHAR) AS label
 FROM embeddings ORDER BY embeddings.vec_id LIMIT 100"""
+
+
+# ---- learning and evaluation -------------------------------------------------------
+
+LABELLED = """WITH lab AS (SELECT d.doc_id, d.text, CAST(d.n_chars AS DOUBLE) AS score,
+    CAST(len(string_split(d.text, chr(10))) AS DOUBLE) AS n_lines, l.quality, l.toxic
+  FROM documents d JOIN labels l USING (doc_id))
+"""
+
+
+def _auc_sql(score: str) -> str:
+    return f"""(SELECT sum(p * (coalesce(n_below, 0) + 0.5 * n)) / (sum(p) * sum(n)) FROM (
+  SELECT p, n, sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_below
+  FROM (SELECT {score} AS s, sum(CASE WHEN quality > 0.5 THEN 1 ELSE 0 END) AS p,
+               sum(CASE WHEN quality > 0.5 THEN 0 ELSE 1 END) AS n FROM lab GROUP BY {score})))"""
+
+
+SQL["auc"] = LABELLED + f"SELECT round({_auc_sql('score')}, 6) AS auc"
+SQL["compare_auc"] = LABELLED + f"""SELECT 'length' AS name, round({_auc_sql('score')}, 6) AS auc
+UNION ALL SELECT 'lines' AS name, round({_auc_sql('n_lines')}, 6) AS auc"""
+
+CUM = LABELLED + """, c AS (SELECT score AS threshold, sum(CASE WHEN quality > 0.5 THEN 1 ELSE 0 END) AS pos,
+    sum(CASE WHEN quality > 0.5 THEN 0 ELSE 1 END) AS neg FROM lab GROUP BY score),
+cum AS (SELECT threshold, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn,
+          sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM c
+        WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
+SQL["roc_points"] = CUM + "SELECT threshold, round(cn / N, 6) AS fpr, round(cp / P, 6) AS tpr FROM cum"
+SQL["f_by_threshold"] = CUM + """SELECT threshold, round(cp / (cp + cn), 6) AS precision, round(cp / P, 6) AS recall,
+  round(coalesce(CASE WHEN (cp / (cp + cn)) + (cp / P) = 0 THEN NULL
+       ELSE 2 * (cp / (cp + cn)) * (cp / P) / ((cp / (cp + cn)) + (cp / P)) END, 0.0), 6) AS f FROM cum"""
+
+SQL["measures"] = """
+SELECT 'rmse' AS metric, round(sqrt(avg((l_extendedprice - l_quantity * p_retailprice) ^ 2)), 6) AS value
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT 'mae', round(avg(abs(l_extendedprice - l_quantity * p_retailprice)), 6)
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT 'accuracy', round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) FROM labels"""
+
+SQL["linear_regression"] = """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS coefficient,
+  round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem"""
+
+SQL["naive_bayes"] = LABELLED + f""", tok AS (SELECT quality AS label, unnest({T2_LIST}) AS term FROM lab),
+vocab AS (SELECT DISTINCT term FROM tok),
+cls AS (SELECT quality AS label, count(*) AS nc FROM lab GROUP BY quality),
+cnt AS (SELECT label, term, count(*) AS c FROM tok GROUP BY label, term),
+tot AS (SELECT label, count(*) AS t FROM tok GROUP BY label)
+SELECT CAST(cls.label AS INTEGER) AS label, vocab.term,
+  round(ln(coalesce(cnt.c, 0) + 1.0) - ln(tot.t + (SELECT count(*) FROM vocab)), 6) AS log_prob
+FROM cls CROSS JOIN vocab JOIN tot ON tot.label = cls.label
+LEFT JOIN cnt ON cnt.label = cls.label AND cnt.term = vocab.term
+UNION ALL
+SELECT CAST(label AS INTEGER), NULL, round(ln(nc + 1.0) - ln((SELECT count(*) FROM lab) + (SELECT count(*) FROM cls)), 6)
+FROM cls"""
