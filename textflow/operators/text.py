@@ -106,7 +106,49 @@ def verb_object_pairs(tagged_long: DataFrame, id_col: str = "doc_id", pos: str =
            for k in range(1, span + 1)]
     x = tagged_long.withColumn("_next", F.array(*nxt))
     noun = F.filter("_next", lambda s: s["g"].startswith("NN"))
-    x = x.where(F.col(tag).startswith("VB")).withColumn("_noun", F.element_at(noun, 1)["t"])
+    x = x.where(F.col(tag).startswith("VB")).withColumn("_noun", F.try_element_at(noun, F.lit(1))["t"])
     return (x.where(F.col("_noun").isNotNull())
             .select(id_col, pos, F.col(token).alias("verb"), F.col("_noun").alias("noun"),
                     F.concat_ws(" ", F.col(token), F.col("_noun")).alias("relation")))
+
+
+# --- stolen-property terms (T9) ------------------------------------------------------
+
+# Headings and words of the stolen-property rule.  The
+# reference's list misses a comma, so 'property' and 'police' became one entry
+# 'propertypolice'; ``compat=True`` keeps that list.
+PROPERTY_HEADINGS = "PROPERTY LIST SUMMARY:|PROPERTY STOLEN:"
+REMOVABLE = ["modus", "operandi", "call", "with", "list", "of", "location", "point", "entry",
+             "value", "property", "police", "stage", "name", "details", "insured", "victim",
+             "address"]
+REMOVABLE_COMPAT = ["modus", "operandi", "call", "with", "list", "of", "location", "point",
+                    "entry", "value", "propertypolice", "stage", "name", "details", "insured",
+                    "victim", "address"]
+NOUN_TAGS = ["NN", "NNS"]
+
+
+def property_text(c) -> Column:
+    """T9 part 1: [] unless the text names PROPERTY; else every piece between
+    property headings (the one before the first, too) up to its first ':' or
+    '_', joined by blanks."""
+    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    pieces = F.split(c, PROPERTY_HEADINGS, -1)
+    cut = F.transform(pieces, lambda p: F.split(p, "[:_]", -1).getItem(0))
+    return F.when(c.contains("PROPERTY"), F.array_join(cut, " ")).otherwise(F.lit(None))
+
+
+def stolen_terms(df: DataFrame, id_col: str, narrative: str, lexicon: DataFrame,
+                 stem: bool = False, compat: bool = False, min_len: int = 3) -> DataFrame:
+    """Noun terms of the stolen-property part -> long (id, pos, term).
+
+    Normalize (T3, optional stem), tag with the unigram lexicon (T8), keep
+    NN/NNS words not in the removal list and of >= ``min_len`` letters.
+    """
+    x = df.select(id_col, property_text(narrative).alias("_pt"))
+    x = normalize_tokens(x, "_pt", "_tok", stem=stem)
+    toks = x.select(id_col, F.posexplode("_tok").alias("pos", "token"))
+    tagged = tag_tokens(toks, lexicon)
+    drop = REMOVABLE_COMPAT if compat else REMOVABLE
+    keep = (F.col("tag").isin(NOUN_TAGS) & ~F.col("token").isin(drop)
+            & (F.length("token") >= min_len))
+    return tagged.where(keep).select(id_col, "pos", F.col("token").alias("term"))

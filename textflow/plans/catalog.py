@@ -537,3 +537,117 @@ def q_linkage_model(spark, sf):
     train_p, model = logistic(train)
     test_p = apply_model(model, test)
     return compare(spark, {"train": (train_p, "rawPrediction"), "test": (test_p, "rawPrediction")})
+
+
+# ---- stems, tags, stolen terms, relations, senses ------------------------------------
+
+@register("stems")
+def q_stems(spark, sf):
+    """T4: Porter stems of every document word (once per distinct word)."""
+    from textflow.operators.stem import stem_vocabulary
+    return stem_vocabulary(FX.tokens(spark, sf), "token")
+
+
+def _lexicon(spark, sf):
+    from textflow.operators.text import train_tagger
+    return train_tagger(FX.tagged_tokens(spark, sf))
+
+
+@register("tagger")
+def q_tagger(spark, sf):
+    """T8 train: most frequent tag per word."""
+    return _lexicon(spark, sf)
+
+
+@register("tag_tokens")
+def q_tag_tokens(spark, sf):
+    """T8 apply: tags of every document token (unknown -> null)."""
+    from textflow.operators.text import tag_tokens
+    return tag_tokens(FX.tokens(spark, sf), _lexicon(spark, sf))
+
+
+@register("verb_object_pairs")
+def q_verb_object_pairs(spark, sf):
+    """T10 (re-aimed): verb + nearest following noun within 4 tokens."""
+    from textflow.operators.text import tag_tokens, verb_object_pairs
+    tagged = tag_tokens(FX.tokens(spark, sf), _lexicon(spark, sf))
+    return verb_object_pairs(tagged, "doc_id", "pos", "token", "tag", span=4)
+
+
+def _stolen(spark, sf):
+    from textflow.operators.text import stolen_terms
+    return stolen_terms(FX.incidents(spark, sf), "incident_id", "narrative", _lexicon(spark, sf))
+
+
+@register("stolen_terms")
+def q_stolen_terms(spark, sf):
+    """Noun terms of the stolen-property part of every narrative."""
+    return _stolen(spark, sf)
+
+
+@register("fingerprint")
+def q_fingerprint(spark, sf):
+    """SHA-224 of every narrative (hashlib-equal; DuckDB has no SHA-224)."""
+    from textflow.functions.incident import fingerprint
+    i = FX.incidents(spark, sf).na.fill({"narrative": ""})
+    return i.select("incident_id", fingerprint("narrative").alias("narrative_hash"))
+
+
+@register("choose_sense")
+def q_choose_sense(spark, sf):
+    """Sense of each stolen term by gloss overlap with the report's terms."""
+    from textflow.operators.senses import choose_sense
+    return choose_sense(_stolen(spark, sf), FX.senses(spark, sf), "incident_id")
+
+
+def _pairs(spark, sf):
+    from textflow.operators import linkage as K
+    rep = _reports(spark, sf)
+    stats = K.link_stats(rep, "offender", 1).first().asDict()
+    return K.positive_pairs(rep).unionByName(K.negative_pairs(rep, stats=stats))
+
+
+def _sense_inputs(spark, sf):
+    from textflow.operators.senses import choose_sense
+    anc = FX.ancestors(spark, sf)
+    depth = anc.agg(F.max("dist")).first()[0] + 1
+    chosen = choose_sense(_stolen(spark, sf), FX.senses(spark, sf), "incident_id")
+    return chosen, anc, depth
+
+
+@register("sense_best")
+def q_sense_best(spark, sf):
+    """D12 (re-aimed): best-match Leacock-Chodorow similarity of every pair."""
+    from textflow.operators.senses import pair_sense_best
+    chosen, anc, depth = _sense_inputs(spark, sf)
+    p = pair_sense_best(_pairs(spark, sf), chosen, anc, depth, "incident_id")
+    return p.select("l", "r", F.round("sense_best", 6).alias("sense_best"))
+
+
+@register("sense_mean")
+def q_sense_mean(spark, sf):
+    """Mean similarity over all sense pairs of every pair."""
+    from textflow.operators.senses import pair_sense_mean
+    chosen, anc, depth = _sense_inputs(spark, sf)
+    p = pair_sense_mean(_pairs(spark, sf), chosen, anc, depth, "incident_id")
+    return p.select("l", "r", F.round("sense_mean", 6).alias("sense_mean"))
+
+
+@register("pair_overlap")
+def q_pair_overlap(spark, sf):
+    """Stolen-term list overlap of every pair."""
+    from textflow.operators.linkage import pair_overlap
+    p = pair_overlap(_pairs(spark, sf), _stolen(spark, sf), "incident_id")
+    return p.select("l", "r", F.round("overlap", 6).alias("overlap"))
+
+
+@register("pair_overlap_idf")
+def q_pair_overlap_idf(spark, sf):
+    """Idf-weighted stolen-term overlap of every pair."""
+    from textflow.operators.linkage import pair_overlap
+    st = _stolen(spark, sf)
+    n = FX.incidents(spark, sf).count()
+    idf = st.groupBy("term").agg(F.count_distinct("incident_id").alias("df")) \
+        .select("term", F.log(F.lit(n + 1.0) / (F.col("df") + 1)).alias("idf"))
+    p = pair_overlap(_pairs(spark, sf), st, "incident_id", idf=idf)
+    return p.select("l", "r", F.round("overlap", 6).alias("overlap"))

@@ -99,7 +99,7 @@ TOKENS_DUCK = """
 tokens AS (
   SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, toks[i] AS token
   FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i
-        FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), x -> x <> '') AS toks
+        FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS toks
               FROM documents)))"""
 
 
@@ -110,13 +110,25 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGGED_SELECT = """
 SELECT token, CASE WHEN doc_id % 5 = 0 THEN 'VB' WHEN length(token) % 3 = 0 THEN 'NN'
                    WHEN length(token) % 3 = 1 THEN 'NNS' ELSE 'DT' END AS tag
-FROM {tokens}"""
+FROM {tokens}
+UNION ALL
+SELECT lower(w) AS token, CASE WHEN i = n THEN 'NN' ELSE 'JJ' END AS tag
+FROM {part_words}"""
 
-TAGGED_DUCK = "tagged_tokens AS (" + _TAGGED_SELECT.replace("{tokens}", "tokens") + ")"
+_PART_WORDS_SPARK = """
+SELECT posexplode(split(p_name, ' ')) AS (i0, w), size(split(p_name, ' ')) AS n FROM {part}"""
+
+TAGGED_DUCK = """tagged_tokens AS (""" + _TAGGED_SELECT.replace("{tokens}", "tokens").replace(
+    "{part_words}", """(SELECT unnest(string_split(p_name, ' ')) AS w,
+        unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i, len(string_split(p_name, ' ')) AS n FROM part)""") + ")"
 
 
 def tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_TAGGED_SELECT, tokens=tokens(spark, sf_dir))
+    """Tagger training rows: document tokens tagged by a rule, plus part-name
+    words (last word NN, the others JJ)."""
+    words = spark.sql(_PART_WORDS_SPARK, part=load(spark, sf_dir, "part")) \
+        .selectExpr("w", "i0 + 1 AS i", "n")
+    return spark.sql(_TAGGED_SELECT, tokens=tokens(spark, sf_dir), part_words=words)
 
 
 # --- senses, ancestors -----------------------------------------------------------

@@ -385,3 +385,87 @@ LEFT JOIN cnt ON cnt.label = cls.label AND cnt.term = vocab.term
 UNION ALL
 SELECT CAST(label AS INTEGER), NULL, round(ln(nc + 1.0) - ln((SELECT count(*) FROM lab) + (SELECT count(*) FROM cls)), 6)
 FROM cls"""
+
+
+# ---- stems, tags, stolen terms, relations, senses -----------------------------------
+
+from textflow.operators.text import REMOVABLE as _REMOVABLE  # noqa: E402
+
+LEX = with_ctes(FX.TOKENS_DUCK, FX.TAGGED_DUCK, """lex AS (
+  SELECT token, first(tag ORDER BY c DESC, tag) AS tag
+  FROM (SELECT token, tag, count(*) AS c FROM tagged_tokens GROUP BY token, tag) GROUP BY token)""")
+
+SQL["tagger"] = LEX + "SELECT token, tag FROM lex"
+SQL["tag_tokens"] = LEX + "SELECT t.token, t.doc_id, t.pos, lex.tag FROM tokens t LEFT JOIN lex USING (token)"
+
+_leads = ", ".join(f"lead(token, {k}) OVER w AS t{k}, lead(tag, {k}) OVER w AS g{k}" for k in range(1, 5))
+_noun = " ".join(f"WHEN g{k} LIKE 'NN%' THEN t{k}" for k in range(1, 5))
+SQL["verb_object_pairs"] = LEX + f""", tagged AS (SELECT t.doc_id, t.pos, t.token, lex.tag
+  FROM tokens t LEFT JOIN lex USING (token)),
+nx AS (SELECT doc_id, pos, token, tag, {_leads} FROM tagged WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, token AS verb, noun, token || ' ' || noun AS relation FROM (
+  SELECT *, CASE {_noun} END AS noun FROM nx WHERE tag LIKE 'VB%') WHERE noun IS NOT NULL"""
+
+_REMOVE = "[" + ", ".join(f"'{w}'" for w in _REMOVABLE) + "]"
+STOLEN_CTES = LEX.rstrip() + ",\n" + FX.INCIDENTS_DUCK + f""",
+pt AS (SELECT incident_id, CASE WHEN contains(coalesce(narrative, ''), 'PROPERTY') THEN array_to_string(
+         list_transform(regexp_split_to_array(coalesce(narrative, ''), 'PROPERTY LIST SUMMARY:|PROPERTY STOLEN:'),
+                        lambda p: regexp_split_to_array(p, '[:_]')[1]), ' ') END AS text FROM incidents),
+ptoks AS ({_long(T3_LIST, 'token', src='pt', id_col='incident_id')}),
+stolen AS (SELECT incident_id, pos, token AS term FROM ptoks LEFT JOIN lex USING (token)
+           WHERE tag IN ('NN', 'NNS') AND NOT list_contains({_REMOVE}, token) AND length(token) >= 3)
+"""
+SQL["stolen_terms"] = STOLEN_CTES + "SELECT incident_id, pos, term FROM stolen"
+
+SENSE_CTES = f""",
+{FX.SENSES_DUCK.strip()},
+{FX.ANCESTORS_DUCK.strip()},
+tdist AS (SELECT DISTINCT incident_id, term FROM stolen),
+scand AS (SELECT DISTINCT t.incident_id, t.term, s.sense FROM tdist t JOIN senses s ON s.term = t.term),
+gl AS (SELECT DISTINCT sense, gloss_term FROM senses),
+hits AS (SELECT c.incident_id, c.term, c.sense, count(*) AS o FROM scand c JOIN gl USING (sense)
+         JOIN tdist x ON x.incident_id = c.incident_id AND x.term = gl.gloss_term GROUP BY ALL),
+chosen AS (SELECT c.incident_id, c.term, first(c.sense ORDER BY coalesce(h.o, 0) DESC, c.sense) AS sense
+           FROM scand c LEFT JOIN hits h USING (incident_id, term, sense) GROUP BY c.incident_id, c.term)
+"""
+SQL["choose_sense"] = STOLEN_CTES + SENSE_CTES + "SELECT incident_id, term, sense FROM chosen"
+
+# the pair CTEs need the feature CTEs; stolen terms need the lexicon
+_PAIRS_ONLY = (with_ctes(FX.TOKENS_DUCK, FX.TAGGED_DUCK).rstrip() + ",\n" + INCIDENT_CTES[len("WITH "):].rstrip()
+               + K1_CTES.rstrip() + POS_CTE.rstrip() + NEG_CTE.rstrip() + """,
+pairs AS MATERIALIZED (SELECT * FROM pos UNION ALL SELECT * FROM neg),
+lex AS (SELECT token, first(tag ORDER BY c DESC, tag) AS tag
+  FROM (SELECT token, tag, count(*) AS c FROM tagged_tokens GROUP BY token, tag) GROUP BY token)""")
+_STOLEN_ONLY = STOLEN_CTES[STOLEN_CTES.index("pt AS ("):]
+PAIR_SENSE = _PAIRS_ONLY + ",\n" + _STOLEN_ONLY.rstrip() + SENSE_CTES + """,
+sp AS (SELECT p.l, p.r, a.sense AS a, b.sense AS b FROM (SELECT DISTINCT l, r FROM pairs) p
+       JOIN chosen a ON a.incident_id = p.l JOIN chosen b ON b.incident_id = p.r),
+sims AS (SELECT ab.a, ab.b, -ln((min(x.dist + y.dist) + 1) / (2.0 * (SELECT max(dist) + 1 FROM ancestors))) AS sim
+         FROM (SELECT DISTINCT a, b FROM sp) ab JOIN ancestors x ON x.sense = ab.a
+         JOIN ancestors y ON y.sense = ab.b AND y.ancestor = x.ancestor GROUP BY ab.a, ab.b)
+"""
+SQL["sense_best"] = PAIR_SENSE + """,
+sbest AS (SELECT l, r, avg(bs) AS sense_best FROM (SELECT sp.l, sp.r, sp.a, max(sims.sim) AS bs
+         FROM sp LEFT JOIN sims USING (a, b) GROUP BY sp.l, sp.r, sp.a) GROUP BY l, r)
+SELECT p.l, p.r, round(sbest.sense_best, 6) AS sense_best FROM pairs p LEFT JOIN sbest USING (l, r)"""
+SQL["sense_mean"] = PAIR_SENSE + """,
+m AS (SELECT sp.l, sp.r, sum(coalesce(sims.sim, 0.0)) / (count(DISTINCT sp.a) * count(DISTINCT sp.b)) AS sense_mean
+      FROM sp LEFT JOIN sims USING (a, b) GROUP BY sp.l, sp.r)
+SELECT p.l, p.r, round(m.sense_mean, 6) AS sense_mean FROM pairs p LEFT JOIN m USING (l, r)"""
+
+OVERLAP = _PAIRS_ONLY + ",\n" + _STOLEN_ONLY.rstrip() + """,
+cnt AS (SELECT incident_id, term, count(*) AS c FROM stolen GROUP BY ALL),
+sz AS (SELECT incident_id, count(*) AS s FROM stolen GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT count(*) FROM incidents) + 1.0) / (count(DISTINCT incident_id) + 1)) AS w
+        FROM stolen GROUP BY term),
+pa AS MATERIALIZED (SELECT p.l, p.r, a.term, a.c FROM (SELECT DISTINCT l, r FROM pairs) p
+      JOIN cnt a ON a.incident_id = p.l),
+m AS (SELECT pa.l, pa.r, sum(pa.c * b.c * {W}) AS m FROM pa
+      JOIN cnt b ON b.incident_id = pa.r AND b.term = pa.term {J} GROUP BY pa.l, pa.r)
+SELECT p.l, p.r, round(CASE WHEN sl.s IS NULL OR sr.s IS NULL THEN NULL
+                      ELSE coalesce(m.m, 0.0) / ((sl.s + 1) * (sr.s + 1)) END, 6) AS overlap
+FROM pairs p LEFT JOIN sz sl ON sl.incident_id = p.l LEFT JOIN sz sr ON sr.incident_id = p.r
+LEFT JOIN m ON m.l = p.l AND m.r = p.r"""
+SQL["pair_overlap"] = OVERLAP.replace("{W}", "1.0").replace("{J}", "")
+SQL["pair_overlap_idf"] = OVERLAP.replace("{W}", "coalesce(idf.w, 0.0)").replace(
+    "{J}", "LEFT JOIN idf ON idf.term = pa.term")
