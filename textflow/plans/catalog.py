@@ -651,3 +651,134 @@ def q_pair_overlap_idf(spark, sf):
         .select("term", F.log(F.lit(n + 1.0) / (F.col("df") + 1)).alias("idf"))
     p = pair_overlap(_pairs(spark, sf), st, "incident_id", idf=idf)
     return p.select("l", "r", F.round("overlap", 6).alias("overlap"))
+
+
+# ---- sources, user steps, stages -----------------------------------------------------
+
+@register("read_delimited")
+def q_read_delimited(spark, sf):
+    """Orders written as CSV and TSV to the shared folder, read back with
+    inferred types."""
+    from textflow.sources.files import read_delimited, scratch_path, write_delimited
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    o = FX.load(spark, sf, "orders").select(*cols)
+    outs = []
+    for fmt in ("csv", "tsv"):
+        path = write_delimited(o, scratch_path(spark, f"orders-{fmt}"), fmt)
+        outs.append(read_delimited(spark, path, fmt).select(
+            F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus",
+            F.col("o_totalprice").cast("double"), "o_orderpriority", F.lit(fmt).alias("fmt")))
+    return outs[0].unionByName(outs[1])
+
+
+@register("row_id")
+def q_row_id(spark, sf):
+    """Dense row id by key without a one-partition window."""
+    from textflow.sources.files import with_row_id
+    return with_row_id(FX.load(spark, sf, "customer").select("c_custkey", "c_name"),
+                       "_id", order_by="c_custkey")
+
+
+@register("user_step")
+def q_user_step(spark, sf):
+    """A user step over named frames."""
+    from textflow.operators.stages import apply_step
+
+    def step(df, df1):
+        return df.join(df1, df.o_custkey == df1.c_custkey).groupBy("c_mktsegment") \
+            .agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return apply_step(step, df=FX.load(spark, sf, "orders"), df1=FX.load(spark, sf, "customer"))
+
+
+@register("pipeline_stages")
+def q_pipeline_stages(spark, sf):
+    """Custom stages in a Pipeline: incident features, then the
+    normalizing tokenizer on the method-of-entry text."""
+    from pyspark.ml import Pipeline
+    from textflow.operators.stages import IncidentFeatures, NormalizingTokenizer
+    from textflow.operators.text import long_tokens
+    pipe = Pipeline(stages=[IncidentFeatures(),
+                            NormalizingTokenizer(inputCol="method_of_entry", outputCol="tokens")])
+    out = pipe.fit(FX.incidents(spark, sf)).transform(FX.incidents(spark, sf))
+    return long_tokens(out, "incident_id", "tokens")
+
+
+# ---- learned / hashed / random results (rows-only checks) ------------------------------
+
+@register("hashing_tf")
+def q_hashing_tf(spark, sf):
+    """hashed term frequencies of every document (2^18 buckets)."""
+    from pyspark.ml.functions import vector_to_array
+    from textflow.operators.features import hashing_tf
+    from textflow.operators.text import tokenize_regex
+    d = hashing_tf(tokenize_regex(_docs(spark, sf), "text", "tokens"), "tokens", "tf")
+    total = F.aggregate(vector_to_array("tf"), F.lit(0.0), lambda a, x: a + x)
+    return d.select("doc_id", F.size("tokens").alias("n_tokens"), total.alias("tf_total"))
+
+
+@register("idf_vectors")
+def q_idf_vectors(spark, sf):
+    """F3 as vectors: HashingTF -> IDF model -> tf-idf norm per document."""
+    from pyspark.ml.functions import vector_to_array
+    from textflow.operators.features import hashing_tf, idf
+    from textflow.operators.text import tokenize_regex
+    d = hashing_tf(tokenize_regex(_docs(spark, sf), "text", "tokens"), "tokens", "tf")
+    d, _ = idf(d, "tf", "tfidf")
+    a = vector_to_array("tfidf")
+    return d.select("doc_id", F.round(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)), 6)
+                    .alias("norm"))
+
+
+def _w2v(spark, sf):
+    from textflow.operators.features import word2vec
+    from textflow.operators.text import tokenize_regex
+    d = tokenize_regex(_docs(spark, sf), "text", "tokens")
+    return word2vec(d, "tokens", "vec", size=100, min_count=5, window=5, step=0.025,
+                    iterations=1, max_sentence=1000)
+
+
+@register("word2vec")
+def q_word2vec(spark, sf):
+    """Word2Vec; a document is the mean of its word vectors."""
+    from pyspark.ml.functions import vector_to_array
+    d, _ = _w2v(spark, sf)
+    return d.select("doc_id", F.slice(vector_to_array("vec"), 1, 3).alias("head"))
+
+
+@register("doc_embedding")
+def q_doc_embedding(spark, sf):
+    """F5 (re-aimed): tf-idf weighted mean of Word2Vec word vectors."""
+    from pyspark.ml.functions import vector_to_array
+    from textflow.operators.features import doc_embedding, tf_idf_terms
+    d, model = _w2v(spark, sf)
+    wv = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    w = tf_idf_terms(d, "doc_id", "tokens")
+    emb = doc_embedding(w, wv, w, "doc_id")
+    return d.select("doc_id").join(emb, "doc_id", "left").select(
+        "doc_id", F.slice("embedding", 1, 3).alias("head"))
+
+
+@register("pca")
+def q_pca(spark, sf):
+    """PCA of the embeddings to 3 dimensions."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from textflow.operators.features import reduce_dims
+    e = FX.load(spark, sf, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    p, _ = reduce_dims(e, "features", "pc", 3)
+    return p.select("vec_id", vector_to_array("pc").alias("pc"))
+
+
+@register("random_split")
+def q_random_split(spark, sf):
+    """randomSplit 0.9 / 0.1, seed 12345."""
+    from textflow.operators.relational import split
+    train, test = split(FX.load(spark, sf, "orders").select("o_orderkey"), (0.9, 0.1), 12345)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@register("sample")
+def q_sample(spark, sf):
+    """Bernoulli sample, fraction 0.5, seed 1 (the sample is the feature)."""
+    from textflow.operators.relational import sample
+    return sample(FX.load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), False, 0.5, 1)

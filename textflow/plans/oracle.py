@@ -469,3 +469,14 @@ LEFT JOIN m ON m.l = p.l AND m.r = p.r"""
 SQL["pair_overlap"] = OVERLAP.replace("{W}", "1.0").replace("{J}", "")
 SQL["pair_overlap_idf"] = OVERLAP.replace("{W}", "coalesce(idf.w, 0.0)").replace(
     "{J}", "LEFT JOIN idf ON idf.term = pa.term")
+
+
+# ---- sources, user steps, stages ---------------------------------------------------------
+
+SQL["read_delimited"] = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, fmt
+FROM orders, (SELECT 'csv' AS fmt UNION ALL SELECT 'tsv')"""
+SQL["row_id"] = "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS _id FROM customer"
+SQL["user_step"] = """SELECT c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
+SQL["pipeline_stages"] = INCIDENT_CTES + _long(T3_LIST.replace("lower(text)", "lower(method_of_entry)"),
+                                               "token", src="features", id_col="incident_id")
