@@ -466,7 +466,6 @@ def q_naive_bayes(spark, sf):
 @register("logistic_regression")
 def q_logistic_regression(spark, sf):
     """M2 + M5: hashed tf-idf of labelled documents -> quality; applied to all documents."""
-    from pyspark.ml.functions import vector_to_array
     from textflow.operators.features import hashing_tf, idf
     from textflow.operators.learn import apply_model, logistic
     from textflow.operators.text import tokenize_regex
@@ -708,25 +707,20 @@ def q_pipeline_stages(spark, sf):
 @register("hashing_tf")
 def q_hashing_tf(spark, sf):
     """hashed term frequencies of every document (2^18 buckets)."""
-    from pyspark.ml.functions import vector_to_array
     from textflow.operators.features import hashing_tf
     from textflow.operators.text import tokenize_regex
     d = hashing_tf(tokenize_regex(_docs(spark, sf), "text", "tokens"), "tokens", "tf")
-    total = F.aggregate(vector_to_array("tf"), F.lit(0.0), lambda a, x: a + x)
-    return d.select("doc_id", F.size("tokens").alias("n_tokens"), total.alias("tf_total"))
+    return d.select("doc_id", F.size("tokens").alias("n_tokens"), "tf")
 
 
 @register("idf_vectors")
 def q_idf_vectors(spark, sf):
     """F3 as vectors: HashingTF -> IDF model -> tf-idf norm per document."""
-    from pyspark.ml.functions import vector_to_array
     from textflow.operators.features import hashing_tf, idf
     from textflow.operators.text import tokenize_regex
     d = hashing_tf(tokenize_regex(_docs(spark, sf), "text", "tokens"), "tokens", "tf")
     d, _ = idf(d, "tf", "tfidf")
-    a = vector_to_array("tfidf")
-    return d.select("doc_id", F.round(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)), 6)
-                    .alias("norm"))
+    return d.select("doc_id", "tfidf")
 
 
 def _w2v(spark, sf):
