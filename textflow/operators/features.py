@@ -172,10 +172,10 @@ def count_vector_terms(df: DataFrame, id_col: str, tokens: str, min_df: float =
     else:
         threshold = F.lit(min_df)
     stats = stats.where(F.col("_df") >= threshold)
-    n_terms = stats.count()
-    if n_terms > vocab_size:
-        stats = stats.orderBy(F.desc("_tot"), "term").limit(vocab_size)
-    out = tf.join(stats.select("term"), "term", "left_semi")
+    # the vocabulary is the top ``vocab_size`` terms: a per-partition top-k
+    # and one merge, at most vocab_size rows -- a proven broadcast bound
+    vocab = stats.orderBy(F.desc("_tot"), "term").limit(vocab_size).select("term")
+    out = tf.join(F.broadcast(vocab), "term", "left_semi")
     if binary:
         out = out.withColumn("tf", F.lit(1.0))
     return out.select(id_col, "term", "tf")

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 
 from textflow.functions import distance as D
 from textflow.operators.partitioned import blocked_pairs, checked_broadcast, position_index
+from textflow.session import cut_lineage
 
 # Report-side tables up to this many rows are broadcast to the pair joins
 # (each row: a few ints and two short term maps); larger ones are shuffled.
@@ -68,13 +69,20 @@ def primary_offender(df: DataFrame, fingerprint: str = "narrative_hash",
     return out.withColumn(offender, F.coalesce(F.col("_primary"), F.col(offender))).drop("_primary")
 
 
-def link_stats(df: DataFrame, group: str, ratio: int = 1) -> DataFrame:
+def link_stats(df: DataFrame, group: str, ratio: int = 1, id_col: str | None = None) -> DataFrame:
     """A5: one row: groups, linked (sum of n choose 2), reports, to_select
-    (ceil(linked / groups) * ratio) and the class balance ratio."""
-    sizes = count_by(df, group, "_n")
-    s = sizes.agg(F.count(F.lit(1)).alias("groups"),
-                  F.sum(F.col("_n") * (F.col("_n") - 1) / 2).cast("long").alias("linked"),
-                  F.sum("_n").cast("long").alias("reports"))
+    (ceil(linked / groups) * ratio) and the class balance ratio.  With
+    ``id_col`` also the id range (min_id, max_id) from the same pass."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if id_col:
+        aggs += [F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi")]
+    sizes = df.groupBy(group).agg(*aggs)
+    out = [F.count(F.lit(1)).alias("groups"),
+           F.sum(F.col("_n") * (F.col("_n") - 1) / 2).cast("long").alias("linked"),
+           F.sum("_n").cast("long").alias("reports")]
+    if id_col:
+        out += [F.min("_lo").alias("min_id"), F.max("_hi").alias("max_id")]
+    s = sizes.agg(*out)
     s = s.withColumn("to_select", (F.ceil(F.col("linked") / F.col("groups")) * F.lit(ratio)).cast("long"))
     return s.withColumn(
         "balance", F.try_divide(F.col("to_select") * F.col("reports"),
@@ -109,8 +117,8 @@ def negative_pairs(df: DataFrame, group: str = "offender", id_col: str = "incide
     independent between reports, which is fine for training negatives.
     Raises ValueError when K > G - 1 (not enough other groups).
     """
-    if stats is None:
-        stats = link_stats(df, group, ratio).first().asDict()
+    if stats is None or "min_id" not in stats:
+        stats = link_stats(df, group, ratio, id_col=id_col).first().asDict()
     g, k = int(stats["groups"]), int(stats["to_select"] or 0)
     schema = StructType([StructField("l", LongType()), StructField("r", LongType()),
                          StructField("weight", DoubleType(), False),
@@ -122,8 +130,9 @@ def negative_pairs(df: DataFrame, group: str = "offender", id_col: str = "incide
     stride = next(p for p in STRIDES if (g - 1) % p != 0)
 
     groups = df.groupBy(group).agg(F.min(id_col).alias("_gkey"), F.count(F.lit(1)).alias("_n"))
-    groups = position_index(groups, "_gkey", name="_gid")
-    ranked = position_index(df.select(id_col, group), id_col, by=[group], name="_rk")
+    bounds = (int(stats["min_id"]), int(stats["max_id"]))
+    groups = position_index(groups, "_gkey", name="_gid", bounds=bounds)
+    ranked = position_index(df.select(id_col, group), id_col, by=[group], name="_rk", bounds=bounds)
     reports = ranked.join(groups.select(group, "_gid"), group)
 
     h = F.pmod(F.col(id_col) + F.lit(seed), F.lit(HASH_MOD))
@@ -172,7 +181,8 @@ def _distance(kind, lcols, rcols):
 
 
 def pair_features(pairs: DataFrame, reports: DataFrame, id_col: str = "incident_id",
-                  specs=DISTANCES, vectors: dict | None = None) -> DataFrame:
+                  specs=DISTANCES, vectors: dict | None = None,
+                  checkpoint_side: bool = True) -> DataFrame:
     """K4: join both reports of each pair once and compute every distance.
 
     ``vectors``: optional {name: (id, terms, norm) frame}; each adds a cosine
@@ -186,6 +196,9 @@ def pair_features(pairs: DataFrame, reports: DataFrame, id_col: str = "incident_
         side = side.join(vec.select(id_col, F.col("terms").alias(f"_t{i}"),
                                     F.col("norm").alias(f"_n{i}")), id_col, "left")
     side_cols = [c for c in side.columns if c != id_col]
+    if vectors and checkpoint_side:
+        # both pair sides and the size check read it: write it once
+        side = cut_lineage(side)
     side = checked_broadcast(side, SIDE_BROADCAST_ROWS)
     left = side.select(F.col(id_col).alias("l"), *[F.col(c).alias(f"l_{c}") for c in side_cols])
     right = side.select(F.col(id_col).alias("r"), *[F.col(c).alias(f"r_{c}") for c in side_cols])
@@ -241,19 +254,51 @@ def pair_overlap(pairs: DataFrame, terms: DataFrame, id_col: str, term: str = "t
 # --- missing values, assembly, scaling (K5) -------------------------------------
 
 def finish_features(df: DataFrame, keep=("weight", "class"), ids=("l", "r")):
-    """K5: fill int features with their rounded mean, impute doubles by mean,
-    assemble 'raw_feature_vec', min-max scale to 'feature_vec'.
-
-    Returns (scaled, raw, feature_names): ``raw`` is the frame after missing
-    values are handled; ``feature_names`` the order of the vector slots.
+    """K5: fill int features with their mean rounded half-to-even, impute
+    double features with their mean (null and NaN are missing), assemble
+    'raw_feature_vec' and min-max scale it to [0, 1] as 'feature_vec'
+    (a constant slot gives 0.5).
+
+    Same results as na.fill + Imputer + VectorAssembler + MinMaxScaler, but
+    one aggregation pass gives every statistic: filling with a mean never
+    moves a column's min or max, so min/max of the filled column are those of
+    its present values.  Returns (scaled, raw, feature_names); ``raw`` has
+    the filled columns (doubles renamed <c>_imputed, as Imputer names them).
     """
-    from textflow.operators.features import assemble, fill_int_mean, impute_mean, scale_minmax
+    from pyspark.ml.functions import array_to_vector
     dtypes = dict(df.dtypes)
     feats = [c for c in df.columns if c not in keep and c not in ids]
     ints = [c for c in feats if dtypes[c] not in ("float", "double")]
     dbls = [c for c in feats if dtypes[c] in ("float", "double")]
-    raw = impute_mean(fill_int_mean(df, ints), dbls)
+
+    def present(c):
+        return F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c)) if c in dbls else F.col(c)
+
+    aggs = []
+    for c in feats:
+        aggs += [F.avg(present(c)).alias(f"a_{c}"), F.min(present(c)).alias(f"lo_{c}"),
+                 F.max(present(c)).alias(f"hi_{c}")]
+    st = df.agg(*aggs).first().asDict()
+    filled = []
+    for c in ints:
+        mean = st[f"a_{c}"]
+        fill = F.lit(None) if mean is None else F.bround(F.lit(mean), 0).cast(dtypes[c])
+        filled.append(F.coalesce(F.col(c), fill).alias(c))
+    for c in dbls:
+        mean = st[f"a_{c}"]
+        fill = F.lit(None).cast("double") if mean is None else F.lit(float(mean))
+        filled.append(F.coalesce(present(c), fill).alias(c + "_imputed"))
+    raw = df.select(*ids, *filled, *keep)
     names = ints + [c + "_imputed" for c in dbls]
-    vec = assemble(raw, names, "raw_feature_vec").select(*ids, "raw_feature_vec", *keep)
-    scaled, _ = scale_minmax(vec, "raw_feature_vec", "feature_vec")
-    return scaled, raw, names
+    scaled_cols = []
+    for c, n in zip(ints + dbls, names):
+        lo, hi = st[f"lo_{c}"], st[f"hi_{c}"]
+        x = F.col(n).cast("double")
+        if lo is None or hi == lo:
+            scaled_cols.append(F.when(x.isNull(), F.lit(None)).otherwise(F.lit(0.5)))
+        else:
+            scaled_cols.append((x - F.lit(float(lo))) / F.lit(float(hi - lo)))
+    out = raw.select(*ids, array_to_vector(F.array(*[F.col(n).cast("double") for n in names]))
+                     .alias("raw_feature_vec"), *keep,
+                     array_to_vector(F.array(*scaled_cols)).alias("feature_vec"))
+    return out, raw, names

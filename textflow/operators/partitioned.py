@@ -17,7 +17,7 @@ BROADCAST_ROWS = 2_000_000
 
 
 def position_index(df: DataFrame, order_col: str, by=(), name: str = "_pos",
-                   max_cells: int = MAX_CELLS) -> DataFrame:
+                   max_cells: int = MAX_CELLS, bounds: tuple | None = None) -> DataFrame:
     """0-based position of each row by ``order_col`` within ``by`` (or overall).
 
     ``order_col`` is an integer unique within ``by``.  Rows are cut into cells
@@ -26,10 +26,14 @@ def position_index(df: DataFrame, order_col: str, by=(), name: str = "_pos",
     group.  No task ever holds a whole group; the only unpartitioned window
     runs over at most ``max_cells`` cell sizes.  The result depends on the data
     only (not on partitioning), so recomputation after a lost executor gives
-    the same numbers.
+    the same numbers.  ``bounds`` = (lo, hi), any range holding every
+    ``order_col`` value, saves the pass that finds it.
     """
     by = list(by)
-    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    if bounds is None:
+        lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    else:
+        lo, hi = bounds
     if lo is None:
         return df.withColumn(name, F.lit(None).cast("long"))
     width = max(1, -(-(int(hi) - int(lo) + 1) // max_cells))

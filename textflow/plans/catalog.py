@@ -34,8 +34,11 @@ def q_incident_features(spark: SparkSession, sf: str) -> DataFrame:
 # ---- linkage ------------------------------------------------------------------
 
 def _reports(spark, sf, blank="keep"):
+    """Prepared reports, written once to the shared checkpoint folder: the
+    pair queries read them in several passes."""
     from textflow.plans.linkage import prepared_reports
-    return prepared_reports(FX.incidents(spark, sf), blank=blank)
+    from textflow.session import cut_lineage
+    return cut_lineage(prepared_reports(FX.incidents(spark, sf), blank=blank))
 
 
 @register("primary_offender")
@@ -602,7 +605,7 @@ def q_choose_sense(spark, sf):
 def _pairs(spark, sf):
     from textflow.operators import linkage as K
     rep = _reports(spark, sf)
-    stats = K.link_stats(rep, "offender", 1).first().asDict()
+    stats = K.link_stats(rep, "offender", 1, id_col="incident_id").first().asDict()
     return K.positive_pairs(rep).unionByName(K.negative_pairs(rep, stats=stats))
 
 

@@ -36,7 +36,7 @@ def prepared_reports(raw: DataFrame, blank: str = "keep", fix_noon: bool = False
 def linkage_pairs(reports: DataFrame, ratio: int = 1, seed: int = 0,
                   stem: bool = False) -> DataFrame:
     """K2 + K3 + K4: labelled pairs with one distance column per feature."""
-    stats = K.link_stats(reports, "offender", ratio).first().asDict()
+    stats = K.link_stats(reports, "offender", ratio, id_col=ID).first().asDict()
     pos = K.positive_pairs(reports, "offender", ID)
     neg = K.negative_pairs(reports, "offender", ID, ratio=ratio, seed=seed, stats=stats)
     pairs = pos.unionByName(neg)
@@ -56,6 +56,9 @@ def linkage_dataset(raw: DataFrame, ratio: int = 1, blank: str = "keep", seed: i
     once to the shared checkpoint folder instead of being recomputed.
     """
     reports = prepared_reports(raw, blank=blank)
+    if checkpoint:
+        # read by several passes (statistics, pairs, term vectors)
+        reports = cut_lineage(reports)
     pairs = linkage_pairs(reports, ratio=ratio, seed=seed, stem=stem)
     if checkpoint:
         pairs = cut_lineage(pairs)
