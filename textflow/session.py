@@ -64,6 +64,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
+    """Reliable checkpoint into the shared checkpoint folder (never a local one).
+
+    The frame is persisted while the checkpoint is written, so the plan runs
+    once (the checkpoint job would otherwise compute it a second time)."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=eager)
+    if eager:
+        df.unpersist()
+    return out
