@@ -36,8 +36,12 @@ def normalized_tokens(c) -> Column:
     """T3 as a column: lower, delete ASCII punctuation, split words, drop empties."""
     c = F.col(c) if isinstance(c, str) else c
     text = F.translate(F.lower(c), PUNCTUATION, "")
-    for a, b in SPLIT_WORDS:
-        text = F.regexp_replace(text, rf"\b({a})({b})\b", "$1 $2")
+    # one pass for all splits: groups of the alternatives that did not take
+    # part are empty in the replacement
+    pattern = r"\b(?:" + "|".join(f"({a})({b})" for a, b in SPLIT_WORDS) + r")\b"
+    firsts = "".join(f"${2 * i + 1}" for i in range(len(SPLIT_WORDS)))
+    seconds = "".join(f"${2 * i + 2}" for i in range(len(SPLIT_WORDS)))
+    text = F.regexp_replace(text, pattern, f"{firsts} {seconds}")
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
