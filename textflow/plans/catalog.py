@@ -779,3 +779,50 @@ def q_sample(spark, sf):
     """Bernoulli sample, fraction 0.5, seed 1 (the sample is the feature)."""
     from textflow.operators.relational import sample
     return sample(FX.load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), False, 0.5, 1)
+
+
+# ---- streaming, stemmed linkage, relation cosines --------------------------------------
+
+@register("streaming_incident_features")
+def q_streaming_incident_features(spark, sf):
+    """Streaming: report files -> readStream -> X1-X10/T12 -> parquet sink
+    (availableNow, checkpoint in the shared folder) -> the sink read back."""
+    import os
+    from textflow.sources.files import scratch_path
+    from textflow.streaming import stream_incident_features, stream_reports, write_stream
+    base = scratch_path(spark, "stream")
+    inc = FX.incidents(spark, sf)
+    inc.write.mode("overwrite").parquet(os.path.join(base, "in"))
+    s = stream_reports(spark, os.path.join(base, "in"), inc.schema)
+    q = write_stream(stream_incident_features(s), os.path.join(base, "out"), os.path.basename(base))
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(base, "out"))
+    return out.select("incident_id", "offender", "location_code", "ordinal_date", "hour",
+                      "entry_location", "entry_point", "day_of_week", "grid_key",
+                      "method_of_entry", "messy", "signature", "property_secure")
+
+
+@register("linkage_dataset_stemmed")
+def q_linkage_dataset_stemmed(spark, sf):
+    """K6 with Porter-stemmed method-of-entry terms (T4 inside the cosines)."""
+    from textflow.plans.linkage import flat_scaled, linkage_dataset
+    scaled, _, names = linkage_dataset(FX.incidents(spark, sf), stem=True)
+    return flat_scaled(scaled, names)
+
+
+@register("cosine_relations")
+def q_cosine_relations(spark, sf):
+    """Cosine of the verb-object relation tf-idf vectors of every pair."""
+    from textflow.operators.features import term_vectors, tf_idf_terms
+    from textflow.operators.linkage import pair_cosine
+    from textflow.operators.text import normalize_tokens, tag_tokens, verb_object_pairs
+    rep = _reports(spark, sf)
+    toks = normalize_tokens(rep.select("incident_id", "method_of_entry"), "method_of_entry", "t")
+    long = toks.select("incident_id", F.posexplode("t").alias("pos", "token"))
+    rel = verb_object_pairs(tag_tokens(long, _lexicon(spark, sf)), "incident_id", "pos", "token", "tag")
+    terms = rel.groupBy("incident_id").agg(F.collect_list("relation").alias("rels"))
+    docs = rep.select("incident_id").join(terms, "incident_id", "left") \
+        .withColumn("rels", F.coalesce("rels", F.array().cast("array<string>")))
+    vec = term_vectors(tf_idf_terms(docs, "incident_id", "rels"), "incident_id")
+    p = pair_cosine(_pairs(spark, sf), vec, "incident_id", "cosine_mo")
+    return p.select("l", "r", F.round("cosine_mo", 6).alias("cosine_mo"))

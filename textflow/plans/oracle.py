@@ -480,3 +480,5 @@ SQL["user_step"] = """SELECT c_mktsegment, count(*) AS n_orders, round(sum(o_tot
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
 SQL["pipeline_stages"] = INCIDENT_CTES + _long(T3_LIST.replace("lower(text)", "lower(method_of_entry)"),
                                                "token", src="features", id_col="incident_id")
+
+SQL["streaming_incident_features"] = SQL["incident_features"]
