@@ -24,3 +24,18 @@ def test_query_matches_sql(spark, duck, name):
 def test_every_query_has_a_docstring_and_runs_schema():
     for name, fn in E.queries().items():
         assert fn.__doc__, name
+
+
+ROWS_ONLY = sorted(set(E.queries()) - set(E.oracle_sql()))
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_rows_only_query_runs(spark, name):
+    df = E.queries()[name](spark, SMALL)
+    assert df.count() >= 0 and df.columns
+
+
+def test_entry_runs(spark):
+    df = E.entry(spark)
+    assert df.count() > 0
+    assert {"l", "r", "weight", "class"} <= set(df.columns)
