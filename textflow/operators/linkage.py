@@ -22,6 +22,7 @@ from textflow.session import cut_lineage
 # Report-side tables up to this many rows are broadcast to the pair joins
 # (each row: a few ints and two short term maps); larger ones are shuffled.
 SIDE_BROADCAST_ROWS = 500_000
+SIDE_BROADCAST_ENTRIES = 8_000_000  # term-map entries (about 24 bytes each)
 
 # Strides for the negative draw: primes; the first one that does not divide
 # G - 1 is used, which makes the K draws of one report distinct groups.
@@ -199,7 +200,9 @@ def pair_features(pairs: DataFrame, reports: DataFrame, id_col: str = "incident_
     if vectors and checkpoint_side:
         # both pair sides and the size check read it: write it once
         side = cut_lineage(side)
-    side = checked_broadcast(side, SIDE_BROADCAST_ROWS)
+    entries = sum((F.coalesce(F.size(f"_t{i}"), F.lit(0)) for i in range(len(vectors))), F.lit(0))
+    side = checked_broadcast(side, SIDE_BROADCAST_ROWS, weight=entries,
+                             max_weight=SIDE_BROADCAST_ENTRIES)
     left = side.select(F.col(id_col).alias("l"), *[F.col(c).alias(f"l_{c}") for c in side_cols])
     right = side.select(F.col(id_col).alias("r"), *[F.col(c).alias(f"r_{c}") for c in side_cols])
     x = pairs.join(left, "l").join(right, "r")

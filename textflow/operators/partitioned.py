@@ -84,8 +84,16 @@ def blocked_pairs(df: DataFrame, group: str, id_col: str, block: int = 256,
     return pairs.select(*out)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows; else leave it
-    to the planner (sort-merge join, AQE may still broadcast at run time)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+                      weight=None, max_weight: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows (and, with
+    ``weight`` -- a per-row size column such as a map's entry count -- at most
+    ``max_weight`` in total); else leave it to the planner (sort-merge join;
+    AQE may still broadcast at run time).  One bounded pass decides."""
+    if weight is None:
+        n = df.limit(max_rows + 1).count()
+        ok = n <= max_rows
+    else:
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).first()
+        ok = row["n"] <= max_rows and (row["w"] or 0) <= max_weight
+    return F.broadcast(df) if ok else df
