@@ -302,11 +302,11 @@ SQL["sql_source"] = """SELECT o.o_orderstatus, count(*) AS n_lines,
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderstatus"""
 SQL["table_source"] = """SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"""
 SQL["profile"] = """SELECT column_name AS "column",
-  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-       WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type,
-  CAST(ordinal_position - 1 AS INTEGER) AS position, (SELECT count(*) FROM lineitem) AS n_rows,
+  CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+       WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type,
+  CAST(row_number() OVER () - 1 AS INTEGER) AS position, (SELECT count(*) FROM lineitem) AS n_rows,
   CAST(count(*) OVER () AS INTEGER) AS n_cols
-FROM information_schema.columns WHERE table_name = 'lineitem'"""
+FROM (DESCRIBE lineitem)"""
 
 
 def _role(table: str, col: str, kind: str) -> str:
