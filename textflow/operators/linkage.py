@@ -187,31 +187,76 @@ def pair_features(pairs: DataFrame, reports: DataFrame, id_col: str = "incident_
     """K4: join both reports of each pair once and compute every distance.
 
     ``vectors``: optional {name: (id, terms, norm) frame}; each adds a cosine
-    column ``name``.  All report-side data is first gathered into one side
-    table, so the pairs are joined (and shuffled) exactly twice, once per side.
+    column ``name`` (see ``pair_cosines``).  The scalar report columns form a
+    small side table joined to each pair side once.
     """
-    vectors = vectors or {}
     need = sorted({c for _, _, cs in specs for c in cs})
     side = reports.select(id_col, *need)
-    for i, (name, vec) in enumerate(vectors.items()):
-        side = side.join(vec.select(id_col, F.col("terms").alias(f"_t{i}"),
-                                    F.col("norm").alias(f"_n{i}")), id_col, "left")
-    side_cols = [c for c in side.columns if c != id_col]
-    if vectors and checkpoint_side:
-        # both pair sides and the size check read it: write it once
-        side = cut_lineage(side)
-    entries = sum((F.coalesce(F.size(f"_t{i}"), F.lit(0)) for i in range(len(vectors))), F.lit(0))
-    side = checked_broadcast(side, SIDE_BROADCAST_ROWS, weight=entries,
-                             max_weight=SIDE_BROADCAST_ENTRIES)
-    left = side.select(F.col(id_col).alias("l"), *[F.col(c).alias(f"l_{c}") for c in side_cols])
-    right = side.select(F.col(id_col).alias("r"), *[F.col(c).alias(f"r_{c}") for c in side_cols])
+    side = checked_broadcast(side, SIDE_BROADCAST_ROWS)
+    left = side.select(F.col(id_col).alias("l"), *[F.col(c).alias(f"l_{c}") for c in need])
+    right = side.select(F.col(id_col).alias("r"), *[F.col(c).alias(f"r_{c}") for c in need])
     x = pairs.join(left, "l").join(right, "r")
     feats = [_distance(kind, [f"l_{c}" for c in cs], [f"r_{c}" for c in cs]).alias(name)
              for name, kind, cs in specs]
     rest = [c for c in pairs.columns if c not in ("l", "r")]
-    cos = [D.cosine(f"l__t{i}", f"l__n{i}", f"r__t{i}", f"r__n{i}").alias(name)
-           for i, name in enumerate(vectors)]
-    return x.select("l", "r", *feats, *rest, *cos)
+    out = x.select("l", "r", *feats, *rest)
+    if vectors:
+        cos = pair_cosines(pairs, vectors, id_col, checkpoint_side=checkpoint_side)
+        out = out.join(cos, ["l", "r"], "left")
+    return out
+
+
+def add_cosines(features: DataFrame, pairs: DataFrame, side: DataFrame, names,
+                id_col: str) -> DataFrame:
+    """Attach the cosines computed from a prepared vector side table."""
+    cos = pair_cosines(pairs, None, id_col, side=side, names=names)
+    return features.join(cos, ["l", "r"], "left")
+
+
+def pair_cosines(pairs: DataFrame, vectors: dict | None, id_col: str,
+                 checkpoint_side: bool = True, side: DataFrame | None = None,
+                 names=None) -> DataFrame:
+    """D6/D7/D8 for several vector sets at once -> (l, r, <name>...), one row
+    per distinct pair.
+
+    Distinct pairs are hash-partitioned by (l, r); the term maps of both
+    sides are joined on (broadcast when the checked size allows, which keeps
+    that partitioning); the shared keys of each pair are exploded and the
+    products summed by a (l, r) aggregation that needs no further shuffle.
+    Every step is code-generated (no per-element lambdas).  Keys of the
+    different vector sets are hashes of different term kinds and never meet.
+    """
+    if side is None:
+        names = list(vectors)
+        for i, name in enumerate(names):
+            v = vectors[name].select(id_col, F.col("terms").alias(f"_t{i}"), F.col("norm").alias(f"_n{i}"))
+            side = v if side is None else side.join(v, id_col, "full")
+    else:
+        names = list(names)  # side holds (id, _t0, _n0, _t1, _n1, ...)
+    if checkpoint_side:
+        side = cut_lineage(side)
+    entries = sum((F.coalesce(F.size(f"_t{i}"), F.lit(0)) for i in range(len(names))), F.lit(0))
+    side = checked_broadcast(side, SIDE_BROADCAST_ROWS, weight=entries,
+                             max_weight=SIDE_BROADCAST_ENTRIES)
+    cols = [c for c in side.columns if c != id_col]
+    lv = side.select(F.col(id_col).alias("l"), *[F.col(c).alias(f"l{c}") for c in cols])
+    rv = side.select(F.col(id_col).alias("r"), *[F.col(c).alias(f"r{c}") for c in cols])
+    dp = pairs.select("l", "r").distinct()
+    x = dp.join(lv, "l", "left").join(rv, "r", "left")
+    shared = [F.coalesce(F.array_intersect(F.map_keys(f"l_t{i}"), F.map_keys(f"r_t{i}")),
+                         F.array().cast("array<bigint>")) for i in range(len(names))]
+    keys = F.concat(*shared) if len(shared) > 1 else shared[0]
+    e = x.select("l", "r", *[f"l_t{i}" for i in range(len(names))], *[f"r_t{i}" for i in range(len(names))],
+                 *[f"l_n{i}" for i in range(len(names))], *[f"r_n{i}" for i in range(len(names))],
+                 F.explode_outer(keys).alias("_k"))
+    aggs = []
+    for i in range(len(names)):
+        prod = F.element_at(f"l_t{i}", F.col("_k")) * F.element_at(f"r_t{i}", F.col("_k"))
+        aggs += [F.sum(F.coalesce(prod, F.lit(0.0))).alias(f"_d{i}"),
+                 F.first(F.col(f"l_n{i}") * F.col(f"r_n{i}")).alias(f"_m{i}")]
+    g = e.groupBy("l", "r").agg(*aggs)
+    return g.select("l", "r", *[F.try_divide(F.col(f"_d{i}"), F.col(f"_m{i}")).alias(name)
+                                for i, name in enumerate(names)])
 
 
 def pair_cosine(pairs: DataFrame, vectors: DataFrame, id_col: str, name: str) -> DataFrame:

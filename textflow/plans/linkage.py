@@ -40,11 +40,27 @@ def linkage_pairs(reports: DataFrame, ratio: int = 1, seed: int = 0,
     pos = K.positive_pairs(reports, "offender", ID)
     neg = K.negative_pairs(reports, "offender", ID, ratio=ratio, seed=seed, stats=stats)
     pairs = pos.unionByName(neg)
+    side = method_vectors(reports, stem=stem)
+    out = K.pair_features(pairs, reports, ID)
+    return K.add_cosines(out, pairs, side, ["cosine_tfidf", "cosine_tfidf2"], ID)
+
+
+def method_vectors(reports: DataFrame, stem: bool = False) -> DataFrame:
+    """Per report: the unigram and the bigram tf-idf vectors of the
+    method-of-entry text (map of hashed term -> weight, and L2 norm), from ONE
+    tf-idf pass: unigrams never hold a blank and bigrams always do, so the two
+    vocabularies share one document-frequency table without mixing."""
     terms = method_terms(reports, stem=stem)
-    uni = term_vectors(tf_idf_terms(terms, ID, "tokens"), ID)
-    bi = term_vectors(tf_idf_terms(terms, ID, "bigrams"), ID)
-    return K.pair_features(pairs, reports, ID,
-                           vectors={"cosine_tfidf": uni, "cosine_tfidf2": bi})
+    both = terms.select(ID, F.concat("tokens", "bigrams").alias("terms"))
+    w = tf_idf_terms(both, ID, "terms").withColumn("_bi", F.col("term").contains(" "))
+    entry = F.struct(F.xxhash64("term").alias("k"), F.col("tfidf").alias("v"))
+    sq = F.col("tfidf") * F.col("tfidf")
+    side = w.groupBy(ID).agg(
+        F.map_from_entries(F.collect_list(F.when(~F.col("_bi"), entry))).alias("_t0"),
+        F.sqrt(F.sum(F.when(~F.col("_bi"), sq))).alias("_n0"),
+        F.map_from_entries(F.collect_list(F.when(F.col("_bi"), entry))).alias("_t1"),
+        F.sqrt(F.sum(F.when(F.col("_bi"), sq))).alias("_n1"))
+    return side
 
 
 def linkage_dataset(raw: DataFrame, ratio: int = 1, blank: str = "keep", seed: int = 0,
