@@ -262,15 +262,11 @@ def pair_cosines(pairs: DataFrame, vectors: dict | None, id_col: str,
 def pair_cosine(pairs: DataFrame, vectors: DataFrame, id_col: str, name: str) -> DataFrame:
     """Cosine of the two term-weight vectors of each pair.
 
-    ``vectors``: (id, terms map<string,double>, norm) from term_vectors.  A
+    ``vectors``: (id, terms map<key,double>, norm) from term_vectors.  A
     report without terms, or with a zero vector, gives null (imputed later).
     """
-    lv = vectors.select(F.col(id_col).alias("l"), F.col("terms").alias("_lt"),
-                        F.col("norm").alias("_ln"))
-    rv = vectors.select(F.col(id_col).alias("r"), F.col("terms").alias("_rt"),
-                        F.col("norm").alias("_rn"))
-    x = pairs.join(lv, "l", "left").join(rv, "r", "left")
-    return x.withColumn(name, D.cosine("_lt", "_ln", "_rt", "_rn")).drop("_lt", "_ln", "_rt", "_rn")
+    cos = pair_cosines(pairs, {name: vectors}, id_col)
+    return pairs.join(cos, ["l", "r"], "left")
 
 
 def pair_overlap(pairs: DataFrame, terms: DataFrame, id_col: str, term: str = "term",
