@@ -482,3 +482,21 @@ SQL["pipeline_stages"] = INCIDENT_CTES + _long(T3_LIST.replace("lower(text)", "l
                                                "token", src="features", id_col="incident_id")
 
 SQL["streaming_incident_features"] = SQL["incident_features"]
+
+# Cosine of verb-object relation tf-idf vectors of the method-of-entry text
+SQL["cosine_relations"] = _PAIRS_ONLY + f""",
+mt AS ({_long(T3_LIST.replace("lower(text)", "lower(method_of_entry)"), 'token', src='reports', id_col='incident_id')}),
+mtag AS (SELECT mt.incident_id, mt.pos, mt.token, lex.tag FROM mt LEFT JOIN lex USING (token)),
+mnx AS (SELECT incident_id, pos, token, tag, {_leads} FROM mtag
+        WINDOW w AS (PARTITION BY incident_id ORDER BY pos)),
+rel AS (SELECT incident_id, token || ' ' || noun AS term FROM (
+          SELECT *, CASE {_noun} END AS noun FROM mnx WHERE tag LIKE 'VB%') WHERE noun IS NOT NULL),
+tfr AS (SELECT incident_id, term, count(*) AS tf FROM rel GROUP BY ALL),
+wr AS MATERIALIZED (SELECT t.incident_id, t.term,
+        t.tf * ln(((SELECT count(*) FROM reports) + 1.0) / (d.df + 1.0)) AS w
+      FROM tfr t JOIN (SELECT term, count(*) AS df FROM tfr GROUP BY term) d USING (term)),
+nr AS (SELECT incident_id, sqrt(sum(w * w)) AS norm FROM wr GROUP BY incident_id),
+pairs_wr AS MATERIALIZED (SELECT p.l, p.r, a.term, a.w FROM (SELECT DISTINCT l, r FROM pairs) p
+                          JOIN wr a ON a.incident_id = p.l),
+cm AS {_cos('pairs', 'wr', 'nr', 'cosine_mo')}
+SELECT p.l, p.r, round(cm.cosine_mo, 6) AS cosine_mo FROM pairs p LEFT JOIN cm ON cm.l = p.l AND cm.r = p.r"""
