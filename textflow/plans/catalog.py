@@ -813,14 +813,21 @@ def q_linkage_dataset_stemmed(spark, sf):
 
 @register("cosine_relations")
 def q_cosine_relations(spark, sf):
-    """Cosine of the verb-object relation tf-idf vectors of every pair."""
+    """Cosine of the verb-object relation tf-idf vectors of every pair
+    (relations of the method-of-entry text, T10 on the T8 tagger)."""
     from textflow.operators.features import term_vectors, tf_idf_terms
     from textflow.operators.linkage import pair_cosine
     from textflow.operators.text import normalize_tokens, tag_tokens, verb_object_pairs
+    from textflow.operators.text import train_tagger
     rep = _reports(spark, sf)
     toks = normalize_tokens(rep.select("incident_id", "method_of_entry"), "method_of_entry", "t")
     long = toks.select("incident_id", F.posexplode("t").alias("pos", "token"))
-    rel = verb_object_pairs(tag_tokens(long, _lexicon(spark, sf)), "incident_id", "pos", "token", "tag")
+    # the tagger also learns the narrative words: '-ed' words as past-tense
+    # verbs (VBD), the others as nouns
+    narr = long.select("token", F.when(F.col("token").endswith("ed"), F.lit("VBD"))
+                       .otherwise(F.lit("NN")).alias("tag"))
+    lexicon = train_tagger(FX.tagged_tokens(spark, sf).unionByName(narr))
+    rel = verb_object_pairs(tag_tokens(long, lexicon), "incident_id", "pos", "token", "tag")
     terms = rel.groupBy("incident_id").agg(F.collect_list("relation").alias("rels"))
     docs = rep.select("incident_id").join(terms, "incident_id", "left") \
         .withColumn("rels", F.coalesce("rels", F.array().cast("array<string>")))

@@ -486,7 +486,12 @@ SQL["streaming_incident_features"] = SQL["incident_features"]
 # Cosine of verb-object relation tf-idf vectors of the method-of-entry text
 SQL["cosine_relations"] = _PAIRS_ONLY + f""",
 mt AS ({_long(T3_LIST.replace("lower(text)", "lower(method_of_entry)"), 'token', src='reports', id_col='incident_id')}),
-mtag AS (SELECT mt.incident_id, mt.pos, mt.token, lex.tag FROM mt LEFT JOIN lex USING (token)),
+lex2 AS (SELECT token, first(tag ORDER BY c DESC, tag) AS tag FROM (
+         SELECT token, tag, count(*) AS c FROM (
+           SELECT token, tag FROM tagged_tokens
+           UNION ALL SELECT token, CASE WHEN suffix(token, 'ed') THEN 'VBD' ELSE 'NN' END FROM mt)
+         GROUP BY token, tag) GROUP BY token),
+mtag AS (SELECT mt.incident_id, mt.pos, mt.token, lex2.tag FROM mt LEFT JOIN lex2 USING (token)),
 mnx AS (SELECT incident_id, pos, token, tag, {_leads} FROM mtag
         WINDOW w AS (PARTITION BY incident_id ORDER BY pos)),
 rel AS (SELECT incident_id, token || ' ' || noun AS term FROM (
