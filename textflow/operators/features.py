@@ -8,6 +8,8 @@ from pyspark.ml.feature import (IDF, PCA, CountVectorizer, HashingTF, Imputer, M
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textflow.session import cut_lineage
+
 
 def hashing_tf(df: DataFrame, in_: str, out: str, num_features: int = 1 << 18,
                binary: bool = False) -> DataFrame:
@@ -44,7 +46,9 @@ def tf_idf_terms(df: DataFrame, id_col: str, tokens: str, min_doc_freq: int = 0)
     the one place a very common word is hot, which AQE's skew join splits.
     """
     n_docs = df.count()  # one scalar
-    tf = term_frequencies(df, id_col, tokens)
+    # read twice (document frequencies, and the join back): written once to
+    # the shared checkpoint folder instead of tokenizing the input twice
+    tf = cut_lineage(term_frequencies(df, id_col, tokens))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     dfreq = dfreq.withColumn(
         "idf", F.when(F.col("df") >= min_doc_freq,
@@ -165,7 +169,7 @@ def count_vector_terms(df: DataFrame, id_col: str, tokens: str, min_df: float =
     would learn (terms in >= min_df documents -- a fraction if < 1 -- the
     ``vocab_size`` most frequent), computed as joins instead of a driver-side
     vocabulary.  Ties at the vocabulary cut go to the smaller term."""
-    tf = term_frequencies(df, id_col, tokens)
+    tf = cut_lineage(term_frequencies(df, id_col, tokens))  # read twice
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_tot"))
     if min_df < 1.0:
         threshold = F.lit(min_df * df.count())
