@@ -28,8 +28,11 @@ from textflow.llm.components import connected
 from textflow.llm.stored import pick, store
 from textflow.llm.words import chunks, mix, shingles, texts
 
-#: Counters of the frequency sketch, and how many of them share a row.
-SKETCH, SKETCH_ROW = 1 << 18, 1 << 12
+#: Counters of the frequency sketch, and how many of them share a row.  They
+#: count the n-grams in the lowest quarter of the hash range, of which the
+#: prefixes are made.  Over N n-grams the sketch tells those that stand out by
+#: some sqrt(N / (4 SKETCH)) texts, so that also bounds most buckets.
+SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
 #: Fragments of the global order.
 FRAGMENTS = 4
 
@@ -40,14 +43,16 @@ def _sets(column: pa.Array, width: int, tally: np.ndarray | None = None):
     for low, values in chunks(column):
         h, bounds = shingles(texts(values, lower=True), width)
         if tally is not None and len(h):
-            tally += np.bincount(_counter(h), minlength=SKETCH)
+            low_ones = _counter(h)
+            tally += np.bincount(low_ones[low_ones < SKETCH], minlength=SKETCH)
         for i in range(len(values)):
             s = np.sort(h[bounds[i]:bounds[i + 1]])
             yield low + i, s if len(s) < 2 else s[np.append(True, s[1:] != s[:-1])]
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    """Counter of each n-gram, those that have none at SKETCH or beyond."""
+    return (h >> np.uint64(64 - 2 - SKETCH.bit_length() + 1)).astype(np.int64)
 
 
 def _node(s: np.ndarray) -> int:
@@ -72,7 +77,7 @@ def _describe(width: int):
     counters, SKETCH_ROW to a row (their number in doc_id)."""
 
     def run(batches):
-        tally = np.zeros(SKETCH, np.int64)
+        tally = np.zeros(SKETCH, np.int32)
         for batch in batches:
             found = [(len(s), _node(s)) for _, s in _sets(batch["text"], width, tally)]
             if found:
@@ -87,26 +92,39 @@ def _describe(width: int):
 def _add_counts(key, table):
     total = np.zeros(SKETCH_ROW, np.int64)
     for x in table["counts"].to_pylist():
-        total += np.frombuffer(x, np.int64)
+        total += np.frombuffer(x, np.int32)
     return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 class Order:
-    """The global n-gram order: by level (half-powers of two of the sketch's
-    count), then by hash.  ``fragment`` cuts it into ranges of equal mass."""
+    """The global n-gram order: by level, then by hash.  Level 0: counted, and
+    no more often than chance fills a counter; then by half-powers of two of
+    the count; last, those without a counter.  ``fragment`` cuts the order
+    into ranges of about equal mass."""
 
     def __init__(self, tally: np.ndarray):
-        self.level = np.floor(2 * np.log2(np.maximum(tally, 1))).astype(np.uint8)
-        mass = np.bincount(self.level, weights=tally, minlength=256)
-        self.before = np.concatenate([[0.0], np.cumsum(mass)])[:-1] / max(1.0, mass.sum())
-        self.mass = mass / max(1.0, mass.sum())
+        self.tally = tally.astype(np.float32)
+        usual = float(np.median(tally))
+        often = usual + 4 * usual ** 0.5 + 4
+        level = np.where(tally <= often, 0, 1 + np.floor(2 * np.log2(np.maximum(tally, 1) / often)))
+        self.level = np.append(np.minimum(level, 200), 255).astype(np.uint8)
+        mass = np.bincount(self.level[:-1], weights=tally, minlength=256)
+        mass[255] = max(1.0, 3 * mass.sum())
+        self.mass = mass / mass.sum()
+        self.before = np.cumsum(self.mass) - self.mass
 
     def sort(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sorted set in the global order, and its levels."""
-        level = self.level[_counter(s)]
+        level = self.level[np.minimum(_counter(s), SKETCH)]
         by = np.argsort(level, kind="stable")
         return s[by], level[by]
 
+    def common(self, s: np.ndarray) -> float:
+        """How frequent n-grams are, in the mean of those with a counter."""
+        at = _counter(s)
+        at = at[at < SKETCH]
+        return float(np.log2(1.0 + self.tally[at]).mean()) if len(at) else 0.0
+
     def fragment(self, s: np.ndarray, level: np.ndarray) -> np.ndarray:
         at = self.before[level] + self.mass[level] * (s.astype(np.float64) / 2.0 ** 64)
         return np.minimum((at * FRAGMENTS).astype(np.int64), FRAGMENTS - 1)
@@ -125,7 +143,7 @@ def _prefixes(order: Order, width: int, num: int, den: int):
                     continue
                 ordered, level = order.sort(s)
                 p = n + num * n // -den + 1  # n - ceil(num * n / den) + 1
-                out.append((ids[row].as_py(), _node(s), n, float(level[:p].mean()),
+                out.append((ids[row].as_py(), _node(s), n, order.common(ordered[:p]),
                             n + 2 * num * n // -(den + num) + 1, ordered[:p].view(np.int64)))
                 if len(out) >= 2000:
                     yield _batch(_PREFIX, *map(list, zip(*out)))
@@ -136,12 +154,9 @@ def _prefixes(order: Order, width: int, num: int, den: int):
     return run
 
 
-def _segments(order: Order, width: int, bits: np.ndarray):
-    """The segments of the documents whose ``bit`` is set in ``bits``."""
-
+def _segments(order: Order, width: int):
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch["bit"].to_numpy()]))
             ids, out = batch["doc_id"], []
             for row, s in _sets(batch["text"], width):
                 if not len(s):
@@ -159,10 +174,34 @@ def _segments(order: Order, width: int, bits: np.ndarray):
     return run
 
 
-#: Bits of the filter that spares most documents without a candidate pair.
+#: Bits of the filter that spares most rows without a candidate pair.
 FILTER_BITS = 1 << 23
 
 
+def _bit(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("long")
+
+
+def sieve(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be in ``wanted``, by a bitmap of fixed size; a join still has to decide."""
+    marked = wanted.select((_bit(column) + 1).alias("bit"))
+    parts = (marked.groupBy(F.bitmap_bucket_number("bit").alias("part"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect())  # FILTER_BITS in all
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for part in parts:
+        bits[(part.part - 1) * len(part.bits):part.part * len(part.bits)] = np.frombuffer(part.bits, np.uint8)
+    bits = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches):
+        have = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            found = batch.filter(pa.array(have[batch["_bit"].to_numpy()]))
+            if found.num_rows:
+                yield found.drop_columns(["_bit"])
+
+    return rows.where(F.col(column).isNotNull()).withColumn("_bit", _bit(column)).mapInArrow(run, rows.schema)
+
+
 class _Join:
     def __init__(self, docs: DataFrame, width: int, num: int, den: int):
         self.docs, self.width, self.num, self.den = docs, width, num, den
@@ -186,33 +225,42 @@ class _Join:
         prefix = (self.docs.mapInArrow(
             _prefixes(self.order, self.width, self.num, self.den),
             "doc_id long, node long, n long, typical double, inner int, grams array<long>"))
-        prefix = store(prefix.join(self.classes, ["doc_id", "node"], "left_semi").drop("doc_id"), "prefix")
-        members = prefix.select("node", "n", "typical", "inner", F.posexplode("grams").alias("i", "h")).select(
+        self.prefix = store(prefix.join(self.classes, ["doc_id", "node"], "left_semi").drop("doc_id"), "prefix")
+        members = self.prefix.select("node", "n", "typical", "inner", F.posexplode("grams").alias("i", "h")).select(
             "h", "node", "n", "typical", (F.col("i") < F.col("inner")).alias("inner"))
         hubs = store(members.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("typical", "node", "n", "inner")).alias("hub"))
                      .where("k > 1").select("h", F.col("hub.node").alias("hub_node"), F.col("hub.n").alias("hub_n"),
                                             F.col("hub.inner").alias("hub_inner")), "hubs")
         return store(members.drop("typical").join(hubs, "h"), "buckets")
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose prefixes share as many n-grams as a link's must:
+        of the one that ends first in the order, all but those that a link can lack."""
+        ends = pairs.select(F.col("l").alias("node")).union(pairs.select("r"))
+        near = store(sieve(self.prefix.select("node", "grams"), "node", ends), "near")
+        left = near.select(F.col("node").alias("l"), F.col("grams").alias("lg"))
+        right = near.select(F.col("node").alias("r"), F.col("grams").alias("rg"))
+        found = (pairs.join(left, "l").join(right, "r")
+                 .select("l", "ln", "r", "rn", F.size(F.array_intersect("lg", "rg")).alias("shared")))
+        overlap = f"(({self.num} * (ln + rn) + {self.num + self.den - 1}) div {self.num + self.den})"
+        kept = f"(({self.num} * greatest(ln, rn) + {self.den - 1}) div {self.den})"
+        return store(found.where(F.expr(f"shared >= {overlap} - {kept} + 1")).drop("shared").distinct(), "likely")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of (l, ln, r, rn) the pairs that link: partial overlaps by fragment, summed per pair."""
-        wanted = store(pairs.select(F.col("l").alias("node")).union(pairs.select("r")).distinct()
-                       .join(self.classes, "node"), "wanted")
-        bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
-        rows = (wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part"))
-                .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect())  # FILTER_BITS in all
-        bits = np.zeros(FILTER_BITS, bool)
-        for row in rows:
-            got = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
-            bits[(row.part - 1) * len(got):row.part * len(got)] = got
-        segments = (self.docs.where("doc_id is not null").withColumn("bit", bit)
-                    .mapInArrow(_segments(self.order, self.width, bits), "doc_id long, node long, fragment int, grams array<long>"))
-        segments = store(segments.join(wanted, ["doc_id", "node"], "left_semi").drop("doc_id").dropDuplicates(["node", "fragment"]), "segments")
+        pairs = self.likely(pairs)
+        wanted = pairs.select(F.col("l").alias("node")).union(pairs.select("r")).distinct().join(self.classes, "node")
+        segments = sieve(self.docs, "doc_id", wanted).mapInArrow(
+            _segments(self.order, self.width), "doc_id long, node long, fragment int, grams array<long>")
+        segments = store(segments.drop("doc_id"), "segments")
         left = segments.select(F.col("node").alias("l"), "fragment", F.col("grams").alias("lg"))
         right = segments.select(F.col("node").alias("r"), "fragment", F.col("grams").alias("rg"))
         partial = (pairs.join(left, "l").join(right, ["r", "fragment"])
-                   .select("l", "ln", "r", "rn", F.size(F.array_intersect("lg", "rg")).alias("overlap")))
-        total = partial.groupBy("l", "ln", "r", "rn").agg(F.sum("overlap").alias("both"))
+                   .select("l", "ln", "r", "rn", "fragment", F.size(F.array_intersect("lg", "rg")).alias("overlap")))
+        # a repeated row has its segments twice, so the count of a fragment is taken once
+        total = partial.groupBy("l", "ln", "r", "rn").agg(*[
+            F.coalesce(F.max(F.when(F.col("fragment") == f, F.col("overlap"))), F.lit(0)).alias(f"both{f}") for f in range(FRAGMENTS)])
+        total = total.withColumn("both", sum((F.col(f"both{f}") for f in range(FRAGMENTS)), F.lit(0)))
         return store(total.where(F.expr(f"{self.den} * both >= {self.num} * (ln + rn - both)")).select("l", "r"), "links")
 
     def components(self) -> DataFrame:
