@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textflow.llm.pieces import Encoder, gather, lists, worker_encoder
 from textflow.llm.stored import pick
@@ -223,7 +224,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
     """``coded`` with the bytes of its ids.  Null ids give null."""
     tokens = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = coded.schema.add(out_col, "binary")
+    schema = StructType([*coded.schema.fields]).add(out_col, "binary")
 
     def run(batches):
         size = np.fromiter(map(len, tokens.value), np.int64)

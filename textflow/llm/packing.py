@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textflow.llm.pieces import Encoder, Library, gpt_split, lists, worker_encoder
 from textflow.llm.stored import pick, store
 
 #: Lengths of at least this share of a sequence are large; groups of large lengths.
-SMALL_SHARE, GROUPS = 1 / 16, 96
+SMALL_SHARE, GROUPS = 1 / 4, 512
 #: Pieces of one length that one task ranks.
 RANKED = 200_000
 
@@ -258,7 +259,7 @@ def pack(pieces: DataFrame, room: int, order: list[str], length_col: str = "leng
                  pa.array(place["offset"][at] + nth % place["each"][at] * length)],
                 [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long"))
 
 
 def cut(docs: DataFrame, tokenizer_path: str, end_id: int, room: int, id_col: str = "doc_id", text_col: str = "text",

@@ -137,6 +137,9 @@ class Library:
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
 
+    def size(self) -> int:
+        return self.tokenizer.get_vocab_size()
+
     def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Units that begin with their space, or in any case where spaces only separate, are one text for the library.
         joint = [i for i, u in enumerate(units) if not self.spaced or len(u) > 1 and u[0] == " " and not (u[1].isspace() or u[-1].isspace())]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from textflow.llm.byte_bpe import digests
 from textflow.llm.ngram_join import ngram_components
+from textflow.llm.packing import packed
+from textflow.llm.token_files import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +20,22 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document and their decoding, as digests."""
+    return digests(_table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of at most 1024 tokens."""
+    return packed(_table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), end_id=2, room=1024)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document as read back from the written token files."""
+    return round_trip(_table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_ngram_jaccard_join, op4_byte_bpe, op5_best_fit_packing, op7_token_files)}
 
 SQL: dict[str, str] = {}
