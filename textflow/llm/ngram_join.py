@@ -28,10 +28,9 @@ from textflow.llm.components import connected
 from textflow.llm.stored import pick, store
 from textflow.llm.words import chunks, mix, shingles, texts
 
-#: Counters of the frequency sketch, and how many of them share a row.  They
-#: count the n-grams in the lowest quarter of the hash range, of which the
-#: prefixes are made.  Over N n-grams the sketch tells those that stand out by
-#: some sqrt(N / (4 SKETCH)) texts, so that also bounds most buckets.
+#: Counters of the frequency sketch, and how many of them share a row.  Over N
+#: n-grams the sketch tells those that stand out by some sqrt(N / SKETCH)
+#: texts, which bounds the buckets of unrelated texts.
 SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
 #: Fragments of the global order.
 FRAGMENTS = 4
@@ -43,16 +42,14 @@ def _sets(column: pa.Array, width: int, tally: np.ndarray | None = None):
     for low, values in chunks(column):
         h, bounds = shingles(texts(values, lower=True), width)
         if tally is not None and len(h):
-            low_ones = _counter(h)
-            tally += np.bincount(low_ones[low_ones < SKETCH], minlength=SKETCH)
+            tally += np.bincount(_counter(h), minlength=SKETCH)
         for i in range(len(values)):
             s = np.sort(h[bounds[i]:bounds[i + 1]])
             yield low + i, s if len(s) < 2 else s[np.append(True, s[1:] != s[:-1])]
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
-    """Counter of each n-gram, those that have none at SKETCH or beyond."""
-    return (h >> np.uint64(64 - 2 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return (h & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
 def _node(s: np.ndarray) -> int:
@@ -68,7 +65,7 @@ def _batch(schema: dict, *columns) -> pa.RecordBatch:
 
 _DESCRIBED = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "counts": pa.binary()}
 _PREFIX = {"doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "typical": pa.float64(),
-           "inner": pa.int32(), "grams": pa.list_(pa.int64())}
+           "grams": pa.list_(pa.int64())}
 _SEGMENT = {"doc_id": pa.int64(), "node": pa.int64(), "fragment": pa.int32(), "grams": pa.list_(pa.int64())}
 
 
@@ -97,33 +94,29 @@ def _add_counts(key, table):
 
 
 class Order:
-    """The global n-gram order: by level, then by hash.  Level 0: counted, and
-    no more often than chance fills a counter; then by half-powers of two of
-    the count; last, those without a counter.  ``fragment`` cuts the order
-    into ranges of about equal mass."""
+    """The global n-gram order: by level, then by hash.  Level 0: no more
+    often than chance fills a counter; then by half-powers of two of the
+    count.  ``fragment`` cuts the order into ranges of about equal mass."""
 
     def __init__(self, tally: np.ndarray):
-        self.tally = tally.astype(np.float32)
         usual = float(np.median(tally))
         often = usual + 4 * usual ** 0.5 + 4
         level = np.where(tally <= often, 0, 1 + np.floor(2 * np.log2(np.maximum(tally, 1) / often)))
-        self.level = np.append(np.minimum(level, 200), 255).astype(np.uint8)
-        mass = np.bincount(self.level[:-1], weights=tally, minlength=256)
-        mass[255] = max(1.0, 3 * mass.sum())
+        self.level = np.minimum(level, 255).astype(np.uint8)
+        self.weight = np.log2(1.0 + tally).astype(np.float32)
+        mass = np.bincount(self.level, weights=tally, minlength=256) + 1e-9
         self.mass = mass / mass.sum()
         self.before = np.cumsum(self.mass) - self.mass
 
     def sort(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sorted set in the global order, and its levels."""
-        level = self.level[np.minimum(_counter(s), SKETCH)]
+        level = self.level[_counter(s)]
         by = np.argsort(level, kind="stable")
         return s[by], level[by]
 
     def common(self, s: np.ndarray) -> float:
-        """How frequent n-grams are, in the mean of those with a counter."""
-        at = _counter(s)
-        at = at[at < SKETCH]
-        return float(np.log2(1.0 + self.tally[at]).mean()) if len(at) else 0.0
+        """How frequent n-grams are in the mean."""
+        return float(self.weight[_counter(s)].mean())
 
     def fragment(self, s: np.ndarray, level: np.ndarray) -> np.ndarray:
         at = self.before[level] + self.mass[level] * (s.astype(np.float64) / 2.0 ** 64)
@@ -131,8 +124,7 @@ class Order:
 
 
 def _prefixes(order: Order, width: int, num: int, den: int):
-    """The n-grams of which a partner has one (``grams``); the first ``inner``
-    of them do for a partner that is no smaller."""
+    """The first n-grams of every set in the order, of which a partner has one."""
 
     def run(batches):
         for batch in batches:
@@ -143,8 +135,7 @@ def _prefixes(order: Order, width: int, num: int, den: int):
                     continue
                 ordered, level = order.sort(s)
                 p = n + num * n // -den + 1  # n - ceil(num * n / den) + 1
-                out.append((ids[row].as_py(), _node(s), n, order.common(ordered[:p]),
-                            n + 2 * num * n // -(den + num) + 1, ordered[:p].view(np.int64)))
+                out.append((ids[row].as_py(), _node(s), n, order.common(ordered[:p]), ordered[:p].view(np.int64)))
                 if len(out) >= 2000:
                     yield _batch(_PREFIX, *map(list, zip(*out)))
                     out = []
@@ -215,22 +206,25 @@ class _Join:
         self.sets = described.where("n >= 0").select("doc_id", "n", "node")
         self.classes = store(self.sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
 
-    def close_enough(self, a, b):
-        """Sizes that allow the similarity, and the shared n-gram where the smaller set's prefix must have it."""
-        small = F.when(F.col(f"{a}n") <= F.col(f"{b}n"), F.col(f"{a}inner")).otherwise(F.col(f"{b}inner"))
-        return (self.den * F.least(f"{a}n", f"{b}n") >= self.num * F.greatest(f"{a}n", f"{b}n")) & small
+    def overlap(self, a: str, b: str) -> str:
+        """SQL: the smallest overlap with which sets of sizes ``a`` and ``b`` link."""
+        return f"((({a} + {b}) * {self.num} + {self.num + self.den - 1}) div {self.num + self.den})"
+
+    def close_enough(self, a: str, b: str):
+        """Whether a pair can link if the n-gram at positions i is the first
+        that it shares: what follows it in either set bounds the overlap.  A
+        pair that links passes at its first shared n-gram, so no link is lost."""
+        return F.expr(f"least({a}n - {a}i, {b}n - {b}i) >= {self.overlap(a + 'n', b + 'n')}")
 
     def buckets(self) -> DataFrame:
-        """(h, node, n, inner, hub_node, hub_n, hub_inner): members of prefix n-grams with two members or more."""
-        prefix = (self.docs.mapInArrow(
-            _prefixes(self.order, self.width, self.num, self.den),
-            "doc_id long, node long, n long, typical double, inner int, grams array<long>"))
+        """(h, node, n, i, hub_node, hub_n, hub_i): members of prefix n-grams with two members or more, i the n-gram's position."""
+        prefix = self.docs.mapInArrow(_prefixes(self.order, self.width, self.num, self.den),
+                                      "doc_id long, node long, n long, typical double, grams array<long>")
         self.prefix = store(prefix.join(self.classes, ["doc_id", "node"], "left_semi").drop("doc_id"), "prefix")
-        members = self.prefix.select("node", "n", "typical", "inner", F.posexplode("grams").alias("i", "h")).select(
-            "h", "node", "n", "typical", (F.col("i") < F.col("inner")).alias("inner"))
-        hubs = store(members.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("typical", "node", "n", "inner")).alias("hub"))
+        members = self.prefix.select("node", "n", "typical", F.posexplode("grams").alias("i", "h"))
+        hubs = store(members.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("typical", "node", "n", "i")).alias("hub"))
                      .where("k > 1").select("h", F.col("hub.node").alias("hub_node"), F.col("hub.n").alias("hub_n"),
-                                            F.col("hub.inner").alias("hub_inner")), "hubs")
+                                            F.col("hub.i").alias("hub_i")), "hubs")
         return store(members.drop("typical").join(hubs, "h"), "buckets")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -242,9 +236,8 @@ class _Join:
         right = near.select(F.col("node").alias("r"), F.col("grams").alias("rg"))
         found = (pairs.join(left, "l").join(right, "r")
                  .select("l", "ln", "r", "rn", F.size(F.array_intersect("lg", "rg")).alias("shared")))
-        overlap = f"(({self.num} * (ln + rn) + {self.num + self.den - 1}) div {self.num + self.den})"
         kept = f"(({self.num} * greatest(ln, rn) + {self.den - 1}) div {self.den})"
-        return store(found.where(F.expr(f"shared >= {overlap} - {kept} + 1")).drop("shared").distinct(), "likely")
+        return store(found.where(F.expr(f"shared >= {self.overlap('ln', 'rn')} - {kept} + 1")).drop("shared").distinct(), "likely")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of (l, ln, r, rn) the pairs that link: partial overlaps by fragment, summed per pair."""
@@ -273,14 +266,14 @@ class _Join:
                        .withColumnsRenamed({"hub_node": "other", "hub_n": "other_n"}).select(*ordered).distinct(), "spokes")
         links = self.links(spokes)
         known = connected(links)
-        placed = store(buckets.select("h", "node", "n", "inner").join(known.withColumnRenamed("id", "node"), "node", "left")
+        placed = store(buckets.select("h", "node", "n", "i").join(known.withColumnRenamed("id", "node"), "node", "left")
                        .withColumn("component", F.coalesce("component", "node")), "placed")
         mixed = store(placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
                       .agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "k").alias("main"))
                       .where("parts > 1").select("h", "main"), "mixed")
         placed = store(placed.join(mixed, "h"), "unsettled")
         odd = placed.where("component <> main")
-        rest = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "inner", "component")], F.col("node").alias("other"))
+        rest = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "i", "component")], F.col("node").alias("other"))
         pairs = (odd.join(rest, "h").where(F.col("component") != F.col("other_component"))
                  .where((F.col("other_component") == F.col("main")) | (F.col("node") < F.col("other")))
                  .where(self.close_enough("", "other_")).select(*ordered).distinct())
