@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textflow.llm.stored import store
+
 
 def held_out(id_col: str = "doc_id"):
     """True for the rows that no classifier learns from."""
@@ -19,9 +21,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, bytes
     documents labelled both ways, teach nothing."""
     known = (labels.select(F.col("doc_id"), F.col(f"`{label}`").alias("y")).where("doc_id is not null and y in (0, 1)")
              .where(~held_out()).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most"))
-    rows = (docs.select("doc_id", "text").where(F.octet_length("text").between(1, bytes_each))
-            .join(known.select("doc_id", "y"), "doc_id").withColumn("by", F.xxhash64("doc_id", "text")))
-    out = []
-    for y in (0, 1):
-        out += rows.where(F.col("y") == y).orderBy("by").limit(per_class).select("text", "y").collect()
-    return [(r.text, r.y) for r in out]
+    fits = docs.where(F.octet_length("text").between(1, bytes_each)).select("doc_id")
+    pool = store(fits.join(known.select("doc_id", "y"), "doc_id").distinct().withColumn("by", F.xxhash64("doc_id")), "labelled")
+    sizes = {r.y: r.n for r in pool.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen: dict[int, int] = {}
+    for y, n in sizes.items():
+        # so few hashes lie below the bound that the rest need not be compared
+        bound = min(int((per_class + 5 * per_class ** 0.5 + 10) / n * 2 ** 64) - 2 ** 63, 2 ** 63 - 1)
+        rows = pool.where((F.col("y") == y) & (F.col("by") <= F.lit(bound))).orderBy("by").limit(per_class).select("doc_id").collect()
+        chosen.update((r.doc_id, y) for r in rows)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], docs.select("doc_id").schema)  # 2 * per_class at most
+    texts = docs.where(F.octet_length("text").between(1, bytes_each)).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return sorted((r.text, chosen[r.doc_id]) for r in texts.collect())
