@@ -212,7 +212,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches):
         split = regex.compile(pattern).findall
-        coder = worker_encoder(f"{key} {pattern}", lambda: Encoder(partial(Merger(tokens.value).units, split), split))
+        coder = worker_encoder(f"{key} {pattern}", lambda: Encoder(partial(Merger(tokens.value).units, split)))
         for batch in batches:
             for low, ids in coder.texts(batch["text"]):
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(low, len(ids)), lists(ids, pa.int32())], ["id", "ids"])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textflow.llm.pieces import Encoder, Library, gpt_split, lists, worker_encoder
+from textflow.llm.pieces import Encoder, Library, byte_level, lists, worker_encoder
 from textflow.llm.stored import pick, store
 
 #: Lengths of at least this share of a sequence are large; groups of large lengths.
@@ -273,11 +273,11 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, room: int, id_col: st
     32-bit integers."""
     rows = pick(docs, {"id": id_col, "text": text_col})
     with open(tokenizer_path, encoding="utf-8") as f:
-        json = docs.sparkSession.sparkContext.broadcast(f.read())
+        json = docs.sparkSession.sparkContext.broadcast(byte_level(f.read()))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        coder = worker_encoder(json.value, lambda: Encoder(Library(json.value, spaced=True), gpt_split(json.value)))
+        coder = worker_encoder(json.value, lambda: Encoder(Library(json.value)))
         for batch in batches:
             for low, found in coder.texts(batch["text"]):
                 which, starts, sizes, sums, kept = [], [], [], [], []

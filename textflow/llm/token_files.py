@@ -76,7 +76,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, i
         json = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encode(batches):
-        coder = worker_encoder(json.value, lambda: Encoder(Library(json.value, spaced=False), None))
+        coder = worker_encoder(json.value, lambda: Encoder(Library(json.value)))
         size = coder.encode.size()
         kind, counts = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4", np.zeros(max(size, end_id + 1), np.int64)
         for batch in batches:
