@@ -3,26 +3,64 @@ one before it kept."""
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textflow.llm import secrets
 from textflow.llm.ngram_join import ngram_components
+from textflow.llm.packing import packed
+from textflow.llm.quality_mil import quality_scores
 from textflow.llm.stored import store
+from textflow.llm.toxicity_ssk import toxicity_scores
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (doc_id); rows without an id stay."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; those without an id stay."""
+    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scores.where("predicted = 0"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; those without an id stay."""
+    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scores.where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5 words, Jaccard >= 0.8): the one with the smallest id.
 
-    Documents without an id stay; of rows that repeat an id whose document stays, one stays."""
+    Documents without an id stay; of rows that repeat an id, one stays."""
     found = ngram_components(docs.select("doc_id", "text"), words=5, num=8, den=10)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = _without(docs, found.where("component_id <> doc_id"))
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"])).select(docs.columns)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark; n_chars follows the text."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents and their places in sequences of at most 1024 tokens."""
+    return packed(docs, tokenizers.path("byte_bpe_50k.json"), end_id=2, room=1024)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Learned stages have no SQL; tests hold each stage against a brute-force version.
+#: Learned stages have no SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

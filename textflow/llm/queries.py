@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from textflow.llm import licenses, secrets
 from textflow.llm.byte_bpe import digests
 from textflow.llm.embedding_dups import vector_links
 from textflow.llm.ngram_join import ngram_components
@@ -59,8 +60,18 @@ def op8_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named or written out in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_ngram_jaccard_join, op3_toxicity, op4_byte_bpe, op5_best_fit_packing,
-    op6_quality_rules, op7_token_files, op8_embedding_near_dups)}
+    op6_quality_rules, op7_token_files, op8_embedding_near_dups, op9_secret_scan, op10_license_scan)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_secret_scan": secrets.report_sql(), "op10_license_scan": licenses.scan_sql()}
