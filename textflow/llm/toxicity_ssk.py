@@ -113,6 +113,18 @@ class Machine:
         self.map = vector[:, keep] / np.sqrt(value[keep])
         self.weight, self.slope, self.shift = np.zeros(keep.sum() + 1), 1.0, 0.0
 
+    def state(self) -> tuple:
+        """What a machine consists of, in plain values."""
+        return self.landmarks.words, self.map, self.weight, self.slope, self.shift
+
+    @classmethod
+    def of(cls, state: tuple) -> Machine:
+        words, *rest = state
+        machine = cls.__new__(cls)
+        machine.landmarks = Landmarks(words)
+        machine.map, machine.weight, machine.slope, machine.shift = rest
+        return machine
+
     def vectors(self, words: list[str]) -> np.ndarray:
         z = self.landmarks.kernel(words) @ self.map
         return np.hstack([z, np.ones((len(z), 1))])
@@ -294,20 +306,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     result."""
     rows = pick(docs, {"doc_id": id_col, "text": text_col})
     machine = learn(sample(rows, labels, label, PER_CLASS, BYTES_EACH))
-    machine_of = docs.sparkSession.sparkContext.broadcast(machine)  # (toxic and clean landmarks) * SYMBOLS^3 numbers
-    token = repr(machine.weight.tobytes()) if machine else ""
+    state, token = (machine.state(), repr(machine.weight.tobytes())) if machine else (None, "")
 
     def run(batches):
-        machine = machine_of.value
         kept = sys.modules.setdefault("_textflow_margins", type(sys)("_textflow_margins")).__dict__
-        if machine is not None and token not in kept:
+        if state is not None and token not in kept:
             for old in [k for k in kept if not k.startswith("__")]:
                 del kept[old]
-            kept[token] = Scorer(machine)
+            kept[token] = Scorer(Machine.of(state))
         for batch in batches:
             scores = []
             for _, values in chunks(batch["text"]):
-                scores.append(kept[token].scores(values) if machine is not None else np.zeros(len(values)))
+                scores.append(kept[token].scores(values) if state is not None else np.zeros(len(values)))
             if scores:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(scores), pa.float64())], ["doc_id", "score"])
 
