@@ -8,6 +8,7 @@ from pyspark.ml.feature import (IDF, PCA, CountVectorizer, HashingTF, Imputer, M
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textflow.operators.partitioned import lookup
 from textflow.session import cut_lineage
 
 
@@ -19,8 +20,13 @@ def hashing_tf(df: DataFrame, in_: str, out: str, num_features: int = 1 << 18,
 
 
 def count_vectors(df: DataFrame, in_: str, out: str, min_df: float = 1.0,
-                  vocab_size: int = 1 << 18, binary: bool = True):
-    """count vectors over a learned vocabulary -> (frame, model)."""
+                  vocab_size: int | None = None, binary: bool = False):
+    """count vectors over a learned vocabulary -> (frame, model).
+
+    The vocabulary is a driver-side array, as Spark's model keeps it;
+    ``vocab_size`` cuts it to the most frequent terms, None keeps every term.
+    For vocabularies beyond a driver see ``count_vector_terms``."""
+    vocab_size = vocab_size or (1 << 31) - 1
     model = CountVectorizer(inputCol=in_, outputCol=out, minDF=min_df, vocabSize=vocab_size,
                             binary=binary).fit(df)
     return model.transform(df), model
@@ -42,8 +48,8 @@ def tf_idf_terms(df: DataFrame, id_col: str, tokens: str, min_doc_freq: int = 0)
     """F3 in long form: (id, term, tf, df, idf, tfidf), exact (no hashing).
 
     N counts every row of ``df`` (empty documents too), as Spark's IDF does.
-    Document frequencies are a partial aggregation; the join back on term is
-    the one place a very common word is hot, which AQE's skew join splits.
+    Document frequencies are a partial aggregation; the rows of very common
+    words are salted in the join back on term.
     """
     n_docs = df.count()  # one scalar
     # read twice (document frequencies, and the join back): written once to
@@ -53,7 +59,7 @@ def tf_idf_terms(df: DataFrame, id_col: str, tokens: str, min_doc_freq: int = 0)
     dfreq = dfreq.withColumn(
         "idf", F.when(F.col("df") >= min_doc_freq,
                       F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1))).otherwise(F.lit(0.0)))
-    return (tf.join(dfreq.select("term", "df", "idf"), "term")
+    return (lookup(tf, dfreq.select("term", "df", "idf"), "term", size="df")
             .withColumn("tfidf", F.col("tf") * F.col("idf")))
 
 
@@ -91,7 +97,7 @@ def doc_embedding(tokens_long: DataFrame, word_vectors: DataFrame, weights: Data
     ``weights``: long (id, term, tfidf).  Dimensions are summed by position.
     """
     wv = word_vectors.select(F.col("word").alias("term"), F.col("vector").alias("_v"))
-    x = weights.join(wv, "term").select(id_col, "tfidf", F.posexplode("_v").alias("_d", "_x"))
+    x = lookup(weights, wv, "term").select(id_col, "tfidf", F.posexplode("_v").alias("_d", "_x"))
     s = x.groupBy(id_col, "_d").agg((F.sum(F.col("tfidf") * F.col("_x"))
                                      / F.sum("tfidf")).alias("_m"))
     return s.groupBy(id_col).agg(
@@ -164,22 +170,24 @@ def impute_mean(df: DataFrame, cols, suffix: str = "_imputed", drop: bool = True
 
 
 def count_vector_terms(df: DataFrame, id_col: str, tokens: str, min_df: float = 1.0,
-                       vocab_size: int = 1 << 18, binary: bool = True) -> DataFrame:
+                       vocab_size: int | None = None, binary: bool = False) -> DataFrame:
     """F2 in long form: (id, term, tf) over the vocabulary CountVectorizer
-    would learn (terms in >= min_df documents -- a fraction if < 1 -- the
-    ``vocab_size`` most frequent), computed as joins instead of a driver-side
-    vocabulary.  Ties at the vocabulary cut go to the smaller term."""
-    tf = cut_lineage(term_frequencies(df, id_col, tokens))  # read twice
+    would learn (terms in >= min_df documents -- a fraction if < 1), computed
+    as joins instead of a driver-side vocabulary.  Every term is kept unless
+    ``vocab_size`` asks for the most frequent; ties at that cut go to the
+    smaller term."""
+    tf = term_frequencies(df, id_col, tokens)
+    if binary:
+        tf = tf.withColumn("tf", F.lit(1.0))
+    if vocab_size is None and 0 < min_df <= 1 and float(min_df).is_integer():
+        return tf  # every term is in one document at least
+    tf = cut_lineage(tf)  # read twice
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_tot"))
     if min_df < 1.0:
         threshold = F.lit(min_df * df.count())
     else:
         threshold = F.lit(min_df)
     stats = stats.where(F.col("_df") >= threshold)
-    # the vocabulary is the top ``vocab_size`` terms: a per-partition top-k
-    # and one merge, at most vocab_size rows -- a proven broadcast bound
-    vocab = stats.orderBy(F.desc("_tot"), "term").limit(vocab_size).select("term")
-    out = tf.join(F.broadcast(vocab), "term", "left_semi")
-    if binary:
-        out = out.withColumn("tf", F.lit(1.0))
-    return out.select(id_col, "term", "tf")
+    if vocab_size is not None:
+        stats = stats.orderBy(F.desc("_tot"), "term").limit(vocab_size)
+    return lookup(tf, stats.select("term", "_df"), "term", size="_df").select(id_col, "term", "tf")

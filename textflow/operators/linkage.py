@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from textflow.functions import distance as D
-from textflow.operators.partitioned import blocked_pairs, checked_broadcast, position_index
+from textflow.operators.partitioned import blocked_pairs, checked_broadcast, lookup, position_index
 from textflow.session import cut_lineage
 
 # Report-side tables up to this many rows are broadcast to the pair joins
@@ -27,14 +27,14 @@ SIDE_BROADCAST_ENTRIES = 8_000_000  # term-map entries (about 24 bytes each)
 # Strides for the negative draw: primes; the first one that does not divide
 # G - 1 is used, which makes the K draws of one report distinct groups.
 STRIDES = [7919, 7927, 7933, 7937, 7949]
-HASH_MOD = 1000003  # ids are reduced modulo this prime before mixing
+HASH_MOD = 2147483647  # both halves of an id are reduced modulo this prime and mixed
 
 
 def attach_count(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     """Rows per key looked up back onto every row (partial aggregation +
-    equi-join; AQE splits a hot key on the row side)."""
+    equi-join, the rows of hot keys salted)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, key)
+    return lookup(df, counts, key, size=name)
 
 
 def count_by(df: DataFrame, key: str, name: str = "count") -> DataFrame:
@@ -64,9 +64,10 @@ def primary_offender(df: DataFrame, fingerprint: str = "narrative_hash",
     cand = df
     if blank == "keep":
         cand = cand.where(F.coalesce(F.col(narrative), F.lit("")) != "")
-    cand = cand.select(fingerprint, offender).distinct().join(counts, offender)
+    cand = lookup(cand.select(fingerprint, offender).distinct(), counts, offender, size="_cnt")
     best = primary_by(cand, fingerprint, offender, "_cnt").withColumnRenamed(offender, "_primary")
-    out = df.join(best, fingerprint, "left")
+    # with blank='keep' the blank reports' fingerprint has no match; salting spreads them
+    out = lookup(df, best, fingerprint, "left")
     return out.withColumn(offender, F.coalesce(F.col("_primary"), F.col(offender))).drop("_primary")
 
 
@@ -110,7 +111,7 @@ def negative_pairs(df: DataFrame, group: str = "offender", id_col: str = "incide
     The draw is integer arithmetic on (report id, j), so it is replayable and
     the same in SQL: with groups numbered 0..G-1 by their smallest report id
     and reports numbered 0..n-1 inside their group by id,
-      h  = (id + seed) mod 1000003
+      h  = (x mod M + (x div M mod M) * 40503) mod M,  x = id + seed, M = 2^31 - 1
       tg = (gid + 1 + (h * 40503 + j * stride) mod (G - 1)) mod G
       tr = (h * 69069 + j * 40503) mod n(tg)
     stride is a prime that does not divide G - 1, so the K targets of a report
@@ -118,7 +119,9 @@ def negative_pairs(df: DataFrame, group: str = "offender", id_col: str = "incide
     independent between reports, which is fine for training negatives.
     Raises ValueError when K > G - 1 (not enough other groups).
     """
-    if stats is None or "min_id" not in stats:
+    # ids may come as int (inferred from a file); the draw needs 64 bits
+    df = df.withColumn(id_col, F.col(id_col).cast("long"))
+    if stats is None:
         stats = link_stats(df, group, ratio, id_col=id_col).first().asDict()
     g, k = int(stats["groups"]), int(stats["to_select"] or 0)
     schema = StructType([StructField("l", LongType()), StructField("r", LongType()),
@@ -131,12 +134,14 @@ def negative_pairs(df: DataFrame, group: str = "offender", id_col: str = "incide
     stride = next(p for p in STRIDES if (g - 1) % p != 0)
 
     groups = df.groupBy(group).agg(F.min(id_col).alias("_gkey"), F.count(F.lit(1)).alias("_n"))
-    bounds = (int(stats["min_id"]), int(stats["max_id"]))
-    groups = position_index(groups, "_gkey", name="_gid", bounds=bounds)
-    ranked = position_index(df.select(id_col, group), id_col, by=[group], name="_rk", bounds=bounds)
-    reports = ranked.join(groups.select(group, "_gid"), group)
-
-    h = F.pmod(F.col(id_col) + F.lit(seed), F.lit(HASH_MOD))
+    groups = cut_lineage(position_index(groups, "_gkey", name="_gid"))
+    ranked = position_index(df.select(id_col, group), id_col, by=[group], name="_rk")
+    # read as the source of the draws and as their targets
+    reports = cut_lineage(lookup(ranked, groups.select(group, "_gid", "_n"), group, size="_n").drop("_n"))
+
+    x = F.col(id_col) + F.lit(seed)
+    high = F.pmod(F.expr(f"(`{id_col}` + {int(seed)}L) div {HASH_MOD}L"), F.lit(HASH_MOD))
+    h = F.pmod(F.pmod(x, F.lit(HASH_MOD)) + high * 40503, F.lit(HASH_MOD))
     draws = reports.select(F.col(id_col).alias("l"), "_gid", h.alias("_h"),
                            F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
     draws = draws.withColumn(
@@ -284,7 +289,7 @@ def pair_overlap(pairs: DataFrame, terms: DataFrame, id_col: str, term: str = "t
     m = p.join(lc, "l").join(rc, ["r", "_t"])
     prod = F.col("_cl") * F.col("_cr")
     if idf is not None:
-        m = m.join(idf.select(F.col(term).alias("_t"), F.col("idf").alias("_w")), "_t", "left")
+        m = lookup(m, idf.select(F.col(term).alias("_t"), F.col("idf").alias("_w")), "_t", "left")
         prod = prod * F.coalesce(F.col("_w"), F.lit(0.0))
     m = m.groupBy("l", "r").agg(F.sum(prod).cast("double").alias("_m"))
     ls = size.select(F.col(id_col).alias("l"), F.col("_s").alias("_sl"))
@@ -323,6 +328,9 @@ def finish_features(df: DataFrame, keep=("weight", "class"), ids=("l", "r")):
         aggs += [F.avg(present(c)).alias(f"a_{c}"), F.min(present(c)).alias(f"lo_{c}"),
                  F.max(present(c)).alias(f"hi_{c}")]
     st = df.agg(*aggs).first().asDict()
+    empty = [c for c in feats if st[f"a_{c}"] is None]
+    if empty and any(True for _ in df.take(1)):
+        raise ValueError(f"no value to fill or scale: every row is null in {empty}")
     filled = []
     for c in ints:
         mean = st[f"a_{c}"]

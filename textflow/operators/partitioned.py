@@ -7,37 +7,77 @@ broadcast has a proven bound (a fixed cell count, or a size check).
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textflow.session import cut_lineage
+
 # Largest number of cells a single offset window may see (bounded work in one task).
-MAX_CELLS = 1 << 16
+MAX_CELLS = 1 << 11
+# Copies of a per-key row among which the rows of one key are dealt out.
+SALTS = 8
+# A key is hot if it has at least one in so many of all rows, so fewer keys than this are.
+HEAVY = 1 << 10
 # Rows a broadcast side may hold when its size is only known at run time.
 BROADCAST_ROWS = 2_000_000
 
 
+def lookup(rows: DataFrame, per_key: DataFrame, key, how: str = "inner",
+           size: str | None = None, salts: int | None = None) -> DataFrame:
+    """Join ``rows`` to a table with few rows per key, without sending the rows
+    of one hot key to one task.
+
+    Rows are salted by a hash of their columns (so a recomputed task deals
+    them out the same way) and meet a copy of the key's row for each salt.
+    ``size``: the column of ``per_key`` that counts the rows of each key; then
+    only hot keys are salted and copied, of which there are fewer than HEAVY
+    (a proven broadcast bound).  ``how``: inner or left.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    plain = [F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t]
+    salts = salts or (SALTS if size is None else 8 * SALTS)
+    salt = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+    last = F.lit(salts - 1)
+    if size is not None:
+        per_key = cut_lineage(per_key)
+        total = per_key.agg(F.sum(size)).first()[0] or 0
+        hot = F.broadcast(per_key.where(F.col(size) * HEAVY > F.lit(total)).select(*keys, F.lit(True).alias("_hot")))
+        rows, per_key = rows.join(hot, keys, "left"), per_key.join(hot, keys, "left")
+        salt = F.when(F.col("_hot"), salt).otherwise(F.lit(0))
+        last = F.when(F.col("_hot"), last).otherwise(F.lit(0))
+    rows = rows.withColumn("_salt", salt)
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    if size is not None:
+        rows, copies = rows.drop("_hot"), copies.drop("_hot")
+    return rows.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def cells(df: DataFrame, order_col: str, max_cells: int = MAX_CELLS, name: str = "_cell") -> DataFrame:
+    """``df`` with the number of the cell of its ``order_col``: cells follow one
+    another in its order and hold about equally many rows, however the values
+    are spread (approximate quantiles)."""
+    value = F.col(order_col).cast("double")
+    cuts = df.select(value.alias("_x")).approxQuantile("_x", [i / max_cells for i in range(1, max_cells)], 0.25 / max_cells)
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    out = Bucketizer(splits=splits, inputCol="_x", outputCol=name, handleInvalid="keep").transform(df.withColumn("_x", value))
+    return out.withColumn(name, F.col(name).cast("int")).drop("_x")
+
+
 def position_index(df: DataFrame, order_col: str, by=(), name: str = "_pos",
-                   max_cells: int = MAX_CELLS, bounds: tuple | None = None) -> DataFrame:
+                   max_cells: int = MAX_CELLS) -> DataFrame:
     """0-based position of each row by ``order_col`` within ``by`` (or overall).
 
     ``order_col`` is an integer unique within ``by``.  Rows are cut into cells
-    of consecutive ``order_col`` values (at most ``width`` rows each), ranked
+    of consecutive ``order_col`` values (about equally many rows each), ranked
     inside their cell, and offset by the sizes of the earlier cells of the same
     group.  No task ever holds a whole group; the only unpartitioned window
     runs over at most ``max_cells`` cell sizes.  The result depends on the data
-    only (not on partitioning), so recomputation after a lost executor gives
-    the same numbers.  ``bounds`` = (lo, hi), any range holding every
-    ``order_col`` value, saves the pass that finds it.
+    only (not on partitioning or the cuts), so recomputation after a lost
+    executor gives the same numbers.
     """
     by = list(by)
-    if bounds is None:
-        lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
-    else:
-        lo, hi = bounds
-    if lo is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max(1, -(-(int(hi) - int(lo) + 1) // max_cells))
-    x = df.withColumn("_cell", F.expr(f"({order_col} - {int(lo)}) div {width}"))
+    x = cells(df, order_col, max_cells)
     ranked = x.withColumn(
         "_r", F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(order_col)) - 1)
     sizes = x.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
@@ -63,7 +103,7 @@ def blocked_pairs(df: DataFrame, group: str, id_col: str, block: int = 256,
     """
     cols = list(cols)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    x = (df.select(group, id_col, *cols).join(sizes, group)
+    x = (lookup(df.select(group, id_col, *cols), sizes, group, size="_n")
          .withColumn("_nb", F.expr(f"CAST(ceil(_n / {block}) AS INT)"))
          .withColumn("_b", F.expr("CAST(pmod(xxhash64({}), _nb) AS INT)".format(id_col))))
     left = x.select(group, "_n", F.col("_b").alias("_lb"),

@@ -13,6 +13,8 @@ from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover, Tokenize
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textflow.operators.partitioned import lookup
+
 # ASCII punctuation deleted by the normalizing tokenizer
 # (Python's string.punctuation), and the word splits the Treebank word
 # tokenizer still makes once punctuation is gone.
@@ -95,7 +97,7 @@ def train_tagger(tagged: DataFrame, token: str = "token", tag: str = "tag") -> D
 def tag_tokens(df_long: DataFrame, lexicon: DataFrame, token: str = "token",
                tag: str = "tag") -> DataFrame:
     """T8 apply: left join the lexicon; unknown words get a null tag."""
-    return df_long.join(lexicon.select(token, tag), token, "left")
+    return lookup(df_long, lexicon.select(token, tag), token, "left")
 
 
 def verb_object_pairs(tagged_long: DataFrame, id_col: str = "doc_id", pos: str = "pos",
@@ -125,9 +127,7 @@ PROPERTY_HEADINGS = "PROPERTY LIST SUMMARY:|PROPERTY STOLEN:"
 REMOVABLE = ["modus", "operandi", "call", "with", "list", "of", "location", "point", "entry",
              "value", "property", "police", "stage", "name", "details", "insured", "victim",
              "address"]
-REMOVABLE_COMPAT = ["modus", "operandi", "call", "with", "list", "of", "location", "point",
-                    "entry", "value", "propertypolice", "stage", "name", "details", "insured",
-                    "victim", "address"]
+REMOVABLE_COMPAT = [w for w in REMOVABLE if w not in ("property", "police")] + ["propertypolice"]
 NOUN_TAGS = ["NN", "NNS"]
 
 
@@ -153,6 +153,9 @@ def stolen_terms(df: DataFrame, id_col: str, narrative: str, lexicon: DataFrame,
     toks = x.select(id_col, F.posexplode("_tok").alias("pos", "token"))
     tagged = tag_tokens(toks, lexicon)
     drop = REMOVABLE_COMPAT if compat else REMOVABLE
+    if stem and not compat:
+        from textflow.operators.stem import porter
+        drop = [porter(w) for w in drop]
     keep = (F.col("tag").isin(NOUN_TAGS) & ~F.col("token").isin(drop)
             & (F.length("token") >= min_len))
     return tagged.where(keep).select(id_col, "pos", F.col("token").alias("term"))

@@ -154,11 +154,11 @@ def q_sentences(spark, sf):
 
 @register("count_vector_terms")
 def q_count_vector_terms(spark, sf):
-    """F2 in long form: binary counts over the learned vocabulary."""
+    """F2 in long form: counts over the whole vocabulary."""
     from textflow.operators.features import count_vector_terms
     from textflow.operators.text import tokenize_regex
     x = tokenize_regex(_docs(spark, sf), "text", "tokens")
-    return count_vector_terms(x, "doc_id", "tokens", min_df=1, vocab_size=1 << 18, binary=True)
+    return count_vector_terms(x, "doc_id", "tokens")
 
 
 @register("tf_idf_terms")
@@ -451,21 +451,23 @@ def _nb_input(spark, sf):
 @register("naive_bayes")
 def q_naive_bayes(spark, sf):
     """M4: class log-priors (term null) and term log-probabilities per class."""
-    from textflow.operators.learn import naive_bayes
-    d, cv = _nb_input(spark, sf)
-    _, model = naive_bayes(d)
-    vocab = spark.createDataFrame(list(enumerate(cv.vocabulary)), "idx int, term string")
-    theta = model.theta.toArray()
-    labels = [float(x) for x in range(model.numClasses)]
-    th = spark.createDataFrame(
-        [(int(labels[c]), j, float(theta[c][j])) for c in range(len(labels)) for j in range(theta.shape[1])],
-        "label int, idx int, log_prob double")
-    pi = spark.createDataFrame([(int(labels[c]), None, float(model.pi[c])) for c in range(len(labels))],
-                               "label int, term string, log_prob double")
-    out = th.join(vocab, "idx").select("label", "term", "log_prob").unionByName(pi)
+    from textflow.operators.features import term_frequencies
+    from textflow.operators.learn import naive_bayes_terms
+    from textflow.operators.text import tokenize_regex
+    d = tokenize_regex(_labelled(spark, sf), "text", "tokens").withColumn("label", F.col("quality").cast("int"))
+    out = naive_bayes_terms(d.select("doc_id", "label"), term_frequencies(d, "doc_id", "tokens"), "doc_id")
     return out.select("label", "term", F.round("log_prob", 6).alias("log_prob"))
 
 
+@register("naive_bayes_predict")
+def q_naive_bayes_predict(spark, sf):
+    """M4 + M5: the fitted naive Bayes model applied to the labelled documents."""
+    from textflow.operators.learn import naive_bayes
+    d, _ = _nb_input(spark, sf)
+    p, _ = naive_bayes(d)
+    return p.select("doc_id", F.col("prediction").cast("int").alias("prediction"))
+
+
 @register("logistic_regression")
 def q_logistic_regression(spark, sf):
     """M2 + M5: hashed tf-idf of labelled documents -> quality; applied to all documents."""
@@ -516,8 +518,7 @@ def q_cross_validation(spark, sf):
     from textflow.operators.features import hashing_tf
     from textflow.operators.learn import search
     from textflow.operators.text import tokenize_regex
-    d = hashing_tf(tokenize_regex(_labelled(spark, sf), "text", "tokens"), "tokens", "features",
-                   num_features=1 << 12)
+    d = hashing_tf(tokenize_regex(_labelled(spark, sf), "text", "tokens"), "tokens", "features")
     d = d.withColumn("label", F.col("quality").cast("double"))
     cv = search(LogisticRegression(maxIter=20), {"regParam": [0.01, 0.1]},
                 BinaryClassificationEvaluator(), d, folds=3)
@@ -740,7 +741,7 @@ def q_word2vec(spark, sf):
     """Word2Vec; a document is the mean of its word vectors."""
     from pyspark.ml.functions import vector_to_array
     d, _ = _w2v(spark, sf)
-    return d.select("doc_id", F.slice(vector_to_array("vec"), 1, 3).alias("head"))
+    return d.select("doc_id", vector_to_array("vec").alias("vector"))
 
 
 @register("doc_embedding")
@@ -753,7 +754,7 @@ def q_doc_embedding(spark, sf):
     w = tf_idf_terms(d, "doc_id", "tokens")
     emb = doc_embedding(w, wv, w, "doc_id")
     return d.select("doc_id").join(emb, "doc_id", "left").select(
-        "doc_id", F.slice("embedding", 1, 3).alias("head"))
+        "doc_id", "embedding")
 
 
 @register("pca")

@@ -112,7 +112,7 @@ st AS (SELECT groups AS G, to_select AS K,
                    WHEN (groups - 1) % 7933 <> 0 THEN 7933 WHEN (groups - 1) % 7937 <> 0 THEN 7937
                    ELSE 7949 END AS stride FROM stats2),
 draws AS (SELECT l, gid, h, j, (gid + 1 + (h * 40503 + j * stride) % (G - 1)) % G AS tg FROM (
-            SELECT rep.id AS l, rep.gid, ((rep.id + 0) % 1000003 + 1000003) % 1000003 AS h,
+            SELECT rep.id AS l, rep.gid, (rep.id % 2147483647 + rep.id // 2147483647 % 2147483647 * 40503) % 2147483647 AS h,
                    unnest(range(0, st.K)) AS j, st.G, st.stride
             FROM rep, st)),
 neg AS (SELECT d.l, t.id AS r, 1.0 AS weight, 0 AS class
@@ -244,7 +244,7 @@ SQL["sentences"] = _long("string_split(text, '.')", "sentence")
 DOC_TF = f"""WITH tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf
   FROM (SELECT doc_id, unnest({T2_LIST}) AS term FROM documents) GROUP BY doc_id, term)
 """
-SQL["count_vector_terms"] = DOC_TF + "SELECT doc_id, term, 1.0 AS tf FROM tf"
+SQL["count_vector_terms"] = DOC_TF + "SELECT doc_id, term, tf FROM tf"
 SQL["tf_idf_terms"] = DOC_TF + """,
 d AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, term, tf, df, round(ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)), 6) AS idf,
@@ -386,6 +386,16 @@ UNION ALL
 SELECT CAST(label AS INTEGER), NULL, round(ln(nc + 1.0) - ln((SELECT count(*) FROM lab) + (SELECT count(*) FROM cls)), 6)
 FROM cls"""
 
+SQL["naive_bayes_predict"] = LABELLED + f""", tok AS (SELECT doc_id, quality AS label, unnest({T2_LIST}) AS term FROM lab),
+cls AS (SELECT quality AS label, count(*) AS nc FROM lab GROUP BY quality),
+cnt AS (SELECT label, term, count(*) AS c FROM tok GROUP BY label, term),
+tot AS (SELECT label, count(*) AS t FROM tok GROUP BY label),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term),
+score AS (SELECT tf.doc_id, cls.label, sum(tf.tf * (ln(coalesce(cnt.c, 0) + 1.0) - ln(tot.t + (SELECT count(DISTINCT term) FROM tok)))) AS s
+  FROM tf CROSS JOIN cls JOIN tot ON tot.label = cls.label LEFT JOIN cnt ON cnt.label = cls.label AND cnt.term = tf.term GROUP BY tf.doc_id, cls.label)
+SELECT lab.doc_id, CAST(arg_max(cls.label, coalesce(s, 0) + ln(nc + 1.0)) AS INTEGER) AS prediction
+FROM lab CROSS JOIN cls LEFT JOIN score ON score.doc_id = lab.doc_id AND score.label = cls.label GROUP BY lab.doc_id"""
+
 
 # ---- stems, tags, stolen terms, relations, senses -----------------------------------
 

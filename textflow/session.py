@@ -8,20 +8,19 @@ own ``SparkSession``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 # Settings every job in this package relies on.  AQE re-plans joins at run
-# time (broadcast when a side turns out small, split skewed partitions of a
-# sort-merge join), which is our first line of defence against hot keys.
+# time; lookups of per-key values salt hot keys themselves (partitioned.lookup).
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.shuffle.partitions": "8",
     # checkpoint files of frames that are no longer referenced are removed
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -36,6 +35,7 @@ def get_spark(master: str | None = None, app: str = "textflow",
     conf = dict(BASE_CONF)
     conf["spark.driver.memory"] = os.environ.get("TEXTFLOW_DRIVER_MEMORY", "16g")
     conf["spark.ui.enabled"] = "false"
+    conf["spark.sql.shuffle.partitions"] = "8"  # for local cores; a cluster job sets its own
     conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -57,7 +57,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[[^,\]]*(,\d+)?\])?$", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         path = tempfile.mkdtemp(prefix="textflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

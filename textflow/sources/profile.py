@@ -54,8 +54,9 @@ def column_roles(df: DataFrame) -> DataFrame:
     if num:
         aggs = []
         for f in num:
-            aggs += [F.count_distinct(f.name).alias(f"d_{f.name}"), F.max(f.name).alias(f"m_{f.name}")]
-        stats = df.agg(*aggs).first().asDict()
+            if not isinstance(f.dataType, floating):  # floating columns are continuous anyway
+                aggs += [F.count_distinct(f.name).alias(f"d_{f.name}"), F.max(f.name).alias(f"m_{f.name}")]
+        stats = df.agg(*aggs).first().asDict() if aggs else {}
     discrete = [f.name for f in num if not isinstance(f.dataType, floating)
                 and stats[f"d_{f.name}"] < CONTINUOUS_MIN_DISTINCT
                 and not (stats[f"m_{f.name}"] is not None and stats[f"m_{f.name}"] > stats[f"d_{f.name}"])]
