@@ -127,7 +127,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
         prior = np.log(weight[0].sum() + 1) - np.log(weight[1].sum() + 1)
         odds = prior + np.einsum("pjv,jv->p", one, table)
         good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        if before is not None and np.abs(odds - before).max() < 1e-6:
+        if before is not None and np.abs(odds - before).max(initial=0.0) < 1e-6:
             break
         before = odds
     return float(prior), table
