@@ -30,6 +30,9 @@ from pyspark.sql.types import StructType
 from textflow.llm.pieces import Encoder, gather, lists, worker_encoder
 from textflow.llm.stored import pick
 
+#: Units merged in one queue, which bounds its memory.
+TOGETHER = 1 << 17
+
 _NONE = np.iinfo(np.int32).max
 
 
@@ -106,6 +109,10 @@ class Merger:
 
     def units(self, split, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number of each unit, a run of pre-tokens that ``split`` finds."""
+        parts = [self._some(split, units[low:low + TOGETHER]) for low in range(0, len(units), TOGETHER)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _some(self, split, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number: dict[str, int] = {}
         parts = [[number.setdefault(p, len(number)) for p in split(u)] for u in units]
         flat, counts = self(list(number))
@@ -134,10 +141,10 @@ class Merger:
     def merge(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         total = int(size.sum())
-        piece = np.repeat(np.arange(len(raw)), size)
+        piece = np.repeat(np.arange(len(raw), dtype=np.int32), size)
         end = total  # the mark that stands before the first and after the last of each pre-token
         token = np.append(self.byte[np.frombuffer(b"".join(raw), np.uint8)], self.n).astype(np.int32)
-        nxt, prv = np.arange(1, total + 2), np.arange(-1, total)
+        nxt, prv = np.arange(1, total + 2, dtype=np.int32), np.arange(-1, total, dtype=np.int32)
         last = np.cumsum(size)
         nxt[last - 1], prv[last - size] = end, end
         nxt[end] = prv[end] = end
@@ -164,7 +171,7 @@ class Merger:
                 else:
                     held.append(part)
 
-        put(np.arange(total))
+        put(np.arange(total, dtype=np.int32))
         while (rank := queue.least()) >= 0:
             held = buckets.pop(rank)
             queue.discard(rank)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from textflow.llm.words import RunHasher, chunks
 
 #: Bytes of text whose new units are encoded together, and distinct units kept by a Python worker.
-GROUP_BYTES, KEPT = 16 << 20, 2 << 20
+GROUP_BYTES, KEPT = 8 << 20, 1 << 20
 
 _LAST = np.zeros(256, np.uint8)  # of a character before a space: 1 white, 2 perhaps
 _LAST[[*range(9, 14), *range(28, 33)]] = 1

@@ -16,7 +16,7 @@ import pyarrow as pa
 from textflow.llm import TaskCache
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
@@ -52,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the prime and of its inverse, at least n + 1 of each."""
     have = _POWERS.get(0)
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = (int(n) // 65536 + 1) * 65536
         have = powers(_PRIME, size), powers(_INVERSE, size)
         if size <= 8 * CHUNK_BYTES:
             _POWERS[0] = have
