@@ -139,6 +139,6 @@ def property_secured(c) -> Column:
     return sentence_vote(c, SECURE_WORDS)
 
 
-def fingerprint(c, bits: int = 224) -> Column:
-    """SHA-2 hex digest of the UTF-8 text (224 bits as the reference)."""
+def fingerprint(c, bits: int = 256) -> Column:
+    """SHA-2 hex digest of the UTF-8 text (the reference uses 224 bits)."""
     return F.sha2(_col(c), bits)

@@ -591,7 +591,7 @@ def q_stolen_terms(spark, sf):
 
 @register("fingerprint")
 def q_fingerprint(spark, sf):
-    """SHA-224 of every narrative (hashlib-equal; DuckDB has no SHA-224)."""
+    """SHA-256 of every narrative."""
     from textflow.functions.incident import fingerprint
     i = FX.incidents(spark, sf).na.fill({"narrative": ""})
     return i.select("incident_id", fingerprint("narrative").alias("narrative_hash"))
@@ -768,6 +768,87 @@ def q_pca(spark, sf):
     return p.select("vec_id", vector_to_array("pc").alias("pc"))
 
 
+# ---- learned stages whose result has a closed form ---------------------------------
+
+@register("logistic_odds")
+def q_logistic_odds(spark, sf):
+    """M2: unregularized logistic regression on one binary feature: its coefficient is the log odds ratio."""
+    from textflow.operators.features import assemble
+    from textflow.operators.learn import logistic
+    o = FX.load(spark, sf, "orders").select(
+        (F.col("o_orderstatus") == "F").cast("double").alias("class"),
+        (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"), F.lit(1.0).alias("weight"))
+    _, model = logistic(assemble(o, ["urgent"], "features"), regParam=0.0, tol=1e-9, standardization=False)
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "coefficient double, intercept double") \
+        .select(F.round("coefficient", 4).alias("coefficient"), F.round("intercept", 4).alias("intercept"))
+
+
+@register("tree_majority")
+def q_tree_majority(spark, sf):
+    """M3: a tree on the one-hot line number predicts the commonest return flag of each number."""
+    from textflow.operators.features import assemble, index_labels
+    from textflow.operators.learn import tree
+    li = FX.load(spark, sf, "lineitem").select("l_linenumber", "l_returnflag")
+    li, index = index_labels(li, "l_returnflag", "label")
+    numbers = [F.when(F.col("l_linenumber") == k, 1.0).otherwise(0.0).alias(f"n{k}") for k in range(1, 8)]
+    x = assemble(li.select("l_linenumber", "label", *numbers), [f"n{k}" for k in range(1, 8)], "features")
+    p, _ = tree(x, maxDepth=8)
+    flag = F.element_at(F.array(*[F.lit(v) for v in index.labels]), F.col("prediction").cast("int") + 1)
+    return p.select("l_linenumber", flag.alias("predicted")).distinct()
+
+
+@register("pca_variance")
+def q_pca_variance(spark, sf):
+    """shares of variance of the two principal components of quantity and tax in percent."""
+    from textflow.operators.features import assemble, reduce_dims
+    li = FX.load(spark, sf, "lineitem").select("l_quantity", (F.col("l_tax") * 100).alias("tax"))
+    _, model = reduce_dims(assemble(li, ["l_quantity", "tax"], "features"), "features", "pc", 2)
+    rows = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance)]
+    return spark.createDataFrame(rows, "component int, share double").select("component", F.round("share", 6).alias("share"))
+
+
+@register("model_round_trip")
+def q_model_round_trip(spark, sf):
+    """A linear model saved to the shared folder and loaded again."""
+    import uuid
+
+    from pyspark.ml.regression import LinearRegressionModel
+    from textflow.operators.features import assemble
+    from textflow.operators.learn import linear
+    from textflow.session import checkpoint_dir
+    from textflow.sources.files import load_model, save_model
+    li = assemble(FX.load(spark, sf, "lineitem"), ["l_quantity"], "features")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    save_model(linear(li, label="l_extendedprice")[1], path)
+    model = load_model(LinearRegressionModel, path)
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "coefficient double, intercept double") \
+        .select(F.round("coefficient", 4).alias("coefficient"), F.round("intercept", 4).alias("intercept"))
+
+
+@register("arff_lines")
+def q_arff_lines(spark, sf):
+    """The data lines of an ARFF export, as read back from its files."""
+    import uuid
+
+    from textflow.operators.features import assemble
+    from textflow.session import checkpoint_dir
+    from textflow.sources.files import write_arff
+    li = FX.load(spark, sf, "lineitem").select("l_quantity", "l_discount", F.lit(1.0).alias("weight"), (F.col("l_linenumber") % 2).alias("class"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/arff-{uuid.uuid4().hex}"
+    write_arff(assemble(li, ["l_quantity", "l_discount"], "feature_vec"), path, ["l_quantity", "l_discount", "class"])
+    return spark.read.text(f"{path}/data").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("cached")
+def q_cached(spark, sf):
+    """A cached frame read twice: orders of each customer above the mean price."""
+    from textflow.sources.files import cached
+    o = cached(FX.load(spark, sf, "orders").select("o_custkey", "o_totalprice"))
+    mean = o.agg(F.avg("o_totalprice").alias("m"))
+    return (o.join(F.broadcast(mean), F.col("o_totalprice") > F.col("m")).groupBy("o_custkey")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 @register("random_split")
 def q_random_split(spark, sf):
     """randomSplit 0.9 / 0.1, seed 12345."""

@@ -85,6 +85,9 @@ stats2 AS (SELECT *, CAST(ceil(linked / groups) * 1 AS BIGINT) AS to_select FROM
 
 LINK_CTES = INCIDENT_CTES.rstrip() + K1_CTES
 
+SQL["fingerprint"] = with_ctes(FX.INCIDENTS_DUCK).rstrip() + """
+SELECT incident_id, sha256(coalesce(narrative, '')) AS narrative_hash FROM incidents"""
+
 SQL["primary_offender"] = LINK_CTES + "SELECT incident_id, original_offender, offender FROM reports"
 
 SQL["primary_offender_merged"] = (
@@ -373,6 +376,19 @@ UNION ALL SELECT 'accuracy', round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0
 SQL["linear_regression"] = """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS coefficient,
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem"""
 
+SQL["model_round_trip"] = SQL["linear_regression"]
+SQL["logistic_odds"] = """WITH c AS (SELECT
+  count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS a, count(*) FILTER (o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT') AS b,
+  count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT') AS c, count(*) FILTER (o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT') AS d FROM orders)
+SELECT round(ln(a * d * 1.0 / (b * c)), 4) AS coefficient, round(ln(c * 1.0 / d), 4) AS intercept FROM c"""
+SQL["tree_majority"] = """SELECT l_linenumber, arg_max(l_returnflag, n) AS predicted
+FROM (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_linenumber"""
+SQL["pca_variance"] = """WITH m AS (SELECT var_samp(l_quantity) AS a, var_samp(l_tax * 100) AS c, covar_samp(l_quantity, l_tax * 100) AS b FROM lineitem),
+e AS (SELECT (a + c) / 2 AS h, sqrt((a - c) * (a - c) / 4 + b * b) AS d FROM m)
+SELECT 1 AS component, round((h + d) / (2 * h), 6) AS share FROM e UNION ALL SELECT 2, round((h - d) / (2 * h), 6) FROM e"""
+SQL["arff_lines"] = """SELECT CAST(l_quantity AS VARCHAR) || ',' || CAST(l_discount AS VARCHAR) || ',1.0,' || (l_linenumber % 2) AS value, count(*) AS n
+FROM lineitem GROUP BY 1"""
+SQL["cached"] = """SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) GROUP BY o_custkey"""
 SQL["naive_bayes"] = LABELLED + f""", tok AS (SELECT quality AS label, unnest({T2_LIST}) AS term FROM lab),
 vocab AS (SELECT DISTINCT term FROM tok),
 cls AS (SELECT quality AS label, count(*) AS nc FROM lab GROUP BY quality),
