@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textflow.llm.components import connected
-from textflow.llm.stored import pick, store
+from textflow.llm.stored import discard, pick, store
 from textflow.llm.words import chunks, mix, shingles, texts
 
 #: Counters of the frequency sketch, and how many of them share a row.  Over N
@@ -237,7 +237,9 @@ class _Join:
         found = (pairs.join(left, "l").join(right, "r")
                  .select("l", "ln", "r", "rn", F.size(F.array_intersect("lg", "rg")).alias("shared")))
         kept = f"(({self.num} * greatest(ln, rn) + {self.den - 1}) div {self.den})"
-        return store(found.where(F.expr(f"shared >= {self.overlap('ln', 'rn')} - {kept} + 1")).drop("shared").distinct(), "likely")
+        found = store(found.where(F.expr(f"shared >= {self.overlap('ln', 'rn')} - {kept} + 1")).drop("shared").distinct(), "likely")
+        discard(near)
+        return found
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of (l, ln, r, rn) the pairs that link: partial overlaps by fragment, summed per pair."""
@@ -254,7 +256,10 @@ class _Join:
         total = partial.groupBy("l", "ln", "r", "rn").agg(*[
             F.coalesce(F.max(F.when(F.col("fragment") == f, F.col("overlap"))), F.lit(0)).alias(f"both{f}") for f in range(FRAGMENTS)])
         total = total.withColumn("both", sum((F.col(f"both{f}") for f in range(FRAGMENTS)), F.lit(0)))
-        return store(total.where(F.expr(f"{self.den} * both >= {self.num} * (ln + rn - both)")).select("l", "r"), "links")
+        found = store(total.where(F.expr(f"{self.den} * both >= {self.num} * (ln + rn - both)")).select("l", "r"), "links")
+        discard(segments)
+        discard(pairs)
+        return found
 
     def components(self) -> DataFrame:
         """(node, component_id) of all classes."""
@@ -272,13 +277,16 @@ class _Join:
                       .agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "k").alias("main"))
                       .where("parts > 1").select("h", "main"), "mixed")
         placed = store(placed.join(mixed, "h"), "unsettled")
+        discard(buckets)
         odd = placed.where("component <> main")
         rest = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "i", "component")], F.col("node").alias("other"))
         pairs = (odd.join(rest, "h").where(F.col("component") != F.col("other_component"))
                  .where((F.col("other_component") == F.col("main")) | (F.col("node") < F.col("other")))
                  .where(self.close_enough("", "other_")).select(*ordered).distinct())
         pairs = store(pairs.join(spokes.select("l", "r"), ["l", "r"], "left_anti"), "crossing")
+        discard(placed)
         known = connected(links.union(self.links(pairs)))
+        discard(self.prefix)
         placed = self.classes.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = store(placed, "classes")
         least = store(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
