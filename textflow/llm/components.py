@@ -32,9 +32,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return store(moved.where("a <> b").distinct(), "star")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one parent or is one, so that all links lead to a component's smallest id."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("u").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 or c = 1 and p = 1").take(1)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -43,14 +45,11 @@ def connected(links: DataFrame) -> DataFrame:
     ends, self links and repeated links are ignored; no links, no rows."""
     edges = store(links.where("l is not null and r is not null and l <> r")
                   .select(F.greatest("l", "r").alias("a"), F.least("l", "r").alias("b")).distinct(), "links")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _settled(edges):
         wide = _star(edges, True)
         new = _star(wide, False)
         discard(wide)
         discard(edges)
-        edges, last, mark = new, mark, _mark(new)
-        if mark == last:
-            break
+        edges = new
     ids = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ids.union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

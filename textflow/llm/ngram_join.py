@@ -94,17 +94,23 @@ def _add_counts(key, table):
 
 
 class Order:
-    """The global n-gram order: by level, then by hash.  Level 0: no more
-    often than chance fills a counter; then by half-powers of two of the
-    count.  ``fragment`` cuts the order into ranges of about equal mass."""
+    """The global n-gram order: by the level of the counter, then by hash.
+
+    Levels are eighths of the standard deviation that chance gives a counter,
+    and quarter-powers of two far above it.  So an n-gram that some texts
+    share falls behind those that are alone in their counters even where its
+    count does not stand out.  ``fragment`` cuts the order into ranges of
+    about equal mass."""
+
+    LEVELS = 1024
 
     def __init__(self, tally: np.ndarray):
         usual = float(np.median(tally))
-        often = usual + 4 * usual ** 0.5 + 4
-        level = np.where(tally <= often, 0, 1 + np.floor(2 * np.log2(np.maximum(tally, 1) / often)))
-        self.level = np.minimum(level, 255).astype(np.uint8)
+        z = (tally - usual) / max(1.0, usual ** 0.5)
+        level = np.where(z < 64, np.floor(8 * z) + 256, 768 + np.floor(4 * np.log2(np.maximum(z, 64) / 64)))
+        self.level = np.clip(level, 0, self.LEVELS - 1).astype(np.uint16)
         self.weight = np.log2(1.0 + tally).astype(np.float32)
-        mass = np.bincount(self.level, weights=tally, minlength=256) + 1e-9
+        mass = np.bincount(self.level, weights=tally, minlength=self.LEVELS) + 1e-9
         self.mass = mass / mass.sum()
         self.before = np.cumsum(self.mass) - self.mass
 
