@@ -580,7 +580,9 @@ def q_verb_object_pairs(spark, sf):
 
 def _stolen(spark, sf):
     from textflow.operators.text import stolen_terms
-    return stolen_terms(FX.incidents(spark, sf), "incident_id", "narrative", _lexicon(spark, sf))
+    from textflow.session import cut_lineage
+    # the callers read it several times: the tagger is trained once
+    return cut_lineage(stolen_terms(FX.incidents(spark, sf), "incident_id", "narrative", _lexicon(spark, sf)))
 
 
 @register("stolen_terms")
@@ -606,9 +608,11 @@ def q_choose_sense(spark, sf):
 
 def _pairs(spark, sf):
     from textflow.operators import linkage as K
+    from textflow.session import cut_lineage
     rep = _reports(spark, sf)
     stats = K.link_stats(rep, "offender", 1, id_col="incident_id").first().asDict()
-    return K.positive_pairs(rep).unionByName(K.negative_pairs(rep, stats=stats))
+    # the pair operators read them two or three times
+    return cut_lineage(K.positive_pairs(rep).unionByName(K.negative_pairs(rep, stats=stats)))
 
 
 def _sense_inputs(spark, sf):
