@@ -208,9 +208,22 @@ class Merger:
         return token[:total][left], np.bincount(piece[left], minlength=len(raw))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Bytes:
+    """Bytes of ids."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.fromiter(map(len, tokens), np.int64)
+        self.flat, self.begin = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(self.size) - self.size
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        return gather(self.flat, self.begin[ids], self.size[ids]).tobytes()
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           with_bytes: bool = False) -> DataFrame:
     """(id_col, ids array<int>) of every row: each match of ``pattern`` is
-    encoded by the merge ranks of the file.  Null and empty texts have no ids.
+    encoded by the merge ranks of the file.  ``with_bytes``: also the bytes to
+    which the ids are decoded, in the same task.  Null and empty texts have no ids.
     Ids, null or repeated ones too, are passed through.  The file is read by
     the driver; its size is that of the vocabulary."""
     rows = pick(docs, {"id": id_col, "text": text_col})
@@ -220,11 +233,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         split = regex.compile(pattern).findall
         coder = worker_encoder(f"{key} {pattern}", lambda: Encoder(partial(Merger(tokens.value).units, split)))
+        back = Bytes(tokens.value) if with_bytes else None
         for batch in batches:
             for low, ids in coder.texts(batch["text"]):
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(low, len(ids)), lists(ids, pa.int32())], ["id", "ids"])
+                columns = {"id": batch["id"].slice(low, len(ids)), "ids": lists(ids, pa.int32())}
+                if back:
+                    columns["bytes"] = pa.array([back(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return (rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+    return (rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", bytes binary" * with_bytes)
             .withColumnRenamed("id", id_col))
 
 
@@ -234,14 +251,13 @@ def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str
     schema = StructType([*coded.schema.fields]).add(out_col, "binary")
 
     def run(batches):
-        size = np.fromiter(map(len, tokens.value), np.int64)
-        flat, begin = np.frombuffer(b"".join(tokens.value), np.uint8), np.cumsum(size) - size
+        back = Bytes(tokens.value)
         for batch in batches:
             column = batch[ids_col]
             out = []
             for i in range(len(column)):
                 ids = column[i].values.to_numpy(zero_copy_only=False) if column[i].is_valid else None
-                out.append(None if ids is None else gather(flat, begin[ids], size[ids]).tobytes())
+                out.append(None if ids is None else back(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
 
     return coded.mapInArrow(run, schema)
@@ -249,7 +265,7 @@ def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of an encoding round trip."""
-    coded = decode(encode(docs, ranks_path, pattern), ranks_path)
+    coded = encode(docs, ranks_path, pattern, with_bytes=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                         F.sha2("bytes", 256).alias("decoded_sha256"))
