@@ -1,9 +1,10 @@
 """Licence scan by sentence rules, in DataFrame operations only.
 
 A text is cut into sentences; each is normalised (lower case, comment signs
-and white space as one space) and mapped to the identifier of a known licence
-sentence, or to none.  The identifiers, in order, are matched against the
-licence rules, each an ordered list of sentences; the longest rule is tried
+and white space as one space) and mapped to the identifiers of all known licence
+sentences in it, by position: where no full stop stands between two of them
+(lists, headings, lines), it holds several.  The identifiers, in order, are
+matched against the licence rules, each an ordered list of sentences; the longest rule is tried
 first where several begin at one place.  What no rule takes is reported as
 partial.
 """
@@ -62,17 +63,21 @@ def _ordered() -> list[tuple[str, str]]:
 
 
 def identifiers(text: Column) -> Column:
-    """The letters of the known sentences of a text, in order."""
+    """The letters of all known sentences of a text, in the order of their places."""
     flat = F.regexp_replace(F.lower(text), f"({SPACE}+[*#/;]+)*{SPACE}+", " ")
     sentences = F.split(F.regexp_replace(flat, "([.!?]) ", "$1\n"), "\n", -1)
 
+    # the lookahead takes no characters, so that sentences that overlap are all found
+    known = F.lit("(?=(" + "|".join(SENTENCES.values()) + "))")
+
     def letter(s):
         out = F
         for name, pattern in SENTENCES.items():
-            out = out.when(s.rlike(pattern), F.lit(_letter(name)))
-        return out.otherwise(F.lit(""))
+            out = out.when(s.rlike(f"^(?:{pattern})"), F.lit(_letter(name)))
+        return out
 
-    return F.array_join(F.transform(sentences, letter), "")
+    found = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, known, F.lit(1))))
+    return F.array_join(F.transform(found, letter), "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +106,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def scan_sql(table: str = "documents") -> str:
-    """The scan in DuckDB SQL."""
+    """The scan in DuckDB SQL, for texts with at most one known sentence up to each full stop."""
     cases = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{_letter(n)}'" for n, p in SENTENCES.items())
     rules = _ordered()
     any_rule = "|".join(seq for seq, _ in rules)
