@@ -15,30 +15,30 @@ from textflow.llm.stored import store
 from textflow.llm.toxicity_ssk import toxicity_scores
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``gone`` (doc_id); rows without an id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; those without an id stay."""
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where("predicted = 0"))
+    """Rows that the quality classifier accepts, each judged by its own text; those without an id stay."""
+    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True)
+    return scores.where("predicted = 1 or row.doc_id is null").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; those without an id stay."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where("predicted = 1"))
+    """Rows that are not predicted toxic, each judged by its own text."""
+    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True)
+    return scores.where("predicted = 0").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5 words, Jaccard >= 0.8): the one with the smallest id.
-
-    Documents without an id stay; of rows that repeat an id, one stays."""
-    found = ngram_components(docs.select("doc_id", "text"), words=5, num=8, den=10)
-    kept = _without(docs, found.where("component_id <> doc_id"))
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"])).select(docs.columns)
+    """One row of each group of near duplicates (5 words, Jaccard >= 0.8): the one with the smallest id.
+
+    Rows are told apart by a key written beside them, so rows that repeat an id
+    leave only for texts that are near.  Rows without an id are a group's copies
+    among themselves: one of them stays beside the one with the smallest id."""
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    rows = store(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
+    found = ngram_components(rows.select("key", F.col("row.text").alias("text")), "key", "text", words=5, num=8, den=10)
+    groups = found.join(rows.select("key", F.col("row.doc_id").alias("doc_id")), "key")
+    stay = groups.groupBy("component_id", F.col("doc_id").isNull().alias("bare")).agg(F.min(F.struct("doc_id", "key")).alias("one"))
+    return rows.join(stay.select("one.key"), "key", "left_semi").select(kept)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

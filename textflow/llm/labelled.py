@@ -1,11 +1,17 @@
-"""Labelled rows for a classifier: which may be learned from, and how many."""
+"""Labelled rows for a classifier: which may be learned from, and how many; and the scores of all rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textflow.llm.stored import store
+from textflow.llm.stored import pick, store
+from textflow.llm.words import chunks
 
 
 def held_out(id_col: str = "doc_id"):
@@ -33,3 +39,24 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, bytes
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], docs.select("doc_id").schema)  # 2 * per_class at most
     texts = docs.where(F.octet_length("text").between(1, bytes_each)).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     return sorted((r.text, chosen[r.doc_id]) for r in texts.collect())
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, score: Callable, threshold: float, whole: bool) -> DataFrame:
+    """(id_col, held_out, score, predicted) of every row; with ``whole``, all
+    columns of the row as the struct ``row`` in place of id_col, so that what
+    is decided of a row acts on that row, whatever its id.  ``score``: texts
+    -> array of their scores."""
+    rows, put = pick(docs, {"doc_id": id_col, "text": text_col}), ["doc_id"]
+    if whole:
+        rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+        rows, put = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest")), ["doc_id", "text", "rest"]
+
+    def run(batches):
+        for batch in batches:
+            scores = [score(values) for _, values in chunks(batch["text"])]
+            if scores:
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in put], pa.array(np.concatenate(scores), pa.float64())], [*put, "score"])
+
+    found = rows.mapInArrow(run, StructType([*[rows.schema[c] for c in put], StructField("score", DoubleType())]))
+    first = F.struct(*[(F.col("text") if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns]).alias("row") if whole else F.col("doc_id").alias(id_col)
+    return found.select(first, F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -11,14 +11,12 @@ documents.  Scoring runs in one pass over all texts.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from textflow.llm.labelled import held_out, sample
+from textflow.llm.labelled import judged, sample
 from textflow.llm.passages import FEATURES, passages
 from textflow.llm.stored import pick
-from textflow.llm.words import chunks, texts
+from textflow.llm.words import texts
 
 #: Labelled documents learned from, of each class, and their bytes at most.
 PER_CLASS, BYTES_EACH = 1000, 1 << 15
@@ -103,26 +101,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> GatedAt
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
-                   threshold: float = 0.7) -> DataFrame:
+                   threshold: float = 0.7, whole: bool = False) -> DataFrame:
     """(id_col, held_out, score, predicted) of every row: the whole text's quality, 0 to 1.
 
     Null and empty texts, and texts without words, are one passage of zeros
     and get its score.  With no labels of one of the classes every score is
     0.5.  A null id is scored, and not held out.  Repeated rows have equal
-    scores.  An empty table gives an empty result."""
-    rows = pick(docs, {"doc_id": id_col, "text": text_col})
-    model = train(rows, labels, label)
-
-    def run(batches):
-        for batch in batches:
-            scores = []
-            for _, values in chunks(batch["text"]):
-                x, first = passages(texts(values))
-                scores.append(model.score(x, first) if model else np.full(len(values), 0.5))
-            if scores:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(scores), pa.float64())], ["doc_id", "score"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return (rows.mapInArrow(run, f"doc_id {kind}, score double")
-            .select(F.col("doc_id").alias(id_col), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
-                    (F.col("score") >= threshold).cast("int").alias("predicted")))
+    scores.  An empty table gives an empty result.  ``whole``: see :func:`judged`."""
+    model = train(pick(docs, {"doc_id": id_col, "text": text_col}), labels, label)
+
+    def score(values):
+        x, first = passages(texts(values))
+        return model.score(x, first) if model else np.full(len(values), 0.5)
+
+    return judged(docs, id_col, text_col, score, threshold, whole)

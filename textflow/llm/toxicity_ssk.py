@@ -22,13 +22,11 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from textflow.llm.labelled import held_out, sample
+from textflow.llm.labelled import judged, sample
 from textflow.llm.stored import pick
-from textflow.llm.words import RunHasher, chunks, texts
+from textflow.llm.words import RunHasher, texts
 
 DECAY, SPAN, WIDTH = 0.6, 6, 20
 #: Landmarks from toxic and from clean words, and of each more after some turns; documents of each class learned from; their bytes at most.
@@ -296,32 +294,25 @@ class Scorer:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-                    threshold: float = 0.3) -> DataFrame:
+                    threshold: float = 0.3, whole: bool = False) -> DataFrame:
     """(id_col, held_out, score, predicted) of every row: the whole text's toxicity, 0 to 1.
 
     A null or empty text, or one without words, has the score of a margin of
     -2.  If nothing can be learned (no labels of one class, or no word that
     only toxic documents have) every score is 0.  A null id is scored, and not
     held out.  Repeated rows have equal scores.  An empty table gives an empty
-    result."""
-    rows = pick(docs, {"doc_id": id_col, "text": text_col})
-    machine = learn(sample(rows, labels, label, PER_CLASS, BYTES_EACH))
+    result.  ``whole``: see :func:`judged`."""
+    machine = learn(sample(pick(docs, {"doc_id": id_col, "text": text_col}), labels, label, PER_CLASS, BYTES_EACH))
     state, token = (machine.state(), repr(machine.weight.tobytes())) if machine else (None, "")
 
-    def run(batches):
+    def score(values):
+        if state is None:
+            return np.zeros(len(values))
         kept = sys.modules.setdefault("_textflow_margins", type(sys)("_textflow_margins")).__dict__
-        if state is not None and token not in kept:
+        if token not in kept:
             for old in [k for k in kept if not k.startswith("__")]:
                 del kept[old]
             kept[token] = Scorer(Machine.of(state))
-        for batch in batches:
-            scores = []
-            for _, values in chunks(batch["text"]):
-                scores.append(kept[token].scores(values) if state is not None else np.zeros(len(values)))
-            if scores:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(scores), pa.float64())], ["doc_id", "score"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return (rows.mapInArrow(run, f"doc_id {kind}, score double")
-            .select(F.col("doc_id").alias(id_col), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
-                    (F.col("score") >= threshold).cast("int").alias("predicted")))
+        return kept[token].scores(values)
+
+    return judged(docs, id_col, text_col, score, threshold, whole)
