@@ -31,6 +31,8 @@ from textflow.llm.words import RunHasher, texts
 DECAY, SPAN, WIDTH = 0.6, 6, 20
 #: Landmarks from toxic and from clean words, and of each more after some turns; documents of each class learned from; their bytes at most.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, MORE_LANDMARKS, PER_CLASS, BYTES_EACH = 32, 8, 12, 1000, 1 << 15
+#: A word that clean documents have too is taken as toxic if its share in toxic documents is CLEAR times that in clean ones, and LEAST toxic documents have it.
+CLEAR, LEAST = 5.0, 5
 #: Words whose margin a Python worker keeps.
 KEPT = 1 << 21
 SYMBOLS = 32
@@ -214,9 +216,12 @@ def learn(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6) -> Machin
     names = list(found)
     bad = [b for b, s in zip(bags, y) if s > 0]
     seen = np.bincount(np.concatenate([np.empty(0, np.int64), *[b for b, s in zip(bags, y) if s < 0]]), minlength=len(names))
-    # toxic landmarks: words of toxic documents alone that cover most of them,
+    had = np.bincount(np.concatenate([np.empty(0, np.int64), *bad]), minlength=len(names))
+    # words of toxic documents alone, or by far most of toxic ones: a clean document may quote one or be mislabelled
+    able = (seen == 0) | ((had >= LEAST) & (had * (y < 0).sum() >= CLEAR * (seen + 1) * (y > 0).sum()))
+    # toxic landmarks: such words that cover most toxic documents,
     # one after another; a document counts half as much each time it is covered
-    own, chosen = [b[seen[b] == 0] for b in bad], []
+    own, chosen = [b[able[b]] for b in bad], []
     weight = np.ones(len(own))
     flat, of = np.concatenate([np.empty(0, np.int64), *own]), np.repeat(np.arange(len(own)), [len(b) for b in own])
     while len(chosen) < TOXIC_LANDMARKS and len(flat):
@@ -228,11 +233,11 @@ def learn(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6) -> Machin
         chosen.append(best)
         weight[of[flat == best]] /= 2
     rng = np.random.default_rng(seed)
-    clean = np.flatnonzero(seen)
+    clean = np.flatnonzero(~able)
     if not chosen or not len(clean):
         return None
     some = rng.choice(clean, min(CLEAN_LANDMARKS, len(clean)), replace=False, p=seen[clean] / seen[clean].sum())
-    good = [b for b, s in zip(bags, y) if s < 0 and len(b)]
+    good = [b for b in (b[~able[b]] for b, s in zip(bags, y) if s < 0) if len(b)]
     bad = [b for b in bad if len(b)]
     rank = {w: k for k, w in enumerate(chosen)}
     worst_bad = np.array([min(b, key=lambda w: rank.get(w, len(rank))) for b in bad])
@@ -253,7 +258,7 @@ def learn(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6) -> Machin
         machine.fit(z, y_words, share)
         margin = everything @ machine.weight
         worst_good = np.append(worst_good, [b[margin[b].argmax()] for b in good])
-        alone = [b[seen[b] == 0] for b in bad]
+        alone = [b[able[b]] for b in bad]
         worst_bad = np.array([b[margin[b].argmax()] for b in alone if len(b)])
     worst = np.array([margin[b].max() if len(b) else -2.0 for b in bags])
     machine.calibrate(worst, y)
@@ -299,7 +304,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     A null or empty text, or one without words, has the score of a margin of
     -2.  If nothing can be learned (no labels of one class, or no word that
-    only toxic documents have) every score is 0.  A null id is scored, and not
+    toxic documents alone, or by far most of toxic ones, have) every score is 0.  A null id is scored, and not
     held out.  Repeated rows have equal scores.  An empty table gives an empty
     result.  ``whole``: see :func:`judged`."""
     machine = learn(sample(pick(docs, {"doc_id": id_col, "text": text_col}), labels, label, PER_CLASS, BYTES_EACH))
