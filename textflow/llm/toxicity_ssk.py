@@ -178,9 +178,15 @@ class Units:
 
     def __init__(self, values: list[bytes | None]):
         t = texts(values, lower=True)
+        # a run of words of one code point, of one text, becomes one word; a code point has one byte that is not 10xxxxxx
         size = t.end - t.start
-        # a run of one-byte words of one text becomes one word
-        single = np.append(size == 1, False)
+        single = np.append(size <= 4, False)
+        short = np.flatnonzero(single)
+        points = np.zeros(len(short), np.int64)
+        for k in range(4):
+            at = np.minimum(t.start[short] + k, len(t.buf) - 1)
+            points += (k < size[short]) & ((t.buf[at] & 0xC0) != 0x80)
+        single[short] = points == 1
         run = single[:-1] & np.append(False, single[:-2])
         run &= np.append(False, np.diff(t.owner()) == 0)
         lead = np.flatnonzero(~run)
