@@ -69,3 +69,30 @@ def test_published_texts_are_whole(spark):
     for i, (_, n, names, partial) in enumerate(TEXTS):
         assert (got[i].n_sentences, got[i].licenses, got[i].partial) == (n, names, partial), TEXTS[i][0]
     assert got[9].n_licenses == 4
+
+
+#: A text of every known sentence by itself.
+ALONE = {
+    "mit_name": "released under the MIT license", "apache2_name": "licensed under the Apache License, version 2.0",
+    "gpl2_name": "licensed under the GNU General Public License, version 2", "gpl3_name": "licensed under the GNU General Public License, version 3",
+    "cc_by_nc_4": "licensed under CC BY-NC 4.0", "cc_by_4": "licensed under CC BY 4.0",
+    "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "mit_notice": "The above copyright notice and this permission notice shall be included in all copies",
+    "as_is": "The software is provided 'as is', without warranty of any kind",
+    "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "bsd_source": "Redistributions of source code must retain the above copyright notice",
+    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice",
+    "bsd_endorse": "Neither the name of X may be used to endorse or promote products",
+    "gpl_free": "X is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "gpl_hope": "X is distributed in the hope that it will be useful, but without any warranty",
+}
+
+
+def test_every_sentence_alone_passes_the_prefilter(spark, duck):
+    assert set(ALONE) == set(licenses.SENTENCES)
+    rows = list(enumerate(ALONE.values()))
+    duck.execute("CREATE OR REPLACE TABLE alone_docs (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO alone_docs VALUES (?, ?)", rows)
+    got = sorted(tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r[1] for r in got] == [1] * len(rows)
+    assert got == sorted(duck.execute(licenses.scan_sql("alone_docs")).fetchall())

@@ -47,7 +47,7 @@ RULES = {
     "CC-BY-4.0": [["cc_by_4"]],
 }
 #: Every known sentence has one of these words.
-WORDS = ["licens", "licenc", "permission", "copyright", "the software", "redistribut", "endorse"]
+WORDS = ["licens", "licenc", "permission", "copyright", "the software", "redistribut", "endorse", "warranty"]
 SPACE = r"[ \t\r\n\f]"
 
 
