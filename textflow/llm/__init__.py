@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline: text quality, toxicity, near
-duplicates, tokenization, packing, token files, secrets and licences.
+duplicates, tokenization, packing, token files, secrets, licences, shared
+lines, conversation prefixes and periodic runs.
 
 Nothing else in the library imports this subpackage.  ``QUERIES`` and ``SQL``
 in :mod:`textflow.llm.queries` are what the entry module registers.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textflow.llm import licenses, secrets
+from textflow.llm import conversation_trie, licenses, line_dedup, periodic_runs, secrets
 from textflow.llm.byte_bpe import digests
 from textflow.llm.embedding_dups import vector_links
 from textflow.llm.ngram_join import ngram_components
@@ -70,8 +70,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all branched conversations."""
+    return conversation_trie.report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five documents or more share."""
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, and the text without their repetitions."""
+    return periodic_runs.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_ngram_jaccard_join, op3_toxicity, op4_byte_bpe, op5_best_fit_packing,
-    op6_quality_rules, op7_token_files, op8_embedding_near_dups, op9_secret_scan, op10_license_scan)}
+    op6_quality_rules, op7_token_files, op8_embedding_near_dups, op9_secret_scan, op10_license_scan,
+    op11_conversation_trie, op12_line_dedup, op13_periodic_runs)}
 
-SQL: dict[str, str] = {"op9_secret_scan": secrets.report_sql(), "op10_license_scan": licenses.scan_sql()}
+SQL: dict[str, str] = {"op9_secret_scan": secrets.report_sql(), "op10_license_scan": licenses.scan_sql(),
+                       "op11_conversation_trie": conversation_trie.report_sql(), "op12_line_dedup": line_dedup.report_sql()}

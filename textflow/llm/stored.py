@@ -37,6 +37,19 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of an Arrow batch of texts, unless the session sets another bound.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let a task hand texts to Python a few megabytes at a time, so that its
+    memory does not follow the mean length of texts.  A bound that the session
+    has already set stays."""
+    if spark.conf.get(_BATCHES, "64m") == "64m":
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Only the columns that an operator reads, under the operator's own names,
     so that extra columns of the caller cannot clash.  ``wanted``: own name ->
