@@ -9,8 +9,10 @@ merged, and the pairs that arise join their buckets.  A pre-token of any
 length costs one step per merge.
 
 Merges of one rank in one pre-token happen together where no pair that arises
-can have a lower rank; for the few ranks where one can, only the leftmost of
-each pre-token is merged before the queue is asked again.
+can have a lower rank.  For the ranks where one can (careful ranks), the
+leftmost of each pre-token is merged before the queue is asked again; a
+pre-token that has many of them is gone through once from left to right, and
+what lower ranks a merge brings up is merged before the next one.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 from functools import partial
 from hashlib import sha256
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -30,8 +33,8 @@ from pyspark.sql.types import StructType
 from textflow.llm.pieces import Encoder, gather, lists, worker_encoder
 from textflow.llm.stored import pick
 
-#: Units merged in one queue, which bounds its memory.
-TOGETHER = 1 << 17
+#: Units merged in one queue, which bounds its memory; places of a careful rank in one pre-token from which on it is gone through.
+TOGETHER, MANY = 1 << 17, 16
 
 _NONE = np.iinfo(np.int32).max
 
@@ -98,6 +101,7 @@ class Merger:
                     merged.append(rank)
                     self.careful[left] |= left > rank
                     self.careful[right] |= right > rank
+        self.by_pair = dict(zip(keys, merged))
         by = np.argsort(np.array(keys, np.int64))
         self.keys = np.append(np.array(keys, np.int64)[by], np.iinfo(np.int64).max)
         self.merged = np.append(np.array(merged, np.int32)[by], _NONE)
@@ -138,6 +142,32 @@ class Merger:
         flat[~inside] = ids
         return flat, counts
 
+    def _through(self, rank: int, places: np.ndarray, token: np.ndarray, nxt: np.ndarray, prv: np.ndarray, pair: np.ndarray, end: int) -> np.ndarray:
+        """Merge the pairs of a careful rank at ascending places, and after
+        each those of lower or equal rank that have come up, lowest and
+        leftmost first (they are never right of it).  Returns the places of
+        other new pairs."""
+        known, width, new = self.by_pair, self.n + 1, []
+        for place in places.tolist():
+            heap = [(rank, place)]
+            while heap:
+                r, at = heappop(heap)
+                if pair[at] != r:
+                    continue
+                right = int(nxt[at])
+                after, before = int(nxt[right]), int(prv[at])
+                token[at], token[right], pair[right] = r, -1, _NONE
+                nxt[at], prv[after] = after, at
+                for a, b in ((before, at), (at, after)):
+                    found = known.get(int(token[a]) * width + int(token[b]), _NONE) if a != end and b != end else _NONE
+                    if a != end:
+                        pair[a] = found
+                        if found <= rank:
+                            heappush(heap, (found, a))
+                        elif found != _NONE:
+                            new.append(a)
+        return np.unique(np.array(new, np.int32))
+
     def merge(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         total = int(size.sum())
@@ -182,6 +212,13 @@ class Merger:
             if self.careful[rank]:
                 at = np.sort(at)
                 first = np.append(True, piece[at[1:]] != piece[at[:-1]])
+                number = np.cumsum(first) - 1
+                many = np.bincount(number)[number] >= MANY
+                if many.any():
+                    put(self._through(rank, at[many], token, nxt, prv, pair, end))
+                    at, first = at[~many], first[~many]
+                    if not len(at):
+                        continue
                 if not first.all():
                     buckets[rank] = [at[~first]]
                     queue.add(rank)
