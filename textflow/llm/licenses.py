@@ -49,6 +49,8 @@ RULES = {
 #: Every known sentence has one of these words.
 WORDS = ["licens", "licenc", "permission", "copyright", "the software", "redistribut", "endorse", "warranty"]
 SPACE = r"[ \t\r\n\f]"
+#: White space, with comment signs between; one class repeated and no group, so that a match needs no stack.
+BREAK = SPACE + r"(?:[ \t\r\n\f*#/;]*" + SPACE + ")?"
 
 
 def _letter(sentence: str) -> str:
@@ -64,7 +66,7 @@ def _ordered() -> list[tuple[str, str]]:
 
 def identifiers(text: Column) -> Column:
     """The letters of all known sentences of a text, in the order of their places."""
-    flat = F.regexp_replace(F.lower(text), f"({SPACE}+[*#/;]+)*{SPACE}+", " ")
+    flat = F.regexp_replace(F.lower(text), BREAK, " ")
     sentences = F.split(F.regexp_replace(flat, "([.!?]) ", "$1\n"), "\n", -1)
 
     # the lookahead takes no characters, so that sentences that overlap are all found
@@ -112,7 +114,7 @@ def scan_sql(table: str = "documents") -> str:
     any_rule = "|".join(seq for seq, _ in rules)
     named = "MAP {" + ", ".join(f"'{s}': '{n}'" for s, n in rules) + "}"
     names = "MAP {" + ", ".join(f"'{_letter(n)}': '{n}'" for n in SENTENCES) + "}"
-    return f"""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '({SPACE}+[*#/;]+)*{SPACE}+', ' ', 'g'), '([.!?]) ', '\\1' || chr(10), 'g') AS t FROM {table}),
+    return f"""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '{BREAK}', ' ', 'g'), '([.!?]) ', '\\1' || chr(10), 'g') AS t FROM {table}),
 s AS (SELECT doc_id, list_aggregate(list_transform(string_split(t, chr(10)), lambda x: CASE {cases} ELSE '' END), 'string_agg', '') AS q FROM f),
 k AS (SELECT doc_id, q, regexp_extract_all(q, '{any_rule}') AS taken, regexp_replace(q, '{any_rule}', '', 'g') AS rest FROM s)
 SELECT doc_id, length(q) AS n_sentences, len(taken) AS n_licenses,
