@@ -23,12 +23,21 @@ from textflow.llm.stored import pick
 @dataclass(frozen=True)
 class Rule:
     """``pattern``: for Java, without flags.  A match counts if group
-    ``group`` has at least ``least`` characters."""
+    ``group`` has at least ``least`` characters.  ``java``: another pattern for
+    the same matches, whose scan does not start in the middle of a run (each
+    such start would go on to the end of the run); with ``tail``, what it
+    finds first is skipped, and group 1 is the match."""
 
     name: str
     pattern: str
     group: int = 0
     least: int = 1
+    java: str = ""
+    tail: bool = False
+
+    @property
+    def scanned(self) -> str:
+        return self.java or self.pattern
 
 
 #: The base rules, in the order of their kinds.
@@ -43,11 +52,15 @@ MORE = [
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30,
+         r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)", True),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("url_password", r"[a-z]+://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/@:]+@", 0, 12),
+    Rule("url_password", r"[a-z]+://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/@:]+@", 0, 12,
+         r"(?<![a-z])[a-z]++://[A-Za-z0-9._-]++:[^\x20\x09-\x0D/@:]++@"),
 ]
 
+#: Spans of a block.
+BLOCK = 256
 #: Strings followed through a pattern at once; a part with more is taken as anything.
 _MOST = 32
 
@@ -133,19 +146,27 @@ def _spans(text: Column, rule: Rule, kind: int) -> Column:
     """Array of (start, end, kind) of a rule's matches in ``text``, in code points.
 
     What stands between the matches is what splitting at them leaves."""
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    checked = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    gaps = F.split(text, rule.pattern, -1)
+    group = 1 if rule.tail else rule.group
+    matches = F.regexp_extract_all(text, F.lit(rule.scanned), F.lit(0))
+    checked = F.regexp_extract_all(text, F.lit(rule.scanned), F.lit(group)) if group else matches
+    gaps = F.split(text, rule.scanned, -1)
     sizes = F.zip_with(F.transform(F.slice(gaps, F.lit(1), F.size(matches)), lambda g: F.length(g)),
                        F.zip_with(matches, checked, lambda m, c: F.struct(F.length(m).alias("size"), F.length(c).alias("checked"))),
                        lambda gap, m: F.struct(gap.alias("gap"), m["size"].alias("size"), m["checked"].alias("checked")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,k:int>>").alias("found"))
-    walked = F.aggregate(sizes, start, lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["size"]).alias("at"),
-        F.when(x["checked"] >= rule.least, F.array_append(acc["found"], F.struct(
-            (acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["size"]).alias("e"), F.lit(kind).alias("k"))))
-        .otherwise(acc["found"]).alias("found")))
-    return walked["found"]
+    kinds = "array<struct<s:int,e:int,k:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("found"), F.array().cast(f"array<{kinds}>").alias("full"))
+
+    def step(acc, x):
+        # what is found is put into blocks, so that one more match copies a block at most
+        skipped = x["size"] - x["checked"] if rule.tail else F.lit(0)
+        span = F.struct((acc["at"] + x["gap"] + skipped).alias("s"), (acc["at"] + x["gap"] + x["size"]).alias("e"), F.lit(kind).alias("k"))
+        counts, full = x["checked"] >= rule.least, F.size(acc["found"]) >= BLOCK
+        return F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"),
+                        F.when(~counts, acc["found"]).when(full, F.array(span)).otherwise(F.array_append(acc["found"], span)).alias("found"),
+                        F.when(counts & full, F.array_append(acc["full"], acc["found"])).otherwise(acc["full"]).alias("full"))
+
+    walked = F.aggregate(sizes, start, step)
+    return F.concat(F.flatten(walked["full"]), walked["found"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
@@ -163,7 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     for k, rule in enumerate(rules):
         worth = candidate(F.col("entries"), rule) & F.col("text").rlike(_shortest(rule))
         rows = rows.withColumn(f"f{k}", F.when(worth, _spans(F.col("text"), rule, k)).otherwise(none))
-    found = F.array_sort(F.concat(*[F.transform(F.col(f"f{k}"), lambda x: F.struct(x["s"], x["k"], x["e"])) for k in range(len(rules))]))
+    found = F.sort_array(F.concat(*[F.transform(F.col(f"f{k}"), lambda x: F.struct(x["s"], x["k"], x["e"])) for k in range(len(rules))]))
     return rows.select(F.col("id").alias(id_col), "text", F.transform(found, lambda x: F.struct(
         x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))).alias("found"))
 
@@ -174,7 +195,7 @@ def _shortest(rule: Rule) -> str:
     *head, last = _parser.parse(rule.pattern)
     if rule.group == 0 and rule.pattern.endswith("+") and last[0] is _c.MAX_REPEAT and all(op in (_c.LITERAL, _c.IN) for op, _ in head):
         return f"{rule.pattern[:-1]}{{{max(1, rule.least - len(head))},}}"
-    return rule.pattern
+    return rule.scanned
 
 
 def _listed(found: Column, rules: list[Rule]) -> Column:
