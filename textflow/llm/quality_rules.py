@@ -3,9 +3,20 @@
 Every rule votes for a document (1), against it (-1), or abstains (0).  The
 accuracies of the rules are not given: expectation-maximisation estimates
 them, with the share of good documents, from how the votes agree (Dawid and
-Skene, 1979).  A document's posterior probability of being good replaces the
-filter that all rules must pass.  The votes have at most 3 to the number of
-rules patterns, so the estimate works on a small table whatever the corpus.
+Skene, 1979).  A rule has two rates among the documents on which it votes: how
+often it votes against bad ones, and how often against good ones.  Its
+balanced accuracy is held at chance or above (the first rate is never below
+the second), so a vote against never speaks for a document, and abstaining,
+which either class may do as often, says nothing.  Bad documents are bad in
+different ways, so rules that catch different ones do not agree; two classes
+alone would be fitted to the commonest way.  Therefore of the documents that a
+rule votes against at least RIGHT are bad in expectation (posterior
+regularization, Ganchev et al., 2010): where the estimate has fewer, the
+rule's vote against is given the weight that makes it so.  A document's posterior
+probability of being good replaces the filter that all rules must pass.  The
+votes have at most 3 to the number of rules patterns, so the estimate works on
+a small table whatever the corpus.  Rules that measure the same thing count as
+one: there is one rule for symbols.
 """
 
 from __future__ import annotations
@@ -24,13 +35,11 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES = {
     "length": ("n_words >= 80", "n_words < 30"),
     "word_length": ("word_chars between 2 * n_words and 12 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
-    "symbols": ("20 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    "symbols": ("20 * n_symbols <= n_words", "10 * n_symbols > n_words or 4 * n_symbol_words > n_words or 12 * n_symbols > word_chars"),
     "dup_lines": ("n_lines >= 2 and 10 * n_dup_lines <= n_lines", "n_dup_lines >= 2 and 3 * n_dup_lines > n_lines"),
     "repeats": ("10 * n_repeat_words <= n_words", "4 * n_repeat_words > n_words"),
     "upper_case": ("5 * n_upper <= word_chars", "2 * n_upper > word_chars"),
     "vocabulary": ("n_words >= 20 and 5 * n_distinct >= n_words", "n_words >= 50 and 10 * n_distinct < n_words"),
-    "symbol_words": ("50 * n_symbol_words <= n_words", "4 * n_symbol_words > n_words"),
-    "symbol_chars": ("100 * n_symbols <= word_chars", "12 * n_symbols > word_chars"),
     "exclamations": ("50 * n_exclaimed <= n_words", "4 * n_exclaimed > n_words"),
     "sentences": ("n_ended >= 1 and 40 * n_ended >= n_words", "n_words >= 60 and n_ended = 0"),
 }
@@ -111,28 +120,68 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)).withColumnRenamed("id", id_col)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
+#: Of the documents that a rule votes against at least so many are bad.
+RIGHT = 0.75
+#: What a rule is taken to have said before the corpus is seen: votes against and for, of bad and of good documents.
+_BEFORE = np.array([[2.0, 2.0], [1.0, 9.0]])
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, right: float = 0.0) -> tuple[float, np.ndarray]:
     """(log odds of a good document, table): table[j, v + 1] is what vote v of
-    rule j adds to them.  EM from the majority of the votes; one pseudo-count
-    for each vote keeps probabilities off 0."""
-    total = patterns.sum(axis=1)
-    good = 1 / (1 + np.exp(-2.0 * total))
-    one = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
-    before = None
+    rule j adds to them; for an abstention 0, for a vote against never more
+    than 0, for a vote for never less.
+
+    EM from the filter that all rules must pass: at first a document is likely
+    good if no rule votes against it.  A rule whose rates would turn round has
+    both set to their joint rate, so that it says nothing.  ``right``: the
+    share of bad documents that each rule's votes against have in expectation
+    at least."""
+    against, for_ = (patterns == -1).astype(float), (patterns == 1).astype(float)
+    good = np.where(against.any(axis=1), 0.1, 0.9)
+    extra, before = np.zeros(patterns.shape[1]), None
     for _ in range(rounds):
-        weight = np.stack([counts * good, counts * (1 - good)])
-        p = np.einsum("cp,pjv->cjv", weight, one) + np.array([[[0.5, 1, 2]], [[2, 1, 0.5]]])
-        p /= p.sum(axis=2, keepdims=True)
-        table = np.log(p[0]) - np.log(p[1])
-        prior = np.log(weight[0].sum() + 1) - np.log(weight[1].sum() + 1)
-        odds = prior + np.einsum("pjv,jv->p", one, table)
+        bad_weight, good_weight = counts * (1 - good), counts * good
+        bad = np.stack([bad_weight @ against, bad_weight @ for_]) + _BEFORE[0][:, None]
+        fine = np.stack([good_weight @ against, good_weight @ for_]) + _BEFORE[1][:, None]
+        high, low = bad[0] / bad.sum(0), fine[0] / fine.sum(0)
+        joint = (bad[0] + fine[0]) / (bad.sum(0) + fine.sum(0))
+        turned = high < low
+        high, low = np.where(turned, joint, high), np.where(turned, joint, low)
+        table = np.stack([np.log(low) - np.log(high), np.zeros(len(high)), np.log1p(-low) - np.log1p(-high)], axis=1)
+        prior = np.log(good_weight.sum() + 1) - np.log(bad_weight.sum() + 1)
+        plain = prior + against @ table[:, 0] + for_ @ table[:, 2]
+        extra = _held_up(plain, against, counts, extra, right)
+        odds = plain - against @ extra
         good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        if before is not None and np.abs(odds - before).max(initial=0.0) < 1e-6:
+        if before is not None and np.abs(odds - before).max(initial=0.0) < 1e-9:
             break
         before = odds
+    table[:, 0] -= extra
     return float(prior), table
 
 
+def _held_up(odds: np.ndarray, against: np.ndarray, counts: np.ndarray, extra: np.ndarray, right: float) -> np.ndarray:
+    """The least weights, rule after rule, with which at least ``right`` of what a rule votes against is bad."""
+    extra = extra.copy()
+    for _ in range(2 if right else 0):
+        for j in range(len(extra)):
+            mine = against[:, j] > 0
+            rest, n = (odds - against @ extra)[mine] + extra[j], counts[mine]
+
+            def short(weight: float) -> bool:
+                return bool(n @ (1 / (1 + np.exp(np.clip(rest - weight, -500, 500)))) < right * n.sum())
+
+            low, high = 0.0, 64.0
+            if not mine.any() or not short(low):
+                extra[j] = 0.0
+                continue
+            while high - low > 1e-9:
+                mid = (low + high) / 2
+                low, high = (mid, high) if short(mid) else (low, mid)
+            extra[j] = high
+    return extra
+
+
 def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, tuple[str, str]] | None = None,
                  keep_at: float = 0.5) -> DataFrame:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -149,7 +198,7 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = table.withColumn("votes", F.array(*votes))
     seen = table.groupBy("votes").count().orderBy("votes").collect()  # 3 ** rules at most
     patterns = np.array([r.votes for r in seen], np.int64).reshape(-1, len(rules))
-    prior, adds = estimate(patterns, np.array([r["count"] for r in seen], float))
+    prior, adds = estimate(patterns, np.array([r["count"] for r in seen], float), right=RIGHT)
     odds = F.lit(prior)
     for j in range(len(rules)):
         odds = odds + F.element_at(F.array(*[F.lit(float(x)) for x in adds[j]]), F.element_at("votes", j + 1) + 2)
