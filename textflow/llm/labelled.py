@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textflow.llm.stored import pick, store
+from textflow.llm.stored import bounded_batches, pick, store
 from textflow.llm.words import chunks
 
 
@@ -46,6 +46,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, score: Callable, thresho
     columns of the row as the struct ``row`` in place of id_col, so that what
     is decided of a row acts on that row, whatever its id.  ``score``: texts
     -> array of their scores."""
+    bounded_batches(docs.sparkSession)
     rows, put = pick(docs, {"doc_id": id_col, "text": text_col}), ["doc_id"]
     if whole:
         rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
