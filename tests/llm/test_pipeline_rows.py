@@ -18,15 +18,14 @@ def test_classifier_stages_judge_rows(spark):
         want = sorted(t for t in own if (-7, t) in set(got))
         assert 0 < len(want) < len(own)
         assert sorted(t for i, t in got if i in ids) == want == sorted(t for i, t in got if i == -7)
-        if name == "toxicity":
-            assert sorted(t for i, t in got if i is None) == want
+        assert sorted(t for i, t in got if i is None) == want
 
 
 def test_near_duplicates_with_one_id(spark):
     def text(k):
         return " ".join(f"w{k}x{i}" for i in range(40))
 
-    rows = [(7, text(k)) for k in range(30)] + [(7, text(3)), (9, text(4)), (None, text(50)), (None, text(50)), (None, text(51))]
+    rows = [(7, text(k)) for k in range(30)] + [(7, text(3)), (9, text(4)), (None, text(50)), (None, text(50)), (None, text(51)), (None, text(5))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "row": F.lit(2), "n_chars": F.length("text")})
     out = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
     assert out.columns == docs.columns
