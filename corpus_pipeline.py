@@ -16,9 +16,9 @@ from textflow.llm.toxicity_ssk import toxicity_scores
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier accepts, each judged by its own text; those without an id stay."""
+    """Rows that the quality classifier accepts, each judged by its own text, with an id or without."""
     scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True)
-    return scores.where("predicted = 1 or row.doc_id is null").select("row.*")
+    return scores.where("predicted = 1").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near duplicates (5 words, Jaccard >= 0.8): the one with the smallest id.
 
     Rows are told apart by a key written beside them, so rows that repeat an id
-    leave only for texts that are near.  Rows without an id are a group's copies
-    among themselves: one of them stays beside the one with the smallest id."""
+    leave only for texts that are near.  A row without an id stays only where
+    none of its group has one, the first of them by key."""
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     rows = store(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
     found = ngram_components(rows.select("key", F.col("row.text").alias("text")), "key", "text", words=5, num=8, den=10)
     groups = found.join(rows.select("key", F.col("row.doc_id").alias("doc_id")), "key")
-    stay = groups.groupBy("component_id", F.col("doc_id").isNull().alias("bare")).agg(F.min(F.struct("doc_id", "key")).alias("one"))
+    stay = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key")).alias("one"))
     return rows.join(stay.select("one.key"), "key", "left_semi").select(kept)
 
 
