@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -211,6 +211,44 @@ def pair_features(pairs: DataFrame, reports: DataFrame, id_col: str = "incident_
     return out
 
 
+def _dot(left: Column, right: Column) -> Column:
+    """Sum of products over the keys that two term maps share."""
+    shared = F.array_intersect(F.map_keys(left), F.map_keys(right))
+    return F.aggregate(shared, F.lit(0.0), lambda total, key: total + F.element_at(left, key) * F.element_at(right, key))
+
+
+def pair_table(pairs: DataFrame, reports: DataFrame, vectors: DataFrame, names, id_col: str = "incident_id",
+               specs=DISTANCES, property_senses: tuple | None = None) -> DataFrame:
+    """K4 in one pass: every feature of every pair from one side table.
+
+    The side holds each report's scalars, term maps (``vectors``: id, _t0, _n0,
+    _t1, ...; one cosine for each of ``names``) and, with ``property_senses``
+    (sense lists, ancestors by number, distances, depth; see ``senses``), its
+    senses.  It is joined to the left and to the right reports once (broadcast
+    when the checked size allows); distances, cosines and the sense assignment
+    are expressions of the joined row, so no pair is shuffled again."""
+    need = sorted({c for _, _, cs in specs for c in cs})
+    side = reports.select(id_col, *need).join(vectors, id_col, "left")
+    if property_senses:
+        side = side.join(property_senses[0], id_col, "left")
+    side = cut_lineage(side)
+    held = [c for c in side.columns if c.startswith("_t") or c == "senses"]
+    side = checked_broadcast(side, SIDE_BROADCAST_ROWS, weight=sum((F.coalesce(F.size(c), F.lit(0)) for c in held), F.lit(0)),
+                             max_weight=SIDE_BROADCAST_ENTRIES)
+    cols = [c for c in side.columns if c != id_col]
+    x = (pairs.join(side.select(F.col(id_col).alias("l"), *[F.col(c).alias(f"l_{c}") for c in cols]), "l")
+         .join(side.select(F.col(id_col).alias("r"), *[F.col(c).alias(f"r_{c}") for c in cols]), "r"))
+    feats = [_distance(kind, [f"l_{c}" for c in cs], [f"r_{c}" for c in cs]).alias(name) for name, kind, cs in specs]
+    rest = [c for c in pairs.columns if c not in ("l", "r")]
+    if property_senses:
+        from textflow.operators.senses import assigned_similarity
+        rest.append(assigned_similarity(F.col("l_senses"), F.col("r_senses"), *property_senses[1:]).alias("property_senses"))
+    for i, name in enumerate(names):
+        dot = _dot(F.col(f"l__t{i}"), F.col(f"r__t{i}"))
+        rest.append(F.try_divide(dot, F.col(f"l__n{i}") * F.col(f"r__n{i}")).alias(name))
+    return x.select("l", "r", *feats, *rest)
+
+
 def add_cosines(features: DataFrame, pairs: DataFrame, side: DataFrame, names,
                 id_col: str) -> DataFrame:
     """Attach the cosines computed from a prepared vector side table."""

@@ -98,7 +98,8 @@ def q_pair_features(spark, sf):
 def q_linkage_dataset(spark, sf):
     """K5/K6 (R7, R8, F8, F9): the scaled training set, one column per slot."""
     from textflow.plans.linkage import flat_scaled, linkage_dataset
-    scaled, _, names = linkage_dataset(FX.incidents(spark, sf))
+    scaled, _, names = linkage_dataset(FX.incidents(spark, sf), lexicon=_lexicon(spark, sf), senses=FX.senses(spark, sf),
+                                       ancestors=FX.ancestors(spark, sf))
     return flat_scaled(scaled, names)
 
 
@@ -632,6 +633,15 @@ def q_sense_best(spark, sf):
     return p.select("l", "r", F.round("sense_best", 6).alias("sense_best"))
 
 
+@register("sense_assignment")
+def q_sense_assignment(spark, sf):
+    """Optimal assignment of the stolen-property senses of every pair."""
+    from textflow.operators.senses import pair_sense_assignment
+    chosen, anc, depth = _sense_inputs(spark, sf)
+    p = pair_sense_assignment(_pairs(spark, sf), chosen, anc, depth, "incident_id")
+    return p.select("l", "r", F.round("sense_assignment", 6).alias("sense_assignment"))
+
+
 @register("sense_mean")
 def q_sense_mean(spark, sf):
     """Mean similarity over all sense pairs of every pair."""

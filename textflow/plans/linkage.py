@@ -1,8 +1,8 @@
 """K6: the full linkage job as one Spark plan up to each model fit.
 
 reports -> incident features (X11) -> primary offender (K1) -> positive pairs
-(K2) + negative pairs (K3) -> pair distances and tf-idf cosines (K4, D1-D7)
--> missing values, assembly, min-max scaling (K5).
+(K2) + negative pairs (K3) -> pair distances, tf-idf cosines and the sense
+assignment of stolen property (K4, D1-D7, D12) -> missing values, assembly, min-max scaling (K5).
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from textflow.operators import linkage as K
 from textflow.operators.features import term_vectors, tf_idf_terms
-from textflow.operators.text import ngrams, normalize_tokens, remove_stopwords
+from textflow.operators.senses import choose_sense, number_senses, sense_lists
+from textflow.operators.text import ngrams, normalize_tokens, remove_stopwords, stolen_terms
 from textflow.plans.incidents import incident_features
 from textflow.session import cut_lineage
 
@@ -33,16 +34,25 @@ def prepared_reports(raw: DataFrame, blank: str = "keep", fix_noon: bool = False
     return K.primary_offender(feats, blank=blank)
 
 
+def property_senses(raw: DataFrame, lexicon: DataFrame, senses: DataFrame, ancestors: DataFrame) -> tuple:
+    """T9 -> D11 -> meet index of D12: the sense lists of every report's stolen
+    property, the ancestors and distances by sense number, and the depth."""
+    stolen = cut_lineage(stolen_terms(raw, ID, "narrative", lexicon))
+    chosen = choose_sense(stolen, senses, ID)
+    named, above, dist = number_senses(ancestors)
+    return sense_lists(chosen, named, ID), above, dist, int(dist.max(initial=0)) + 1
+
+
 def linkage_pairs(reports: DataFrame, ratio: int = 1, seed: int = 0,
-                  stem: bool = False) -> DataFrame:
-    """K2 + K3 + K4: labelled pairs with one distance column per feature."""
+                  stem: bool = False, property: tuple | None = None) -> DataFrame:
+    """K2 + K3 + K4: labelled pairs with one distance column per feature.
+    ``property``: what ``property_senses`` returns; adds the similarity of
+    stolen property."""
     stats = K.link_stats(reports, "offender", ratio, id_col=ID).first().asDict()
     pos = K.positive_pairs(reports, "offender", ID)
     neg = K.negative_pairs(reports, "offender", ID, ratio=ratio, seed=seed, stats=stats)
     pairs = pos.unionByName(neg)
-    side = method_vectors(reports, stem=stem)
-    out = K.pair_features(pairs, reports, ID)
-    return K.add_cosines(out, pairs, side, ["cosine_tfidf", "cosine_tfidf2"], ID)
+    return K.pair_table(pairs, reports, method_vectors(reports, stem=stem), ["cosine_tfidf", "cosine_tfidf2"], ID, property_senses=property)
 
 
 def method_vectors(reports: DataFrame, stem: bool = False) -> DataFrame:
@@ -64,8 +74,11 @@ def method_vectors(reports: DataFrame, stem: bool = False) -> DataFrame:
 
 
 def linkage_dataset(raw: DataFrame, ratio: int = 1, blank: str = "keep", seed: int = 0,
-                    stem: bool = False, checkpoint: bool = True):
-    """K6: -> (scaled, raw_features, feature_names).
+                    stem: bool = False, checkpoint: bool = True, lexicon: DataFrame | None = None,
+                    senses: DataFrame | None = None, ancestors: DataFrame | None = None):
+    """K6: -> (scaled, raw_features, feature_names).  With a tagger lexicon
+    and a sense inventory (``lexicon``, ``senses``, ``ancestors``) all twelve
+    features; without them the similarity of stolen property is left out.
 
     ``scaled``: l, r, raw_feature_vec, weight, class, feature_vec.  The pair
     table feeds three fits (int means, imputer, scaler), so it is written
@@ -75,7 +88,8 @@ def linkage_dataset(raw: DataFrame, ratio: int = 1, blank: str = "keep", seed: i
     if checkpoint:
         # read by several passes (statistics, pairs, term vectors)
         reports = cut_lineage(reports)
-    pairs = linkage_pairs(reports, ratio=ratio, seed=seed, stem=stem)
+    property = property_senses(raw, lexicon, senses, ancestors) if senses is not None else None
+    pairs = linkage_pairs(reports, ratio=ratio, seed=seed, stem=stem, property=property)
     if checkpoint:
         pairs = cut_lineage(pairs)
     return K.finish_features(pairs)

@@ -168,8 +168,9 @@ def _nominal(a: str, b: str) -> str:
             f"THEN 1 ELSE 0 END")
 
 
-PF_CTE = f""",
-pairs AS MATERIALIZED (SELECT * FROM pos UNION ALL SELECT * FROM neg),
+_PAIRS_CTE = """,
+pairs AS MATERIALIZED (SELECT * FROM pos UNION ALL SELECT * FROM neg)"""
+PF_CTE = _PAIRS_CTE + f""",
 pairs_w1 AS MATERIALIZED (SELECT p.l, p.r, a.term, a.w FROM (SELECT DISTINCT l, r FROM pairs) p
                           JOIN w1 a ON a.incident_id = p.l),
 pairs_w2 AS MATERIALIZED (SELECT p.l, p.r, a.term, a.w FROM (SELECT DISTINCT l, r FROM pairs) p
@@ -202,21 +203,7 @@ FROM pf"""
 
 _INTS = ["location_code", "ordinal_date", "hour", "entry_location", "entry_point", "day_of_week",
          "grid_distance", "messy", "property_secure"]
-_DBLS = ["cosine_tfidf", "cosine_tfidf2"]
-
-_fill = ", ".join(f"coalesce({c}, (SELECT CAST(round_even(avg({c}), 0) AS INTEGER) FROM pf)) AS {c}"
-                  for c in _INTS)
-_imp = ", ".join(f"coalesce(CASE WHEN isnan({c}) THEN NULL ELSE {c} END, "
-                 f"(SELECT avg({c}) FROM pf WHERE NOT isnan({c}))) AS {c}" for c in _DBLS)
-_mm = ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _INTS + _DBLS)
-_scaled = ", ".join(f"round(CASE WHEN mx_{c} = mn_{c} THEN 0.5 ELSE ({c} - mn_{c}) / (mx_{c} - mn_{c}) END, 6) AS s_{c}"
-                    for c in _INTS + _DBLS)
-
-SQL["linkage_dataset"] = PAIR_CTES + f""",
-filled AS (SELECT l, r, weight, class, {_fill}, {_imp} FROM pf),
-mm AS (SELECT {_mm} FROM filled)
-SELECT l, r, round(weight, 6) AS weight, class, {_scaled} FROM filled, mm"""
-
+_DBLS = ["property_senses", "cosine_tfidf", "cosine_tfidf2"]
 
 # ---- text on whole documents ------------------------------------------------------
 
@@ -474,11 +461,45 @@ SQL["sense_best"] = PAIR_SENSE + """,
 sbest AS (SELECT l, r, avg(bs) AS sense_best FROM (SELECT sp.l, sp.r, sp.a, max(sims.sim) AS bs
          FROM sp LEFT JOIN sims USING (a, b) GROUP BY sp.l, sp.r, sp.a) GROUP BY l, r)
 SELECT p.l, p.r, round(sbest.sense_best, 6) AS sense_best FROM pairs p LEFT JOIN sbest USING (l, r)"""
+# In a tree of senses the best assignment matches as many as it can below each ancestor, the lowest first: so many at
+# most below one ancestor as its shorter side has there, and the sums of these over the ancestors of one height follow.
+ASSIGN_CTES = """,
+level AS (SELECT c.incident_id AS id, a.dist, a.ancestor, count(*) AS n
+          FROM chosen c JOIN ancestors a ON a.sense = c.sense GROUP BY ALL),
+nsense AS (SELECT incident_id AS id, count(*) AS n FROM chosen GROUP BY ALL),
+{pairs_level} AS (SELECT l, r, sum(CASE WHEN dist = 0 THEN least(ln, n) END) AS m0, sum(CASE WHEN dist = 1 THEN least(ln, n) END) AS m1,
+          sum(CASE WHEN dist = 2 THEN least(ln, n) END) AS m2
+  FROM (SELECT pl.l, pl.r, pl.dist, pl.n AS ln, y.n FROM (SELECT p.l, p.r, x.dist, x.ancestor, x.n
+          FROM (SELECT DISTINCT l, r FROM pairs) p JOIN level x ON x.id = p.l) pl
+        JOIN level y ON y.id = pl.r AND y.dist = pl.dist AND y.ancestor = pl.ancestor) GROUP BY l, r),
+assigned AS (SELECT m.l, m.r, (coalesce(m0, 0) * -ln(1 / 6.0) + (coalesce(m1, 0) - coalesce(m0, 0)) * -ln(3 / 6.0)
+          + (m2 - coalesce(m1, 0)) * -ln(5 / 6.0)) / s.n AS sense_assignment
+  FROM {pairs_level} m JOIN nsense s ON s.id = m.l)
+""".replace("{pairs_level}", "matched")
+SQL["sense_assignment"] = PAIR_SENSE[:PAIR_SENSE.index(",\nsp AS (")] + ASSIGN_CTES + """
+SELECT p.l, p.r, round(a.sense_assignment, 6) AS sense_assignment FROM pairs p LEFT JOIN assigned a USING (l, r)"""
 SQL["sense_mean"] = PAIR_SENSE + """,
 m AS (SELECT sp.l, sp.r, sum(coalesce(sims.sim, 0.0)) / (count(DISTINCT sp.a) * count(DISTINCT sp.b)) AS sense_mean
       FROM sp LEFT JOIN sims USING (a, b) GROUP BY sp.l, sp.r)
 SELECT p.l, p.r, round(m.sense_mean, 6) AS sense_mean FROM pairs p LEFT JOIN m USING (l, r)"""
 
+_fill = ", ".join(f"coalesce({c}, (SELECT CAST(round_even(avg({c}), 0) AS INTEGER) FROM pf12)) AS {c}"
+                  for c in _INTS)
+_imp = ", ".join(f"coalesce(CASE WHEN isnan({c}) THEN NULL ELSE {c} END, "
+                 f"(SELECT avg({c}) FROM pf12 WHERE NOT isnan({c}))) AS {c}" for c in _DBLS)
+_mm = ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _INTS + _DBLS)
+_scaled = ", ".join(f"round(CASE WHEN mx_{c} = mn_{c} THEN 0.5 ELSE ({c} - mn_{c}) / (mx_{c} - mn_{c}) END, 6) AS s_{c}"
+                    for c in _INTS + _DBLS)
+
+# the fixtures' CTEs once, then features, pairs, pair features, stolen terms, senses and their assignment
+SQL["linkage_dataset"] = (_PAIRS_ONLY + TERMS_CTE.rstrip() + PF_CTE.replace(_PAIRS_CTE, "").rstrip() + ",\n" + _STOLEN_ONLY.rstrip() + SENSE_CTES.rstrip()
+                          + ASSIGN_CTES.rstrip()) + f""",
+pf12 AS MATERIALIZED (SELECT pf.*, a.sense_assignment AS property_senses FROM pf LEFT JOIN assigned a ON a.l = pf.l AND a.r = pf.r),
+filled AS (SELECT l, r, weight, class, {_fill}, {_imp} FROM pf12),
+mm AS (SELECT {_mm} FROM filled)
+SELECT l, r, round(weight, 6) AS weight, class, {_scaled} FROM filled, mm"""
+
+
 OVERLAP = _PAIRS_ONLY + ",\n" + _STOLEN_ONLY.rstrip() + """,
 cnt AS (SELECT incident_id, term, count(*) AS c FROM stolen GROUP BY ALL),
 sz AS (SELECT incident_id, count(*) AS s FROM stolen GROUP BY ALL),
