@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from textflow.functions import distance as D
+from textflow.operators.draws import ROUNDS, draw_steps, factors, key_steps, mixed, with_steps
 from textflow.operators.partitioned import blocked_pairs, checked_broadcast, lookup, position_index
 from textflow.session import cut_lineage
 
@@ -24,9 +25,6 @@ from textflow.session import cut_lineage
 SIDE_BROADCAST_ROWS = 500_000
 SIDE_BROADCAST_ENTRIES = 8_000_000  # term-map entries (about 24 bytes each)
 
-# Strides for the negative draw: primes; the first one that does not divide
-# G - 1 is used, which makes the K draws of one report distinct groups.
-STRIDES = [7919, 7927, 7933, 7937, 7949]
 HASH_MOD = 2147483647  # both halves of an id are reduced modulo this prime and mixed
 
 
@@ -109,14 +107,13 @@ def negative_pairs(df: DataFrame, group: str = "offender", id_col: str = "incide
     groups and one report of each; weight 1.0, class 0.
 
     The draw is integer arithmetic on (report id, j), so it is replayable and
-    the same in SQL: with groups numbered 0..G-1 by their smallest report id
-    and reports numbered 0..n-1 inside their group by id,
-      h  = (x mod M + (x div M mod M) * 40503) mod M,  x = id + seed, M = 2^31 - 1
-      tg = (gid + 1 + (h * 40503 + j * stride) mod (G - 1)) mod G
-      tr = (h * 69069 + j * 40503) mod n(tg)
-    stride is a prime that does not divide G - 1, so the K targets of a report
-    are distinct and never its own group.  The draw is regular rather than
-    independent between reports, which is fine for training negatives.
+    the same in SQL.  Groups are numbered 0..G-1 by their smallest report id
+    and reports 0..n-1 inside their group by id.  A report's number
+      h = (x mod M + (x div M mod M) * 40503) mod M,  x = id + seed, M = 2^31 - 1
+    keys a permutation p of 0..G-2 (``draws``), so its K targets
+      tg = (gid + 1 + p(j)) mod G,  j = 0..K-1
+    are distinct, never its own group, and independent of those of other
+    reports; the report of a target group is chosen by a hash of keys and j.
     Raises ValueError when K > G - 1 (not enough other groups).
     """
     # ids may come as int (inferred from a file); the draw needs 64 bits
@@ -131,7 +128,7 @@ def negative_pairs(df: DataFrame, group: str = "offender", id_col: str = "incide
         return df.sparkSession.createDataFrame([], schema)
     if k > g - 1:
         raise ValueError(f"need {k} other groups per report but only {g - 1} exist")
-    stride = next(p for p in STRIDES if (g - 1) % p != 0)
+    a, b, over = factors(g - 1)
 
     groups = df.groupBy(group).agg(F.min(id_col).alias("_gkey"), F.count(F.lit(1)).alias("_n"))
     groups = cut_lineage(position_index(groups, "_gkey", name="_gid"))
@@ -142,13 +139,16 @@ def negative_pairs(df: DataFrame, group: str = "offender", id_col: str = "incide
     x = F.col(id_col) + F.lit(seed)
     high = F.pmod(F.expr(f"(`{id_col}` + {int(seed)}L) div {HASH_MOD}L"), F.lit(HASH_MOD))
     h = F.pmod(F.pmod(x, F.lit(HASH_MOD)) + high * 40503, F.lit(HASH_MOD))
-    draws = reports.select(F.col(id_col).alias("l"), "_gid", h.alias("_h"),
-                           F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
-    draws = draws.withColumn(
-        "_tg", (F.col("_gid") + 1 + (F.col("_h") * 40503 + F.col("_j") * stride) % (g - 1)) % g)
+    keyed = with_steps(reports.select(F.col(id_col).alias("l"), "_gid", h.alias("_h")), key_steps("_h"))
+    keys = [f"_k{i}" for i in range(ROUNDS)]
+    draws = keyed.select("l", "_gid", *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("_j"))
+    draws = with_steps(draws, draw_steps("_j", f"{g - 1}L", f"{a}L", f"{b}L", over + 1))
+    pick, chosen = mixed("_j", "_k1")
+    draws = with_steps(draws, [("_y", pick), ("_pick", chosen.format(y="_y"))])
+    # written, since the optimizer would write the steps out into the conditions that it infers from the joins
+    draws = cut_lineage(draws.select("l", "_pick", ((F.col("_gid") + 1 + F.col("_draw")) % g).alias("_tg")))
     sizes = groups.select(F.col("_gid").alias("_tg"), F.col("_n").alias("_tn"))
-    draws = draws.join(sizes, "_tg").withColumn(
-        "_tr", (F.col("_h") * 69069 + F.col("_j") * 40503) % F.col("_tn"))
+    draws = draws.join(sizes, "_tg").withColumn("_tr", F.col("_pick") % F.col("_tn"))
     targets = reports.select(F.col("_gid").alias("_tg"), F.col("_rk").alias("_tr"),
                              F.col(id_col).alias("r"))
     return draws.join(targets, ["_tg", "_tr"]).select(

@@ -64,6 +64,7 @@ FROM features"""
 
 # ---- linkage -------------------------------------------------------------------
 
+from textflow.operators.draws import draw_steps, key_steps, mixed, sql_steps  # noqa: E402
 from textflow.plans.stopwords import ENGLISH as _STOP  # noqa: E402
 
 STOP_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in _STOP) + "]"
@@ -110,17 +111,18 @@ grp AS (SELECT offender, n, CAST(row_number() OVER (ORDER BY gkey) - 1 AS BIGINT
 rep AS (SELECT r.incident_id AS id, g.gid,
                CAST(row_number() OVER (PARTITION BY r.offender ORDER BY r.incident_id) - 1 AS BIGINT) AS rk
         FROM reports r JOIN grp g USING (offender)),
-st AS (SELECT groups AS G, to_select AS K,
-              CASE WHEN (groups - 1) % 7919 <> 0 THEN 7919 WHEN (groups - 1) % 7927 <> 0 THEN 7927
-                   WHEN (groups - 1) % 7933 <> 0 THEN 7933 WHEN (groups - 1) % 7937 <> 0 THEN 7937
-                   ELSE 7949 END AS stride FROM stats2),
-draws AS (SELECT l, gid, h, j, (gid + 1 + (h * 40503 + j * stride) % (G - 1)) % G AS tg FROM (
-            SELECT rep.id AS l, rep.gid, (rep.id % 2147483647 + rep.id // 2147483647 % 2147483647 * 40503) % 2147483647 AS h,
-                   unnest(range(0, st.K)) AS j, st.G, st.stride
-            FROM rep, st)),
+st AS (SELECT G, K, arg_min(a, ((a - (G - 1) % a) % a) * 1000000 + abs(a - root)) AS a FROM (
+         SELECT groups AS G, to_select AS K, greatest(1, CAST(floor(sqrt(groups - 1)) AS BIGINT)) AS root,
+                unnest(range(greatest(1, CAST(floor(sqrt(groups - 1)) AS BIGINT) // 4), 4 * greatest(1, CAST(floor(sqrt(groups - 1)) AS BIGINT)) + 1)) AS a FROM stats2)
+       GROUP BY G, K),
+keyed AS (""" + sql_steps("""SELECT rep.id AS l, rep.gid, (rep.id % 2147483647 + rep.id // 2147483647 % 2147483647 * 40503) % 2147483647 AS h FROM rep""",
+                           key_steps("h")) + """),
+draws AS (SELECT l, _pick, (gid + 1 + _draw) % G AS tg FROM (""" + sql_steps(
+    """SELECT keyed.*, unnest(range(0, st.K)) AS j, st.G, st.a, (st.G - 1 + st.a - 1) // st.a AS b FROM keyed, st""",
+    draw_steps("j", "(G - 1)", "a", "b", 4) + [("_y", mixed("j", "_k1")[0]), ("_pick", mixed("j", "_k1")[1].format(y="_y"))]) + """)),
 neg AS (SELECT d.l, t.id AS r, 1.0 AS weight, 0 AS class
         FROM draws d JOIN grp gt ON gt.gid = d.tg
-        JOIN rep t ON t.gid = d.tg AND t.rk = (d.h * 69069 + d.j * 40503) % gt.n)
+        JOIN rep t ON t.gid = d.tg AND t.rk = d._pick % gt.n)
 """
 
 SQL["positive_pairs"] = LINK_CTES + POS_CTE + "SELECT l, r, round(weight, 6) AS weight, class FROM pos"
