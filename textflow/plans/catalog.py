@@ -878,6 +878,38 @@ def q_sample(spark, sf):
     return sample(FX.load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), False, 0.5, 1)
 
 
+@register("sample_by_key")
+def q_sample_by_key(spark, sf):
+    """Half of the orders by a hash of their key, without replacement."""
+    from textflow.operators.sampling import sample_by_key
+    return sample_by_key(FX.load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 0.5, 1)
+
+
+@register("sample_with_replacement")
+def q_sample_with_replacement(spark, sf):
+    """Orders drawn with replacement (Poisson counts of mean 0.75)."""
+    from textflow.operators.sampling import sample_with_replacement
+    return sample_with_replacement(FX.load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 0.75, 1)
+
+
+@register("sample_exactly")
+def q_sample_exactly(spark, sf):
+    """Exactly 1,000 orders (the size is the feature)."""
+    from textflow.operators.sampling import sample_exactly
+    return sample_exactly(FX.load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 1000, 1)
+
+
+@register("ridge_search")
+def q_ridge_search(spark, sf):
+    """M8 (M1): error of every fold and penalty of a ridge model of extended price on quantity and discount."""
+    from textflow.operators.search import ridge_search
+    li = FX.load(spark, sf, "lineitem").select("l_quantity", (F.col("l_discount") * 100).alias("discount"), (F.col("l_extendedprice") / 1000).alias("price"),
+                                               ((F.col("l_orderkey") * 31 + F.col("l_linenumber")) % 3).cast("int").alias("fold"))
+    table, _, _ = ridge_search(li, ["l_quantity", "discount"], "price", [0.0, 1.0, 100.0], "fold")
+    return table.select("fold", "penalty", F.round("intercept", 5).alias("intercept"), F.round(F.col("coefficients")[0], 5).alias("quantity"),
+                        F.round(F.col("coefficients")[1], 5).alias("discount"), F.round("mse", 4).alias("mse"))
+
+
 # ---- streaming, stemmed linkage, relation cosines --------------------------------------
 
 @register("streaming_incident_features")

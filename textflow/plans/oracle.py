@@ -554,3 +554,22 @@ pairs_wr AS MATERIALIZED (SELECT p.l, p.r, a.term, a.w FROM (SELECT DISTINCT l,
                           JOIN wr a ON a.incident_id = p.l),
 cm AS {_cos('pairs', 'wr', 'nr', 'cosine_mo')}
 SELECT p.l, p.r, round(cm.cosine_mo, 6) AS cosine_mo FROM pairs p LEFT JOIN cm ON cm.l = p.l AND cm.r = p.r"""
+
+
+# ---- samples by key, search from sums ---------------------------------------------------
+
+from textflow.operators.sampling import poisson_bounds  # noqa: E402
+
+_HASHED = "(SELECT o_orderkey, o_totalprice, CAST('0x' || substr(md5(o_orderkey::VARCHAR || ':1'), 1, 8) AS BIGINT) AS h FROM orders)"
+SQL["sample_by_key"] = f"SELECT o_orderkey, o_totalprice FROM {_HASHED} WHERE h < {2 ** 31}"
+SQL["sample_with_replacement"] = f"""SELECT o_orderkey, o_totalprice, unnest(range(1, times + 1))::INTEGER AS copy FROM (
+  SELECT *, {" + ".join(f"(h >= {b})::INTEGER" for b in poisson_bounds(0.75))} AS times FROM {_HASHED})"""
+SQL["sample_exactly"] = f"SELECT o_orderkey, o_totalprice FROM {_HASHED} ORDER BY h, o_orderkey LIMIT 1000"
+SQL["ridge_search"] = """WITH x AS (SELECT l_quantity AS a, l_discount * 100 AS b, l_extendedprice / 1000 AS y, CAST((l_orderkey * 31 + l_linenumber) % 3 AS INTEGER) AS fold FROM lineitem),
+g AS (SELECT f.fold, p.penalty, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) + penalty AS aa, var_pop(b) + penalty AS bb,
+             covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_
+      FROM x, (SELECT DISTINCT fold FROM x) f, (SELECT unnest([0.0, 1.0, 100.0])::DOUBLE AS penalty) p WHERE x.fold <> f.fold GROUP BY f.fold, p.penalty),
+m AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS qa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS qb FROM g)
+SELECT m.fold, penalty, round(any_value(my - qa * ma - qb * mb), 5) AS intercept, round(any_value(qa), 5) AS quantity, round(any_value(qb), 5) AS discount,
+       round(avg((y - (my - qa * ma - qb * mb) - qa * a - qb * b) ** 2), 4) AS mse
+FROM m JOIN x ON x.fold = m.fold GROUP BY m.fold, penalty"""
