@@ -38,12 +38,12 @@ def discard(df: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch of texts, unless the session sets another bound.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let a task hand texts to Python a few megabytes at a time, so that its
+    """Let a task hand texts to Python about a megabyte at a time, so that its
     memory does not follow the mean length of texts.  A bound that the session
     has already set stays."""
     if spark.conf.get(_BATCHES, "64m") == "64m":

@@ -34,7 +34,7 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS, MORE_LANDMARKS, PER_CLASS, BYTES_EACH = 32, 8,
 #: A word that clean documents have too is taken as toxic if its share in toxic documents is CLEAR times that in clean ones, and LEAST toxic documents have it.
 CLEAR, LEAST = 5.0, 5
 #: Words whose margin a Python worker keeps.
-KEPT = 1 << 21
+KEPT = 1 << 18
 SYMBOLS = 32
 
 
