@@ -579,6 +579,14 @@ def q_verb_object_pairs(spark, sf):
     return verb_object_pairs(tagged, "doc_id", "pos", "token", "tag", span=4)
 
 
+@register("verb_relations")
+def q_verb_relations(spark, sf):
+    """Objects and passive subjects, heads learned from the corpus by EM."""
+    from textflow.operators.relations import verb_relations
+    from textflow.operators.text import tag_tokens
+    return verb_relations(tag_tokens(FX.tokens(spark, sf), _lexicon(spark, sf)), "doc_id", "pos", "token", "tag", span=4)
+
+
 def _stolen(spark, sf):
     from textflow.operators.text import stolen_terms
     from textflow.session import cut_lineage
@@ -878,6 +886,34 @@ def q_sample(spark, sf):
     return sample(FX.load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), False, 0.5, 1)
 
 
+def _sentence_tokens(spark, sf):
+    from textflow.operators.sentences import sentence_tokens
+    return sentence_tokens(_docs(spark, sf), "doc_id", "text")
+
+
+@register("abbreviations")
+def q_abbreviations(spark, sf):
+    """T7 train: counts and abbreviation score of every word before a full stop."""
+    from textflow.operators.sentences import abbreviations
+    return abbreviations(_sentence_tokens(spark, sf)).withColumn("score", F.round("score", 6) + F.lit(0.0))  # no -0.0
+
+
+@register("sentence_starters")
+def q_sentence_starters(spark, sf):
+    """T7 train: words that follow a sentence's end more often than chance."""
+    from textflow.operators.sentences import abbreviations, is_abbreviation, sentence_starters
+    tokens = _sentence_tokens(spark, sf)
+    known = abbreviations(tokens).where(is_abbreviation()).select("word")
+    return sentence_starters(tokens, known, "doc_id").withColumn("score", F.round("score", 4))
+
+
+@register("trained_sentences")
+def q_trained_sentences(spark, sf):
+    """T7 apply: sentences of every document by the trained splitter."""
+    from textflow.operators.sentences import trained_sentences
+    return trained_sentences(_docs(spark, sf), "doc_id", "text")
+
+
 @register("sample_by_key")
 def q_sample_by_key(spark, sf):
     """Half of the orders by a hash of their key, without replacement."""

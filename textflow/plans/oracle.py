@@ -573,3 +573,75 @@ m AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS qa, (by_ * aa - ay
 SELECT m.fold, penalty, round(any_value(my - qa * ma - qb * mb), 5) AS intercept, round(any_value(qa), 5) AS quantity, round(any_value(qb), 5) AS discount,
        round(avg((y - (my - qa * ma - qb * mb) - qa * a - qb * b) ** 2), 4) AS mse
 FROM m JOIN x ON x.fold = m.fold GROUP BY m.fold, penalty"""
+
+
+# ---- trained sentence splitting ---------------------------------------------------------
+
+_STRIPPED = """regexp_replace({t}, '[)\\]"'']+$', '')"""
+SENTENCE_CTES = f"""WITH list AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS toks FROM documents),
+flat AS (SELECT doc_id, unnest(toks) AS token, unnest(range(0, len(toks))) AS pos FROM list),
+tok AS MATERIALIZED (SELECT doc_id, pos, token, regexp_replace({_STRIPPED.format(t='lower(token)')}, '[.]$', '') AS word,
+               regexp_extract({_STRIPPED.format(t='token')}, '([.!?])$', 1) AS mark FROM flat),
+words AS (SELECT word, count(*) FILTER (mark = '.') AS with_stop, count(*) FILTER (mark <> '.') AS without FROM tok WHERE word <> '' GROUP BY word),
+share AS (SELECT sum(with_stop) * 1.0 / sum(with_stop + without) AS p FROM words),
+abbr AS (SELECT word, with_stop, without, 2 * (with_stop * ln(0.99) + without * ln(0.01) - with_stop * ln(p) - without * ln(1 - p))
+           * (length(word) - length(replace(word, '.', '')) + 1) * exp(-length(replace(word, '.', '')))
+           * pow(greatest(length(replace(word, '.', '')), 1), -without) AS score
+         FROM words, share WHERE with_stop > 0),
+short AS (SELECT word FROM abbr WHERE score >= 0.3 AND regexp_matches(word, '\\p{{L}}')),
+near AS MATERIALIZED (SELECT t.*, s.word IS NOT NULL AS short, lead(t.word) OVER w AS next_word,
+                lead(regexp_matches(t.token, '^[(\\["'']*\\p{{Lu}}')) OVER w AS next_capital
+         FROM tok t LEFT JOIN short s ON s.word = t.word WINDOW w AS (PARTITION BY t.doc_id ORDER BY t.pos)),
+total AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (mark <> '' AND NOT short))::DOUBLE AS ends FROM near),
+after AS (SELECT next_word AS word, count(*) AS at_start FROM near WHERE mark <> '' AND NOT short AND next_word <> '' GROUP BY next_word),
+cand AS (SELECT a.word, a.at_start, c.n, a.at_start::DOUBLE AS k, c.n::DOUBLE AS m, total.n AS total, total.ends
+         FROM after a JOIN (SELECT word, count(*) AS n FROM tok GROUP BY word) c ON c.word = a.word, total WHERE a.at_start / total.ends > c.n / total.n),
+ratio AS (SELECT *, m / total AS p, k / ends AS p1, (m - k) / (total - ends) AS p2 FROM cand),
+starters AS (SELECT word, at_start, n, -2 * (
+  (CASE WHEN k > 0 THEN k * ln(p) ELSE 0 END) + (CASE WHEN ends > k THEN (ends - k) * ln(1 - p) ELSE 0 END)
+  + (CASE WHEN m - k > 0 THEN (m - k) * ln(p) ELSE 0 END) + (CASE WHEN total - ends > m - k THEN (total - ends - m + k) * ln(1 - p) ELSE 0 END)
+  - (CASE WHEN k > 0 THEN k * ln(p1) ELSE 0 END) - (CASE WHEN p1 < 1 THEN (ends - k) * ln(1 - p1) ELSE 0 END)
+  - (CASE WHEN m - k > 0 THEN (m - k) * ln(p2) ELSE 0 END) - (CASE WHEN p2 < 1 THEN (total - ends - m + k) * ln(1 - p2) ELSE 0 END)) AS score FROM ratio)
+"""
+SQL["abbreviations"] = SENTENCE_CTES + "SELECT word, with_stop, without, round(score, 6) + 0.0 AS score FROM abbr"
+SQL["sentence_starters"] = SENTENCE_CTES + "SELECT word, at_start, n, round(score, 4) AS score FROM starters"
+SQL["trained_sentences"] = SENTENCE_CTES + """,
+ended AS (SELECT e.doc_id, e.pos, e.token, e.mark <> '' AND NOT (e.mark = '.' AND (
+            (e.short OR regexp_matches(e.word, '^\\p{L}$')) AND NOT (coalesce(e.next_capital, false) AND s.word IS NOT NULL)
+            OR regexp_matches(e.word, '^[0-9]+$') AND NOT coalesce(e.next_capital, false))) AS last
+          FROM near e LEFT JOIN (SELECT word FROM starters WHERE score >= 30) s ON s.word = e.next_word),
+numbered AS (SELECT *, coalesce(sum(last::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS n FROM ended)
+SELECT doc_id, n, string_agg(token, ' ' ORDER BY pos) AS sentence FROM numbered GROUP BY doc_id, n"""
+
+
+# ---- verb relations with learned heads --------------------------------------------------
+
+from textflow.operators.relations import PASSIVE, PRIOR, ROUNDS  # noqa: E402
+
+_AUX = ", ".join(f"'{p}'" for p in PASSIVE)
+
+
+def _em_round(i: int) -> str:
+    """One round: counts by shape and by (verb, noun) from the weights of candidates ``em{i}``, and the weights that follow."""
+    return f""",
+shape{i} AS (SELECT shape, sum(w) / count(*) AS s FROM em{i} GROUP BY shape),
+pair{i} AS (SELECT verb, noun, sum(w) AS w FROM em{i} GROUP BY verb, noun),
+verb{i} AS (SELECT verb, sum(w) AS v, count(*) AS kinds FROM pair{i} GROUP BY verb),
+em{i + 1} AS MATERIALIZED (SELECT *, score / sum(score) OVER (PARTITION BY doc_id, pos) AS w FROM (
+  SELECT e.doc_id, e.pos, e.noun, e.vpos, e.verb, e.kind, e.shape, s.s * (p.w + {PRIOR}) / (v.v + {PRIOR} * v.kinds) AS score
+  FROM em{i} e JOIN shape{i} s USING (shape) JOIN pair{i} p ON p.verb = e.verb AND p.noun = e.noun JOIN verb{i} v ON v.verb = e.verb))"""
+
+
+SQL["verb_relations"] = LEX + f""", run AS MATERIALIZED (SELECT t.doc_id, t.pos, t.token, lex.tag,
+  sum((coalesce(lex.tag, '') LIKE 'NN%')::INTEGER) OVER w AS nouns, sum((t.token IN ({_AUX}))::INTEGER) OVER w AS aux
+  FROM tokens t LEFT JOIN lex USING (token) WINDOW w AS (PARTITION BY t.doc_id ORDER BY t.pos)),
+cand AS (SELECT n.doc_id, n.pos, n.token AS noun, v.pos AS vpos, v.token AS verb, v.pos - n.pos AS k,
+    CASE WHEN v.pos < n.pos THEN n.nouns - 1 - v.nouns ELSE v.nouns - n.nouns END AS inside,
+    CASE WHEN v.pos < n.pos THEN n.aux - (n.token IN ({_AUX}))::INTEGER - v.aux ELSE v.aux - n.aux END > 0 AS helped
+  FROM run n JOIN run v ON v.doc_id = n.doc_id AND v.pos BETWEEN n.pos - 4 AND n.pos + 4 AND v.pos <> n.pos
+  WHERE n.tag LIKE 'NN%' AND v.tag LIKE 'VB%' AND v.token NOT IN ({_AUX})),
+em0 AS MATERIALIZED (SELECT doc_id, pos, noun, vpos, verb, CASE WHEN k < 0 THEN 'dobj' ELSE 'nsubjpass' END AS kind,
+    k || ':' || inside || ':' || helped::INTEGER AS shape, 1.0 / count(*) OVER (PARTITION BY doc_id, pos) AS w
+  FROM cand WHERE k < 0 OR helped)""" + "".join(_em_round(i) for i in range(ROUNDS)) + f""",
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY round(score, 9) DESC, abs(vpos - pos), vpos) AS place FROM em{ROUNDS})
+SELECT doc_id, pos, noun, vpos, verb, kind, verb || ' ' || noun AS relation FROM best WHERE place = 1"""
