@@ -914,6 +914,46 @@ def q_trained_sentences(spark, sf):
     return trained_sentences(_docs(spark, sf), "doc_id", "text")
 
 
+@register("cooccurrence_pmi")
+def q_cooccurrence_pmi(spark, sf):
+    """counts and pointwise mutual information of words at most 4 tokens apart."""
+    from textflow.operators.vectors import cooccurrences, pmi
+    return pmi(cooccurrences(FX.tokens(spark, sf)), "word", "context").withColumn("pmi", F.round("pmi", 6))
+
+
+@register("document_pmi")
+def q_document_pmi(spark, sf):
+    """shifted pointwise mutual information of documents and words, the table that is factorised."""
+    from textflow.operators.vectors import pmi
+    counts = FX.tokens(spark, sf).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return pmi(counts, "doc_id", "token", shift=2.0).withColumn("pmi", F.round("pmi", 6))
+
+
+@register("document_vectors")
+def q_document_vectors(spark, sf):
+    """vectors of documents by alternating least squares on their shifted PMI with words."""
+    from textflow.operators.vectors import document_vectors
+    return document_vectors(FX.tokens(spark, sf), k=16, shift=2.0)[0]
+
+
+@register("word_vectors")
+def q_word_vectors(spark, sf):
+    """word vectors from co-occurrence PMI by block power iteration, no vocabulary on the driver."""
+    from textflow.operators.vectors import word_vectors
+    return word_vectors(FX.tokens(spark, sf), k=8)
+
+
+@register("wide_components")
+def q_wide_components(spark, sf):
+    """variances of the 4 leading principal components of the tf-idf table, every term a column."""
+    from textflow.operators.features import tf_idf_terms
+    from textflow.operators.vectors import wide_components
+    from textflow.operators.text import tokenize_regex
+    docs = tokenize_regex(_docs(spark, sf), "text", "tokens")
+    weights = tf_idf_terms(docs, "doc_id", "tokens").select("doc_id", "term", "tfidf")
+    return wide_components(weights, "doc_id", "term", "tfidf", docs.select("doc_id"), 4)[0]
+
+
 @register("sample_by_key")
 def q_sample_by_key(spark, sf):
     """Half of the orders by a hash of their key, without replacement."""

@@ -645,3 +645,17 @@ em0 AS MATERIALIZED (SELECT doc_id, pos, noun, vpos, verb, CASE WHEN k < 0 THEN
   FROM cand WHERE k < 0 OR helped)""" + "".join(_em_round(i) for i in range(ROUNDS)) + f""",
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY round(score, 9) DESC, abs(vpos - pos), vpos) AS place FROM em{ROUNDS})
 SELECT doc_id, pos, noun, vpos, verb, kind, verb || ' ' || noun AS relation FROM best WHERE place = 1"""
+
+
+# ---- co-occurrence and document PMI -------------------------------------------------------
+
+_PMI = """, total AS (SELECT sum(n)::DOUBLE AS t FROM counts), ls AS (SELECT {l}, sum(n) AS x FROM counts GROUP BY {l}), rs AS (SELECT {r}, sum(n) AS y FROM counts GROUP BY {r}),
+p AS (SELECT c.{l}, c.{r}, c.n, ln(c.n * t / (x * y)) - ln({shift}) AS pmi FROM counts c JOIN ls ON ls.{l} = c.{l} JOIN rs ON rs.{r} = c.{r}, total)
+SELECT {l}, {r}, n, round(pmi, 6) AS pmi FROM p WHERE pmi > 0"""
+SQL["document_pmi"] = with_ctes(FX.TOKENS_DUCK).rstrip() + """,
+counts AS (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY doc_id, token)""" + _PMI.format(l="doc_id", r="token", shift="2.0")
+SQL["cooccurrence_pmi"] = with_ctes(FX.TOKENS_DUCK).rstrip() + """,
+near AS (SELECT token AS word, unnest([lead(token, 1) OVER w, lead(token, 2) OVER w, lead(token, 3) OVER w, lead(token, 4) OVER w]) AS context
+         FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+one AS (SELECT word, context, count(*) AS n FROM near WHERE context IS NOT NULL GROUP BY word, context),
+counts AS (SELECT word, context, sum(n)::BIGINT AS n FROM (SELECT word, context, n FROM one UNION ALL SELECT context, word, n FROM one) GROUP BY word, context)""" + _PMI.format(l="word", r="context", shift="1.0")
