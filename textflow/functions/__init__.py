@@ -1,4 +1,4 @@
-"""Column -> Column expressions.  Everything here stays inside whole-stage codegen."""
+"""Column -> Column expressions.  Built-in expressions only; those with lambdas (``sentence_vote``) are interpreted, the rest is generated code."""
 
 from textflow.functions.incident import (  # noqa: F401
     location_type, ordinal_day, hour_of, entry_side, entry_point, weekday_of,

@@ -64,18 +64,18 @@ LEFT JOIN items i ON i.k = o.k
 
 INCIDENTS_SPARK = """
 WITH items AS (
-  SELECT l.l_orderkey AS k,
+  SELECT l.l_orderkey - l.l_orderkey % 2 AS k,
          array_join(transform(array_sort(collect_list(named_struct('n', l.l_linenumber, 'pk', l.l_partkey, 'name', p.p_name))),
                               x -> x.name), ', ') AS stolen
   FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey
-  GROUP BY l.l_orderkey)
+  GROUP BY l.l_orderkey - l.l_orderkey % 2)
 """ + _INCIDENT_SELECT.replace("{narrative}", _NARRATIVE)
 
 INCIDENTS_DUCK = """
 items AS (
-  SELECT l.l_orderkey AS k, string_agg(p.p_name, ', ' ORDER BY l.l_linenumber, l.l_partkey, p.p_name) AS stolen
+  SELECT l.l_orderkey - l.l_orderkey % 2 AS k, string_agg(p.p_name, ', ' ORDER BY l.l_linenumber, l.l_partkey, p.p_name) AS stolen
   FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
-  GROUP BY l.l_orderkey),
+  GROUP BY l.l_orderkey - l.l_orderkey % 2),
 incidents AS (""" + _INCIDENT_SELECT.replace("{narrative}", _NARRATIVE).replace("{orders}", "orders") + ")"
 
 
