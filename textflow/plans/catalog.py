@@ -441,14 +441,6 @@ def q_linear_regression(spark, sf):
         .select(F.round("coefficient", 4).alias("coefficient"), F.round("intercept", 4).alias("intercept"))
 
 
-def _nb_input(spark, sf):
-    from textflow.operators.features import count_vectors
-    from textflow.operators.text import tokenize_regex
-    d = tokenize_regex(_labelled(spark, sf), "text", "tokens")
-    d, cv = count_vectors(d, "tokens", "features", binary=False)
-    return d.withColumn("label", F.col("quality").cast("double")), cv
-
-
 @register("naive_bayes")
 def q_naive_bayes(spark, sf):
     """M4: class log-priors (term null) and term log-probabilities per class."""
@@ -462,11 +454,13 @@ def q_naive_bayes(spark, sf):
 
 @register("naive_bayes_predict")
 def q_naive_bayes_predict(spark, sf):
-    """M4 + M5: the fitted naive Bayes model applied to the labelled documents."""
-    from textflow.operators.learn import naive_bayes
-    d, _ = _nb_input(spark, sf)
-    p, _ = naive_bayes(d)
-    return p.select("doc_id", F.col("prediction").cast("int").alias("prediction"))
+    """M4 + M5: naive Bayes applied to the labelled documents, by a join with its term table."""
+    from textflow.operators.features import term_frequencies
+    from textflow.operators.learn import naive_bayes_apply, naive_bayes_terms
+    from textflow.operators.text import tokenize_regex
+    d = tokenize_regex(_labelled(spark, sf), "text", "tokens").withColumn("label", F.col("quality").cast("int"))
+    tf = term_frequencies(d, "doc_id", "tokens")
+    return naive_bayes_apply(d, tf, naive_bayes_terms(d.select("doc_id", "label"), tf, "doc_id"), "doc_id")
 
 
 @register("logistic_regression")
