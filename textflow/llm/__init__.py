@@ -20,3 +20,23 @@ class TaskCache(dict):
 
     def __reduce__(self):
         return TaskCache, ()
+
+
+def forget_encoders() -> None:
+    """Let go of the tokenizer units that this Python worker has kept for
+    another operator's tasks (see ``pieces.worker_encoder``)."""
+    kept = sys.modules.get("_textflow_encoders")
+    if kept is not None:
+        kept.__dict__.clear()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: a Python worker waits for
+    its next task beside the JVM, which may need the memory."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)

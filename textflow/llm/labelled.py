@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from textflow.llm import forget_encoders, give_back
 from textflow.llm.stored import bounded_batches, pick, store
 from textflow.llm.words import chunks
 
@@ -53,10 +54,12 @@ def judged(docs: DataFrame, id_col: str, text_col: str, score: Callable, thresho
         rows, put = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest")), ["doc_id", "text", "rest"]
 
     def run(batches):
+        forget_encoders()
         for batch in batches:
             scores = [score(values) for _, values in chunks(batch["text"])]
             if scores:
                 yield pa.RecordBatch.from_arrays([*[batch[c] for c in put], pa.array(np.concatenate(scores), pa.float64())], [*put, "score"])
+        give_back()
 
     found = rows.mapInArrow(run, StructType([*[rows.schema[c] for c in put], StructField("score", DoubleType())]))
     first = F.struct(*[(F.col("text") if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns]).alias("row") if whole else F.col("doc_id").alias(id_col)

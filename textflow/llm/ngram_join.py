@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textflow.llm import forget_encoders, give_back
 from textflow.llm.components import connected
 from textflow.llm.stored import bounded_batches, discard, pick, store
 from textflow.llm.words import chunks, mix, shingles, texts
@@ -74,6 +75,7 @@ def _describe(width: int):
     counters, SKETCH_ROW to a row (their number in doc_id)."""
 
     def run(batches):
+        forget_encoders()
         tally = np.zeros(SKETCH, np.int32)
         for batch in batches:
             found = [(len(s), _node(s)) for _, s in _sets(batch["text"], width, tally)]
@@ -82,6 +84,8 @@ def _describe(width: int):
         if tally.any():
             parts = tally.reshape(-1, SKETCH_ROW)
             yield _batch(_DESCRIBED, range(len(parts)), [-1] * len(parts), [0] * len(parts), [p.tobytes() for p in parts])
+        del tally
+        give_back()
 
     return run
 
@@ -133,6 +137,7 @@ def _prefixes(order: Order, width: int, num: int, den: int):
     """The first n-grams of every set in the order, of which a partner has one."""
 
     def run(batches):
+        forget_encoders()
         for batch in batches:
             ids, out = batch["doc_id"], []
             for row, s in _sets(batch["text"], width):
@@ -147,12 +152,14 @@ def _prefixes(order: Order, width: int, num: int, den: int):
                     out = []
             if out:
                 yield _batch(_PREFIX, *map(list, zip(*out)))
+        give_back()
 
     return run
 
 
 def _segments(order: Order, width: int):
     def run(batches):
+        forget_encoders()
         for batch in batches:
             ids, out = batch["doc_id"], []
             for row, s in _sets(batch["text"], width):
@@ -167,6 +174,7 @@ def _segments(order: Order, width: int):
                     out = []
             if out:
                 yield _batch(_SEGMENT, *map(list, zip(*out)))
+        give_back()
 
     return run
 
