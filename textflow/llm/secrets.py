@@ -1,11 +1,14 @@
 """Secret scan by a trigram inverted index, in DataFrame operations only.
 
 From each rule's pattern a Boolean query over trigrams follows (Cox, 2012):
-what every match must contain, as alternatives of sets of trigrams.  The index
-holds the postings of the trigrams that occur in some query; a query is
-answered by intersecting postings, and only its candidates are matched with
+what every match must contain, as alternatives of sets of trigrams.  Texts are
+written once with a key; the index is a stored table of posting lists, one for
+each trigram of some query and each block of keys.  A query is answered block
+by block: the lists of an alternative's trigrams are intersected, those of the
+alternatives united.  Only the candidates' texts are read again and matched with
 the pattern.  A rule whose matches need not contain any trigram scans all
-texts.  Postings are kept by document, so intersecting them moves no text.
+texts.  Blocks bound every list, so a trigram that a third of all texts have is
+many lists and no group grows with the table.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textflow.llm.stored import pick
+from textflow.llm.stored import pick, store
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,8 @@ MORE = [
 
 #: Spans of a block.
 BLOCK = 256
+#: A posting list is of one block of 2^10 keys.
+BLOCK_BITS = 10
 #: Strings followed through a pattern at once; a part with more is taken as anything.
 _MOST = 32
 
@@ -122,24 +127,36 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return best
 
 
-def postings(text: Column, rules: list[Rule]) -> Column:
-    """The trigrams of the rules' queries that a lower-case text contains: its entries in the index."""
+def index(texts: DataFrame, rules: list[Rule], block_bits: int = BLOCK_BITS) -> DataFrame:
+    """The inverted index of (key, text): (block, trigram, keys), keys in
+    order, for the trigrams of the rules' queries (in lower-case texts).
+
+    A block is 2^block_bits keys, which bounds a posting list."""
     wanted = sorted({t for r in rules for q in trigram_query(r.pattern) for t in q})
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in wanted]))
+    low = texts.select("key", F.lower("text").alias("low"))
+    entries = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted]).cast("array<string>"))
+    pairs = low.select("key", F.explode(entries).alias("trigram"))
+    return pairs.groupBy(F.shiftright("key", block_bits).alias("block"), "trigram").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+
+
+def answer(postings: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(key, kinds) of every candidate: the numbers of the rules whose queries
+    its posting lists satisfy.  Rules without a query are not among them."""
+    lists = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
+    none = F.array().cast("array<bigint>")
 
+    def one(k: int, query: list[frozenset[str]]) -> Column:
+        either = none
+        for alternative in query:
+            first, *others = [F.coalesce(F.element_at("lists", F.lit(t)), none) for t in sorted(alternative)]
+            for other in others:
+                first = F.array_intersect(first, other)
+            either = F.array_union(either, first)
+        return F.transform(either, lambda key: F.struct(key.alias("key"), F.lit(k).alias("k")))
 
-def candidate(entries: Column, rule: Rule) -> Column:
-    """Whether the rule's query holds for a document's index entries."""
-    query = trigram_query(rule.pattern)
-    if not query:
-        return F.lit(True)
-    found = F.lit(False)
-    for alternative in query:
-        every = F.lit(True)
-        for t in sorted(alternative):
-            every = every & F.array_contains(entries, t)
-        found = found | every
-    return found
+    queries = [(k, q) for k, q in enumerate(trigram_query(r.pattern) for r in rules) if q]
+    hits = F.concat(F.array().cast("array<struct<key:bigint,k:int>>"), *[one(k, q) for k, q in queries])
+    return lists.select(F.inline(hits)).groupBy("key").agg(F.sort_array(F.collect_set("k")).alias("kinds"))
 
 
 def _spans(text: Column, rule: Rule, kind: int) -> Column:
@@ -169,24 +186,42 @@ def _spans(text: Column, rule: Rule, kind: int) -> Column:
     return F.concat(F.flatten(walked["full"]), walked["found"])
 
 
+def _found(texts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(key, found) of the rows of a stored (key, text) with a secret, stored.
+
+    Candidates and findings are stored too, so that Spark sends them to the
+    texts where their size on disk is under its broadcast limit and shuffles
+    by key beyond it."""
+    none = F.array().cast("array<struct<s:int,e:int,k:int>>")
+
+    def matched(rows: DataFrame, kinds: list[int], due) -> DataFrame:
+        spans = [F.when(due(k) & F.col("text").rlike(_shortest(rules[k])), _spans(F.col("text"), rules[k], k)).otherwise(none) for k in kinds]
+        return rows.select("key", F.concat(none, *spans).alias("found")).where(F.size("found") > 0)
+
+    asked = [k for k, r in enumerate(rules) if trigram_query(r.pattern)]
+    spans = matched(texts, [k for k in range(len(rules)) if k not in asked], lambda k: F.lit(True))
+    if asked:
+        postings = store(index(texts, rules), "secret-index")
+        candidates = store(answer(postings, rules), "secret-candidates")
+        spans = spans.unionByName(matched(texts.join(candidates, "key"), asked, lambda k: F.array_contains("kinds", k)))
+    every = spans.groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    ordered = F.sort_array(F.transform("found", lambda x: F.struct(x["s"], x["k"], x["e"])))
+    return store(every.select("key", F.transform(ordered, lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))).alias("found")), "secret-spans")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """(id_col, text, found) of every row; found: array of (s, e, k) with the
     code points a secret begins at and ends before, and the number of its
     rule, ordered by start, then rule.
 
     A null or empty text has none.  Matches of one rule do not overlap; those
-    of two rules may.  Ids are passed through, null or repeated; an empty
-    table gives an empty result."""
-    rules = rules or BASE + MORE
+    of two rules may.  Ids are passed through, null or repeated (rows are told
+    apart by a written key); an empty table gives an empty result."""
     rows = pick(docs, {"id": id_col, "text": text_col}).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("low", F.lower("text")).withColumn("entries", postings(F.col("low"), rules)).drop("low")
-    none = F.array().cast("array<struct<s:int,e:int,k:int>>")
-    for k, rule in enumerate(rules):
-        worth = candidate(F.col("entries"), rule) & F.col("text").rlike(_shortest(rule))
-        rows = rows.withColumn(f"f{k}", F.when(worth, _spans(F.col("text"), rule, k)).otherwise(none))
-    found = F.sort_array(F.concat(*[F.transform(F.col(f"f{k}"), lambda x: F.struct(x["s"], x["k"], x["e"])) for k in range(len(rules))]))
-    return rows.select(F.col("id").alias(id_col), "text", F.transform(found, lambda x: F.struct(
-        x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))).alias("found"))
+    texts = store(rows.withColumn("key", F.monotonically_increasing_id()), "secret-texts")
+    found = _found(texts, rules or BASE + MORE)
+    return texts.join(found, "key", "left").select(F.col("id").alias(id_col), "text", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
 
 
 def _shortest(rule: Rule) -> str:
@@ -219,9 +254,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of its texts replaced by ``mark``; secrets
     that overlap or touch are replaced as one.  Null texts stay null, and all
-    other columns as they are."""
+    other columns as they are.  The rows are written once with a key."""
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    inner = scan(docs.select(F.struct(*kept).alias("row"), F.col(f"`{text_col}`").alias("text")), "row", "text")
+    rows = store(docs.select(F.struct(*kept).alias("row"), F.monotonically_increasing_id().alias("key")), "secret-rows")
+    texts = rows.withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
+    inner = texts.join(_found(texts.select("key", "text"), BASE + MORE), "key", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(False).alias("any"))
 
     def step(acc, x):
