@@ -22,12 +22,17 @@ class TaskCache(dict):
         return TaskCache, ()
 
 
-def forget_encoders() -> None:
-    """Let go of the tokenizer units that this Python worker has kept for
-    another operator's tasks (see ``pieces.worker_encoder``)."""
-    kept = sys.modules.get("_textflow_encoders")
-    if kept is not None:
-        kept.__dict__.clear()
+#: What a Python worker keeps between tasks, by the module that holds it.
+KEEPERS = ("_textflow_encoders", "_textflow_margins")
+
+
+def forget(*keepers: str) -> None:
+    """Let go of what this Python worker has kept for other operators' tasks:
+    tokenizer units (``pieces.worker_encoder``), words' margins (``toxicity_ssk``)."""
+    for name in keepers or KEEPERS:
+        kept = sys.modules.get(name)
+        if kept is not None:
+            kept.__dict__.clear()
 
 
 def give_back() -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textflow.llm import forget_encoders, give_back
+from textflow.llm import forget, give_back
 from textflow.llm.stored import bounded_batches, pick, store
 from textflow.llm.words import chunks
 
@@ -54,7 +54,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, score: Callable, thresho
         rows, put = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest")), ["doc_id", "text", "rest"]
 
     def run(batches):
-        forget_encoders()
+        forget("_textflow_encoders")
         for batch in batches:
             scores = [score(values) for _, values in chunks(batch["text"])]
             if scores:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textflow.llm import forget_encoders, give_back
+from textflow.llm import forget, give_back
 from textflow.llm.components import connected
 from textflow.llm.stored import bounded_batches, discard, pick, store
 from textflow.llm.words import chunks, mix, shingles, texts
@@ -75,7 +75,7 @@ def _describe(width: int):
     counters, SKETCH_ROW to a row (their number in doc_id)."""
 
     def run(batches):
-        forget_encoders()
+        forget()
         tally = np.zeros(SKETCH, np.int32)
         for batch in batches:
             found = [(len(s), _node(s)) for _, s in _sets(batch["text"], width, tally)]
@@ -137,7 +137,7 @@ def _prefixes(order: Order, width: int, num: int, den: int):
     """The first n-grams of every set in the order, of which a partner has one."""
 
     def run(batches):
-        forget_encoders()
+        forget()
         for batch in batches:
             ids, out = batch["doc_id"], []
             for row, s in _sets(batch["text"], width):
@@ -159,7 +159,7 @@ def _prefixes(order: Order, width: int, num: int, den: int):
 
 def _segments(order: Order, width: int):
     def run(batches):
-        forget_encoders()
+        forget()
         for batch in batches:
             ids, out = batch["doc_id"], []
             for row, s in _sets(batch["text"], width):

@@ -18,6 +18,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
+from textflow.llm import forget, give_back
 from textflow.llm.words import RunHasher, chunks
 
 #: Bytes of text whose new units are encoded together, and distinct units kept by a Python worker.
@@ -107,10 +108,12 @@ class Encoder:
                 for at in range(0, len(rows), 256):
                     yield first + at, [gather(self.ids, self.ends[r], self.ends[r + 1] - self.ends[r]) for r in rows[at:at + 256]]
                 rows, first, size = [], first + len(rows), 0
+                give_back()
 
 
 def worker_encoder(key: str, make: Callable[[], Encoder]) -> Encoder:
     """The encoder that this Python worker keeps under ``key`` for its tasks."""
+    forget("_textflow_margins")
     kept = sys.modules.setdefault("_textflow_encoders", SimpleNamespace()).__dict__
     if key not in kept:
         kept.clear()
