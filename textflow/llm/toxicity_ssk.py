@@ -217,7 +217,7 @@ def learn(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6) -> Machin
     bags = []
     for text, _ in rows:
         u = Units([text.encode()])
-        words = {w for i in range(len(u.hash)) for w in windows(u.text(i)) if len(w) >= 3}
+        words = sorted({w for i in range(len(u.hash)) for w in windows(u.text(i)) if len(w) >= 3})  # a set's own order differs from run to run
         bags.append(np.array(sorted(found.setdefault(w, len(found)) for w in words), np.int64))
     names = list(found)
     bad = [b for b, s in zip(bags, y) if s > 0]
