@@ -30,7 +30,7 @@ def _senses():
 def test_similarities_of_pairs(spark, which):
     up, held = _senses()
     depth = 3
-    ancestors = spark.createDataFrame([(s, a, d) for s, rows in up.items() for a, d in rows], "sense string, ancestor string, dist int")
+    ancestors = spark.createDataFrame([(s, a, d) for s, rows in up.items() for a, d in rows] + [(None, "root", 0), ("a.x", None, 0), ("nulls", None, None)], "sense string, ancestor string, dist int")
     chosen = spark.createDataFrame([(i, s) for i, some in held.items() for s in some], "id long, sense string")
 
     def sim(a, b):

@@ -63,3 +63,15 @@ def test_log_likelihood(spark, both, first, second, total):
     df = spark.createDataFrame([tuple(map(float, (both, first, second, total)))], "a double, b double, c double, d double")
     got = df.select(S._log_likelihood(df.a, df.b, df.c, df.d).alias("x")).first().x
     assert got == pytest.approx(want)
+
+
+def test_sentences_without_token_rows(spark):
+    """Documents are cut as arrays: no running sum over the rows of their tokens; texts that repeat an id are one document, also without an id."""
+    df = spark.createDataFrame([(1, "One. Two"), (1, "One. Two"), (None, "No id! Here"), (2, "! x")], "id long, text string")
+    out = S.trained_sentences(df, "id", "text")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id or 0, r.n, r.sentence) for r in out.collect()) == [(0, 0, "No id!"), (0, 1, "Here"), (1, 0, "One."), (1, 1, "One."), (1, 2, "Two Two"), (2, 0, "!"), (2, 1, "x")]
+    tokens = S.sentence_tokens(df, "id", "text")
+    one = spark.createDataFrame([("dr",)], "word string")
+    same = [sorted(map(tuple, S.sentence_starters(t, one, "id").collect())) for t in (tokens, tokens.drop("next_word", "next_capital"))]
+    assert same[0] == same[1]
