@@ -29,13 +29,17 @@ def head_candidates(tagged: DataFrame, id_col: str = "doc_id", pos: str = "pos",
     aside) at most ``span`` tokens from each noun (NN*).  kind: dobj or
     nsubjpass.  ``span`` <= 9."""
     w = Window.partitionBy(id_col).orderBy(pos)
+    # other words only count; what a neighbour needs is one value
+    kind = F.when(F.col(tag).startswith("NN"), "NN").when(F.col(tag).startswith("VB"), "VB")
+    word = F.when(kind.isNotNull() | F.col(token).isin(passive), F.col(token))
+    tagged = tagged.select(id_col, pos, F.struct(F.col(pos).alias("p"), word.alias("t"), kind.alias("g")).alias("_own"))
     near = []
     for k in [*range(-span, 0), *range(1, span + 1)]:
-        at = F.lead if k > 0 else F.lag
-        near.append(F.struct(F.lit(k).alias("k"), at(pos, abs(k)).over(w).alias("p"), at(token, abs(k)).over(w).alias("t"), at(tag, abs(k)).over(w).alias("g")))
-    x = tagged.withColumn("_near", F.array(*near)).where(F.col(tag).startswith("NN"))
+        s = (F.lead if k > 0 else F.lag)("_own", abs(k)).over(w)
+        near.append(F.struct(F.lit(k).alias("k"), s["p"].alias("p"), s["t"].alias("t"), s["g"].alias("g")))
+    x = tagged.withColumn("_near", F.array(*near)).where("_own.g = 'NN'")
     heads = F.filter("_near", lambda s: F.coalesce(s["g"].startswith("VB"), F.lit(False)) & ~s["t"].isin(passive))
-    x = x.select(id_col, F.col(pos).alias("pos"), F.col(token).alias("noun"), "_near", F.explode(heads).alias("v"))
+    x = x.select(id_col, F.col(pos).alias("pos"), F.col("_own.t").alias("noun"), "_near", F.explode(heads).alias("v"))
     between = F.expr("filter(_near, s -> s.k between least(v.k + 1, 1) and greatest(v.k - 1, -1))")
     x = x.withColumn("_between", between)
     listed = ", ".join(f"'{p}'" for p in passive)
@@ -64,7 +68,7 @@ def learned_scores(candidates: DataFrame, id_col: str = "doc_id", rounds: int =
         verbs = pairs.groupBy("verb").agg(F.sum("_w").alias("_v"), F.count(F.lit(1)).alias("_kinds"), F.sum("_n").alias("_all"))
         rates = lookup(pairs, verbs.select("verb", "_v", "_kinds"), "verb").select(
             "verb", "noun", ((F.col("_w") + PRIOR) / (F.col("_v") + PRIOR * F.col("_kinds"))).alias("_p"), "_n")
-        scored = lookup(now.drop("w", "score").join(F.broadcast(shapes), "shape"), rates, ["verb", "noun"], size="_n")
+        scored = lookup(now.drop("w", "score").join(F.broadcast(shapes), "shape"), rates, ["verb", "noun"], size="_n", twice=True)
         now = _weighted(scored.withColumn("score", F.col("_s") * F.col("_p")).drop("_s", "_p", "_n"), id_col)
     return now.drop("w")
 

@@ -83,21 +83,27 @@ def long_tokens(df: DataFrame, id_col: str, tokens: str, pos: str = "pos",
 
 # --- unigram tagger (T8) ------------------------------------------------------
 
-def train_tagger(tagged: DataFrame, token: str = "token", tag: str = "tag") -> DataFrame:
+def train_tagger(tagged: DataFrame, token: str = "token", tag: str = "tag", count: str | None = None) -> DataFrame:
     """T8 train: most frequent tag per word (ties: smallest tag) -> lexicon (token, tag).
+    ``count`` names a column for how often the word was seen.
 
     Partial aggregation on (token, tag) first, so a frequent word never lands
     whole in one task.
     """
     counts = tagged.groupBy(token, tag).agg(F.count(F.lit(1)).alias("_c"))
     return counts.groupBy(token).agg(
-        F.min_by(F.col(tag), F.struct(-F.col("_c"), F.col(tag))).alias(tag))
+        F.min_by(F.col(tag), F.struct(-F.col("_c"), F.col(tag))).alias(tag),
+        *([F.sum("_c").alias(count)] if count else []))
 
 
 def tag_tokens(df_long: DataFrame, lexicon: DataFrame, token: str = "token",
-               tag: str = "tag") -> DataFrame:
-    """T8 apply: left join the lexicon; unknown words get a null tag."""
-    return lookup(df_long, lexicon.select(token, tag), token, "left")
+               tag: str = "tag", count: str | None = None) -> DataFrame:
+    """T8 apply: left join the lexicon; unknown words get a null tag.  With
+    ``count`` (see ``train_tagger``; from the same words, or like ones) frequent
+    words are sent to the tokens, which stay where they are."""
+    if count is None:
+        return lookup(df_long, lexicon.select(token, tag), token, "left")
+    return lookup(df_long, lexicon.select(token, tag, F.col(count).alias("_seen")), token, "left", size="_seen", twice=True).drop("_seen")
 
 
 def verb_object_pairs(tagged_long: DataFrame, id_col: str = "doc_id", pos: str = "pos",
@@ -106,16 +112,17 @@ def verb_object_pairs(tagged_long: DataFrame, id_col: str = "doc_id", pos: str =
     next ``span`` tokens of the same document -> (id, pos, verb, noun, relation).
 
     Window per document, ordered by position; a document is one row's text.
+    Read backwards, the nearest noun is the last one seen; words that are
+    neither verbs nor nouns only count.
     """
-    w = Window.partitionBy(id_col).orderBy(pos)
-    nxt = [F.struct(F.lead(token, k).over(w).alias("t"), F.lead(tag, k).over(w).alias("g"))
-           for k in range(1, span + 1)]
-    x = tagged_long.withColumn("_next", F.array(*nxt))
-    noun = F.filter("_next", lambda s: s["g"].startswith("NN"))
-    x = x.where(F.col(tag).startswith("VB")).withColumn("_noun", F.try_element_at(noun, F.lit(1))["t"])
-    return (x.where(F.col("_noun").isNotNull())
-            .select(id_col, pos, F.col(token).alias("verb"), F.col("_noun").alias("noun"),
-                    F.concat_ws(" ", F.col(token), F.col("_noun")).alias("relation")))
+    back = Window.partitionBy(id_col).orderBy(F.col(pos).desc())
+    verb, noun = (F.coalesce(F.col(tag).startswith(x), F.lit(False)) for x in ("VB", "NN"))
+    x = tagged_long.select(id_col, pos, verb.alias("_verb"), noun.alias("_isnoun"), F.when(verb | noun, F.col(token)).alias("_t"))
+    x = x.withColumn("_at", F.row_number().over(back))
+    seen = F.last(F.when(F.col("_isnoun"), F.struct("_at", "_t")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("_seen", seen).where(F.col("_verb") & (F.col("_at") - F.col("_seen._at") <= span) & F.col("_seen._t").isNotNull())
+    return x.select(id_col, pos, F.col("_t").alias("verb"), F.col("_seen._t").alias("noun"),
+                    F.concat_ws(" ", F.col("_t"), F.col("_seen._t")).alias("relation"))
 
 
 # --- stolen-property terms (T9) ------------------------------------------------------
