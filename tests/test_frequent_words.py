@@ -118,3 +118,18 @@ def test_cross_validation_keeps_vectors_alone(spark, monkeypatch):
     monkeypatch.setattr(learn, "search", watched)
     assert E.queries()["cross_validation"](spark, "/root/testdata/sf0.001").count() == 2
     assert seen == [(["features", "label"], True)]
+
+
+def test_a_pair_carries_each_map_from_one_side(spark, monkeypatch):
+    from textflow.operators import linkage as K
+    from textflow.plans.linkage import method_vectors
+    notes = [(1, "house was locked door"), (2, "house was not locked gate"), (3, "gate bolted gate"), (4, ""), (5, "zebra")]
+    reports = spark.createDataFrame(notes, "incident_id long, method_of_entry string")
+    vectors = method_vectors(reports)
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (1, 4)], "l long, r long")
+    monkeypatch.setattr(K, "SIDE_BROADCAST_ROWS", 0)
+    out = K.pair_table(pairs, reports, vectors, ["a", "b"], specs=[])
+    plan = _plan(out).split("== Physical Plan ==")[1]
+    assert "l__f0" in plan and "l__t0" not in plan and "r__f0" not in plan
+    got = {(r.l, r.r): r.a for r in out.collect()}
+    assert got[3, 3] == pytest.approx(1.0) and 0 < got[1, 2] < 1 and 0 < got[2, 3] < 1 and got.get((1, 4)) is None
