@@ -45,7 +45,7 @@ def test_frequent_words_are_sent(spark, monkeypatch):
         return [sorted(map(tuple, x.collect())) for x in both], [x._jdf.queryExecution().optimizedPlan().toString() for x in both]
 
     want, _ = rows()
-    monkeypatch.setattr(P, "BROADCAST_KEYS", 4)
+    monkeypatch.setattr(P, "BROADCAST_KEYS", 8)
     got, plans = rows()
     assert all("LeftAnti" in p and "_salt" not in p for p in plans)
     for a, b in zip(got, want):
